@@ -4,4 +4,4 @@ from acceptance.base import ORACLES, QUERIES  # noqa: F401
 
 
 def load() -> None:
-    from acceptance import cleaning, profiling  # noqa: F401
+    from acceptance import cleaning, profiling, semantics  # noqa: F401

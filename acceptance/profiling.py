@@ -149,7 +149,7 @@ _PRICES = """WITH p AS (SELECT l_returnflag AS sheet_id, l_orderkey AS row_idx,
 @query(
     "price_quantiles",
     _PRICES + """ SELECT sheet_id, unnest([0.05, 0.25, 0.5, 0.75, 0.99])::DOUBLE AS prob,
-    round(unnest(quantile_cont(x, [0.05, 0.25, 0.5, 0.75, 0.99])), 4) AS quantile FROM p GROUP BY ALL""",
+    round(unnest(quantile_cont(x, [0.05, 0.25, 0.5, 0.75, 0.99])), 4) AS quantile FROM p GROUP BY sheet_id""",
 )
 def price_quantiles(spark, sf):
     found = quantiles(_prices(spark, sf), ["sheet_id"], "number", [0.05, 0.25, 0.5, 0.75, 0.99])
