@@ -33,9 +33,9 @@ def lexical_features(headers: DataFrame) -> DataFrame:
     )
 
 
-def _layer(weights: list[list[float]], bias: list[float], inputs: list[str]) -> list[Column]:
+def _layer(weights: list[list[float]], bias: list[float], inputs: Column) -> list[Column]:
     return [
-        reduce(lambda a, b: a + b, [F.lit(w) * F.col(x) for w, x in zip(row, inputs)], F.lit(0.0)) + F.lit(b)
+        reduce(lambda a, b: a + b, [F.lit(w) * F.get(inputs, F.lit(i)) for i, w in enumerate(row)], F.lit(0.0)) + F.lit(b)
         for row, b in zip(weights, bias)
     ]
 
@@ -46,36 +46,49 @@ def six_digits(p: Column) -> Column:
     return F.when(p > 0, F.round(p * scale) / scale).otherwise(F.lit(0.0))
 
 
-def score_types(headers: DataFrame) -> DataFrame:
-    """Add ``scores``: probability per type from the two-layer header scorer."""
-    keep = list(headers.columns)
-    inputs = [f"{name}_signal" for name in lx.SIGNALS] + ["length_penalty"]
-    features = lexical_features(headers)
-    hidden = features.select(
-        *keep,
-        *[F.greatest(h, F.lit(0.0)).alias(f"_h{i}") for i, h in enumerate(_layer(lx.HIDDEN_WEIGHTS, lx.HIDDEN_BIAS, inputs))],
-    )
-    names = [f"_h{i}" for i in range(len(lx.HIDDEN_BIAS))]
-    logits = hidden.select(
-        *keep, *[z.alias(f"_z{i}") for i, z in enumerate(_layer(lx.OUTPUT_WEIGHTS, lx.OUTPUT_BIAS, names))]
-    )
-    outputs = [F.col(f"_z{i}") for i in range(len(lx.SCORED_TYPES))]
-    exps = logits.withColumn("_top", F.greatest(*outputs)).select(
-        *keep, *[F.exp(z - F.col("_top")).alias(f"_e{i}") for i, z in enumerate(outputs)]
-    )
-    parts = [F.col(f"_e{i}") for i in range(len(lx.SCORED_TYPES))]
-    shares = exps.withColumn("_sum", reduce(lambda a, b: a + b, parts))
-    return shares.select(
-        *keep,
-        F.array(
-            *[
-                F.struct(F.lit(t).alias("type"), six_digits(e / F.col("_sum")).alias("score"))
-                for t, e in zip(lx.SCORED_TYPES, parts)
-            ]
-        ).alias("scores"),
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Each level is named inside the expression, not by a projection: were a filter on the result
+    pushed below a chain of projections, every level would be copied into the next.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def type_probabilities(header: Column) -> Column:
+    """Probability per scored type as an array of doubles: two layers and a softmax."""
+
+    def signals(tokens: Column) -> Column:
+        length = F.length(F.array_join(tokens, ""))
+        counts = [F.size(_hits(tokens, words)).cast("double") for words in lx.SIGNALS.values()]
+        return F.array(*counts, F.greatest(length - lx.FREE_LENGTH, F.lit(0)) / lx.LENGTH_UNIT)
+
+    def hidden(x: Column) -> Column:
+        return F.array(*[F.greatest(h, F.lit(0.0)) for h in _layer(lx.HIDDEN_WEIGHTS, lx.HIDDEN_BIAS, x)])
+
+    def logits(h: Column) -> Column:
+        return F.array(*_layer(lx.OUTPUT_WEIGHTS, lx.OUTPUT_BIAS, h))
+
+    def exponents(z: Column) -> Column:
+        return let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top)))
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+        return let(total, lambda t: F.transform(e, lambda v: six_digits(v / t)))
+
+    return let(
+        tokenize(header),
+        lambda t: let(signals(t), lambda x: let(hidden(x), lambda h: let(logits(h), lambda z: let(exponents(z), shares)))),
     )
 
 
+def score_types(headers: DataFrame) -> DataFrame:
+    """Add ``scores``: probability per type from the header scorer."""
+    kinds = F.array(*[F.lit(t) for t in lx.SCORED_TYPES])
+    pairs = F.zip_with(kinds, type_probabilities(F.col("header")), lambda t, p: F.struct(t.alias("type"), p.alias("score")))
+    return headers.withColumn("scores", pairs)
+
+
 def special_type(header: Column) -> Column:
     """``photo`` or ``address`` if the header holds such a word, else null.
 
@@ -86,25 +99,29 @@ def special_type(header: Column) -> Column:
 
 
 def classify_columns(headers: DataFrame) -> DataFrame:
-    """Type, confidence and supporting tokens of every header."""
-    keep = list(headers.columns)
-    scored = score_types(headers.withColumn("_special", special_type(F.col("header"))))
-    best = F.array_max(
-        F.transform("scores", lambda s, i: F.struct(s["score"].alias("score"), (-i).alias("rank"), s["type"].alias("type")))
+    """Type, confidence and supporting tokens of every header; the first best type wins a tie."""
+    header = F.col("header")
+    kinds = F.array(*[F.lit(t) for t in lx.SCORED_TYPES])
+
+    def best(p: Column) -> Column:
+        top = F.array_max(p)
+        return F.struct(F.get(kinds, (F.array_position(p, top) - 1).cast("int")).alias("type"), top.alias("confidence"))
+
+    special = special_type(header)
+    fixed = lambda kind, confidence: F.struct(F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"))
+    verdict = (
+        F.when(special == "photo", fixed("photo", lx.PHOTO_CONFIDENCE))
+        .when(special == "address", fixed("address", lx.ADDRESS_CONFIDENCE))
+        .otherwise(let(type_probabilities(header), best))
     )
-    tokens = tokenize(F.col("header"))
-    chosen = scored.withColumn("_best", best)
-    return chosen.select(
-        *keep,
-        F.coalesce("_special", "_best.type").alias("type"),
-        F.when(F.col("_special") == "photo", lx.PHOTO_CONFIDENCE)
-        .when(F.col("_special") == "address", lx.ADDRESS_CONFIDENCE)
-        .otherwise(F.col("_best.score"))
-        .alias("confidence"),
-        F.when(F.col("_special") == "photo", _hits(tokens, lx.PHOTO_WORDS))
-        .when(F.col("_special") == "address", _hits(tokens, lx.ADDRESS_WORDS))
+    tokens = tokenize(header)
+    evidence = (
+        F.when(special == "photo", _hits(tokens, lx.PHOTO_WORDS))
+        .when(special == "address", _hits(tokens, lx.ADDRESS_WORDS))
         .otherwise(tokens)
-        .alias("evidence"),
+    )
+    return headers.withColumn("_v", verdict).select(
+        *headers.columns, F.col("_v.type").alias("type"), F.col("_v.confidence").alias("confidence"), evidence.alias("evidence")
     )
 
 
