@@ -4,4 +4,4 @@ from acceptance.base import ORACLES, QUERIES  # noqa: F401
 
 
 def load() -> None:
-    from acceptance import cleaning, layout, profiling, semantics  # noqa: F401
+    from acceptance import assignment, cleaning, layout, profiling, semantics  # noqa: F401
