@@ -102,8 +102,8 @@ def _carry(df: DataFrame, keys: list[str], bucket: str, partial: Column, combine
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.groupBy(*keys, bucket)
-        .agg(partial.alias("_part"))
-        .select(*keys, bucket, combine(F.col("_part")).over(before).alias("_carry"))
+        .agg(partial.alias("__scan_part"))
+        .select(*keys, bucket, combine(F.col("__scan_part")).over(before).alias("__scan_carry"))
     )
 
 
@@ -121,14 +121,14 @@ def scan_last(
     Windows run inside (key, bucket); between buckets only one value per bucket travels.
     """
     keys = list(keys)
-    marked = df.withColumn("_v", value)
-    last_of = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))
+    marked = df.withColumn("__scan_value", value)
+    last_of = F.max_by("__scan_value", F.when(F.col("__scan_value").isNotNull(), F.struct(*order)))
     carry = _carry(marked, keys, bucket, last_of, lambda c: F.last(c, ignorenulls=True))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     joined = attach(marked, carry, [*keys, bucket])
-    local = F.last("_v", ignorenulls=True).over(inside)
-    return joined.withColumn(out, F.coalesce(local, F.col("_carry"))).drop("_v", "_carry")
+    local = F.last("__scan_value", ignorenulls=True).over(inside)
+    return joined.withColumn(out, F.coalesce(local, F.col("__scan_carry"))).drop("__scan_value", "__scan_carry")
 
 
 def scan_sum(
@@ -141,9 +141,9 @@ def scan_sum(
 ) -> DataFrame:
     """Running sum of ``value`` in ``order`` inside each key, same scheme as ``scan_last``."""
     keys = list(keys)
-    marked = df.withColumn("_v", value)
-    carry = _carry(marked, keys, bucket, F.sum("_v"), F.sum)
+    marked = df.withColumn("__scan_value", value)
+    carry = _carry(marked, keys, bucket, F.sum("__scan_value"), F.sum)
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = attach(marked, carry, [*keys, bucket])
-    total = F.coalesce(F.col("_carry"), F.lit(0)) + F.sum("_v").over(inside)
-    return joined.withColumn(out, total).drop("_v", "_carry")
+    total = F.coalesce(F.col("__scan_carry"), F.lit(0)) + F.sum("__scan_value").over(inside)
+    return joined.withColumn(out, total).drop("__scan_value", "__scan_carry")
