@@ -32,12 +32,13 @@ def order_statistics(
     present = values.filter(F.col(x).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w")
     )
-    # the sketch sees every distinct value once per weight unit only when values are not a histogram
     if weight:
         summary = _weighted_brackets(present, keys, probs)
     else:
         cuts = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-_MARGIN, _MARGIN)})
         place = {c: i for i, c in enumerate(cuts)}
+        # the sketch is off by at most one ACCURACY-th of the ranks; short groups are taken whole
+        small = F.col("_n") <= ACCURACY
         at = lambda p: F.get("_q", F.lit(place[min(max(p, 0.0), 1.0)]))
         sketch = present.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_n"),
@@ -52,8 +53,8 @@ def order_statistics(
                 *[
                     F.struct(
                         F.lit(p).alias("prob"),
-                        (F.col("_min") if p - _MARGIN <= 0 else at(p - _MARGIN)).alias("lo"),
-                        (F.col("_max") if p + _MARGIN >= 1 else at(p + _MARGIN)).alias("hi"),
+                        (F.col("_min") if p - _MARGIN <= 0 else F.when(small, F.col("_min")).otherwise(at(p - _MARGIN))).alias("lo"),
+                        (F.col("_max") if p + _MARGIN >= 1 else F.when(small, F.col("_max")).otherwise(at(p + _MARGIN))).alias("hi"),
                     )
                     for p in probs
                 ]
