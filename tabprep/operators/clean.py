@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabprep.functions.text import clean_cell, strip
 from tabprep.operators.scale import attach
 from tabprep.session import materialize
-from tabprep.sources.tables import Sheets, to_cells
+from tabprep.sources.tables import Sheets
 
 # Least share of filled cells for a column and for a row.
 MIN_COLUMN_COVERAGE = 0.12
@@ -66,10 +66,22 @@ def strip_cells(sheets: Sheets) -> Sheets:
     return Sheets(sheets.rows.withColumn("cells", F.transform("cells", clean_cell)), sheets.headers)
 
 
-def coverage(sheets: Sheets) -> DataFrame:
+def presence_patterns(sheets: Sheets) -> DataFrame:
+    """Which cells of a row are filled, as text like ``1101``, with the number of such rows.
+
+    Sheets have few patterns, so this small table, made in one pass without unfolding a row, holds
+    all that coverage, column choice and row counts need.
+    """
+    pattern = F.array_join(F.transform("cells", lambda c: F.when(c.isNull(), "0").otherwise("1")), "")
+    return sheets.rows.groupBy("sheet_id", pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def coverage(sheets: Sheets, patterns: DataFrame | None = None) -> DataFrame:
     """Share of filled cells per column, ``(sheet_id, col_idx, header, n, filled, coverage)``."""
-    counts = to_cells(sheets).groupBy("sheet_id", "col_idx").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("filled")
+    patterns = presence_patterns(sheets) if patterns is None else patterns
+    marks = patterns.select("sheet_id", "n", F.posexplode(F.split("pattern", "")).alias("col_idx", "mark"))
+    counts = marks.groupBy("sheet_id", "col_idx").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("mark") == "1", F.col("n")).otherwise(0)).alias("filled")
     )
     return sheets.headers.join(counts, ["sheet_id", "col_idx"], "left").select(
         "sheet_id",
@@ -127,17 +139,19 @@ def clean(
 ) -> CleanResult:
     """Headers, cells, columns and rows in one go.
 
-    Rows are read twice and never shuffled: once to count filled cells per column, once to drop
-    columns and rows with the per-sheet verdict joined on.
+    Rows are read once for the presence patterns, from which every verdict and count follows, and
+    once more, lazily, to drop columns and rows with the per-sheet verdict joined on. They are
+    never shuffled.
     """
     tidy = strip_cells(Sheets(sheets.rows, normalize_headers(sheets.headers)))
-    covered = materialize(coverage(tidy), "coverage")
+    patterns = materialize(presence_patterns(tidy), "patterns")
+    covered = materialize(coverage(tidy, patterns), "coverage")
     kept = materialize(kept_columns(covered, min_coverage), "kept")
-    narrowed = prune_columns(tidy, kept)
-    cleaned = prune_rows(narrowed, min_signal)
-    drops = narrowed.rows.groupBy("sheet_id").agg(
-        F.count(F.lit(1)).alias("source_rows"),
-        F.count_if(row_signal() >= min_signal).alias("total_rows"),
+    cleaned = prune_rows(prune_columns(tidy, kept), min_signal)
+    marks = F.filter("kept", lambda i: F.substring("pattern", i + 1, 1) == "1")
+    dense = F.size(marks) / F.size("kept") >= min_signal
+    drops = attach(patterns, kept.select("sheet_id", "kept"), ["sheet_id"], how="inner", stored=True).groupBy("sheet_id").agg(
+        F.sum("n").alias("source_rows"), F.sum(F.when(dense, F.col("n")).otherwise(0)).alias("total_rows")
     )
     report = kept.join(drops, "sheet_id", "left").select(
         "sheet_id",

@@ -22,14 +22,36 @@ def _hits(tokens: Column, words: list[str]) -> Column:
     return F.filter(tokens, lambda t: t.rlike(any_of(words)))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    Each level is named inside the expression, not by a projection: were a filter on the result
+    pushed below a chain of projections, every level would be copied into the next.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_ALL_WORDS = [w for words in lx.SIGNALS.values() for w in words]
+
+
+def signals(tokens: Column) -> Column:
+    """Inputs of the scorer: hits per word list, then the length penalty."""
+    length = F.length(F.array_join(tokens, ""))
+    penalty = F.greatest(length - lx.FREE_LENGTH, F.lit(0)) / lx.LENGTH_UNIT
+    # few tokens hold any word at all; only those are looked at once per list
+    return let(
+        _hits(tokens, _ALL_WORDS),
+        lambda some: F.array(*[F.size(_hits(some, words)).cast("double") for words in lx.SIGNALS.values()], penalty),
+    )
+
+
 def lexical_features(headers: DataFrame) -> DataFrame:
     """``tokens`` and one count per signal: tokens containing a word of its list; length penalty."""
-    with_tokens = headers.withColumn("tokens", tokenize(F.col("header")))
-    length = F.length(F.array_join("tokens", ""))
-    return with_tokens.select(
-        "*",
-        *[F.size(_hits(F.col("tokens"), words)).cast("double").alias(f"{name}_signal") for name, words in lx.SIGNALS.items()],
-        (F.greatest(length - lx.FREE_LENGTH, F.lit(0)) / lx.LENGTH_UNIT).alias("length_penalty"),
+    tokens = tokenize(F.col("header"))
+    counted = headers.withColumn("tokens", tokens).withColumn("_f", let(tokens, signals))
+    names = [f"{name}_signal" for name in lx.SIGNALS] + ["length_penalty"]
+    return counted.select(
+        *headers.columns, "tokens", *[F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)]
     )
 
 
@@ -46,23 +68,9 @@ def six_digits(p: Column) -> Column:
     return F.when(p > 0, F.round(p * scale) / scale).otherwise(F.lit(0.0))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once.
-
-    Each level is named inside the expression, not by a projection: were a filter on the result
-    pushed below a chain of projections, every level would be copied into the next.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def type_probabilities(header: Column) -> Column:
     """Probability per scored type as an array of doubles: two layers and a softmax."""
 
-    def signals(tokens: Column) -> Column:
-        length = F.length(F.array_join(tokens, ""))
-        counts = [F.size(_hits(tokens, words)).cast("double") for words in lx.SIGNALS.values()]
-        return F.array(*counts, F.greatest(length - lx.FREE_LENGTH, F.lit(0)) / lx.LENGTH_UNIT)
-
     def hidden(x: Column) -> Column:
         return F.array(*[F.greatest(h, F.lit(0.0)) for h in _layer(lx.HIDDEN_WEIGHTS, lx.HIDDEN_BIAS, x)])
 

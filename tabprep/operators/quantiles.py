@@ -17,6 +17,7 @@ from tabprep.session import materialize
 
 ACCURACY = 10_000
 _MARGIN = 5 / ACCURACY
+_STRIDE = 23
 
 
 def order_statistics(
@@ -103,9 +104,11 @@ def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float])
     """Brackets for weighted values: the rank mass of a grid of sketched cut points is summed exactly."""
     grid = [i / 512 for i in range(513)]
     cuts = present.groupBy(*keys).agg(F.percentile_approx("_x", grid, ACCURACY).alias("_g"))
-    cuts = materialize(cuts.select(*keys, F.array_sort(F.array_distinct("_g")).alias("_g")), "grid")
+    cuts = cuts.select(*keys, F.array_sort(F.array_distinct("_g")).alias("_g"))
+    every_nth = F.filter("_g", lambda g, i: i % _STRIDE == _STRIDE - 1)
+    cuts = materialize(cuts.withColumn("_coarse", every_nth), "grid")
     slotted = attach(present, cuts, keys, how="inner", stored=True).select(
-        *keys, "_w", F.size(F.filter("_g", lambda g: g < F.col("_x"))).alias("_slot")
+        *keys, "_w", _cuts_below("_g", "_coarse", F.col("_x")).alias("_slot")
     )
     mass = slotted.groupBy(*keys, "_slot").agg(F.sum("_w").alias("_c"))
     whole = Window.partitionBy(*keys)
@@ -120,7 +123,7 @@ def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float])
         *[slot_of(F.ceil(s)).alias(f"_b{i}") for i, s in enumerate(spots)],
     )
     edge = lambda i: F.when(i < 0, float("-inf")).otherwise(F.coalesce(F.get("_g", i), F.lit(float("inf"))))
-    return wanted.join(cuts, keys).select(
+    return wanted.join(cuts.drop("_coarse"), keys).select(
         *keys,
         "_n",
         F.array(
@@ -134,6 +137,12 @@ def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float])
     )
 
 
+def _cuts_below(cuts: str, coarse: str, x: Column) -> Column:
+    """How many sorted cuts lie below ``x``: a look at every 23rd cut, then at one stretch."""
+    skipped = F.size(F.filter(coarse, lambda g: g < x)) * _STRIDE
+    return skipped + F.size(F.filter(F.slice(cuts, skipped + 1, F.lit(_STRIDE)), lambda g: g < x))
+
+
 def linear(low: Column, high: Column, fraction: Column) -> Column:
     return low + fraction * (high - low)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprep.session import materialize
+from tabprep.session import materialize, materialize_counted
 
 #: Rows per segment of an ordered scan over source positions.
 CHUNK_ROWS = 65_536
@@ -30,9 +30,8 @@ def attach(
     and ``big`` does not move. Beyond that both sides are spread over ``salts`` copies of every key.
     """
     keys = list(keys)
-    if not stored:
-        side = materialize(side, "side")
-    if side.count() <= max_rows:
+    side, size = (side, side.count()) if stored else materialize_counted(side, "side")
+    if size <= max_rows:
         return big.join(F.broadcast(side), keys, how)
     salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))

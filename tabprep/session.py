@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 
@@ -48,6 +49,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
+    """``materialize`` that also tells the number of rows, counted while they are written."""
+    watch = Observation()
+    stored = materialize(df.observe(watch, F.count(F.lit(1)).alias("rows")), label)
+    return stored, watch.get["rows"]
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -24,8 +24,19 @@ DEFAULT_PACE = (20, 0.25)
 SHARED_PACE = (10, 0.5)
 
 
-def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None, every: float | None) -> StreamingQuery:
-    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option(
+def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None, every: float | None, hold: bool = True) -> StreamingQuery:
+    def once(batch: DataFrame, batch_id: int) -> None:
+        if not hold:
+            handle(batch, batch_id)
+            return
+        # operators read a batch more than once; the source (and its observed counters) see it once
+        held = batch.persist()
+        try:
+            handle(held, batch_id)
+        finally:
+            held.unpersist()
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(once).option(
         "checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "offsets")
     )
     trigger = {"availableNow": True} if every is None else {"processingTime": f"{int(every * 1000)} milliseconds"}
@@ -109,7 +120,7 @@ def job_state_stream(updates: DataFrame, fields: Sequence[str], order: Sequence[
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{states_path}/batch_id={batch_id}")
 
-    return _start(fold_updates(updates, fields, order), handle, "update", checkpoint, every)
+    return _start(fold_updates(updates, fields, order), handle, "update", checkpoint, every, hold=False)
 
 
 def latest_states(spark: SparkSession, states_path: str) -> DataFrame:
