@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from acceptance.base import cells_sql, cleaned_sql, corpus, query, table
 from tabprep.operators import clean as cl
+from tabprep.operators.scale import attach
 from tabprep.sources import sinks
 from tabprep.sources import tables as tb
 
@@ -160,7 +161,7 @@ def clean_report(spark, sf):
 )
 def clean_rows(spark, sf):
     cleaned = cl.clean(corpus(spark, sf)).sheets
-    return tb.to_cells(cleaned).join(F.broadcast(cleaned.headers), ["sheet_id", "col_idx"]).select(
+    return attach(tb.to_cells(cleaned), cleaned.headers, ["sheet_id", "col_idx"], how="inner").select(
         "sheet_id", "row_idx", "header", "value"
     )
 

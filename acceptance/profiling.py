@@ -5,6 +5,7 @@ from tabprep.operators import categorical as ct
 from tabprep.operators import clean as cl
 from tabprep.operators import numeric as nm
 from tabprep.operators import profile as pf
+from tabprep.operators.scale import attach
 from tabprep.operators.quantiles import quantiles
 from tabprep.session import materialize
 from tabprep.sources.tables import to_cells
@@ -54,7 +55,7 @@ def column_types(spark, sf):
 )
 def coerced_cells(spark, sf):
     sheets, types, _ = _typed(spark, sf)
-    cells = pf.coerce(to_cells(sheets), types).join(F.broadcast(sheets.headers), ["sheet_id", "col_idx"])
+    cells = attach(pf.coerce(to_cells(sheets), types), sheets.headers, ["sheet_id", "col_idx"], how="inner")
     return cells.select("sheet_id", "row_idx", "header", F.round("number", 4).alias("number"), "text")
 
 
@@ -128,7 +129,7 @@ def imputed_scaled_numbers(spark, sf):
     sheets, types, typed = _typed(spark, sf, skip=SKIP)
     parameters = nm.numeric_parameters(materialize(typed.filter("kind <> 'categorical'"), "numbers"), "n")
     cells = pf.coerce(to_cells(sheets), types).filter("kind <> 'categorical'")
-    ready = nm.prepare_numbers(cells, parameters).join(F.broadcast(sheets.headers), ["sheet_id", "col_idx"])
+    ready = attach(nm.prepare_numbers(cells, parameters), sheets.headers, ["sheet_id", "col_idx"], how="inner")
     return ready.select("sheet_id", "row_idx", "header", F.round("value", 4).alias("value"))
 
 
@@ -217,7 +218,7 @@ def column_modes(spark, sf):
 def mode_imputation(spark, sf):
     sheets, types, typed = _typed(spark, sf)
     cells = pf.coerce(to_cells(sheets), types).filter("kind = 'categorical'")
-    filled = ct.impute_mode(cells, ct.modes(typed)).join(F.broadcast(sheets.headers), ["sheet_id", "col_idx"])
+    filled = attach(ct.impute_mode(cells, ct.modes(typed)), sheets.headers, ["sheet_id", "col_idx"], how="inner")
     return filled.select("sheet_id", "row_idx", "header", "text")
 
 

@@ -51,13 +51,14 @@ def demands(tickets: DataFrame) -> DataFrame:
     )
 
 
-def candidates(wanted: DataFrame, technicians: DataFrame) -> DataFrame:
-    """Demand × technician pairs that pass every hard filter.
-
-    Technicians are unfolded by project, so this is an equality join with residual conditions.
-    """
+def _able(technicians: DataFrame) -> DataFrame:
+    """Technicians with free capacity, one row per project."""
     able = technicians.filter((F.col("availability") != "OFFLINE") & (F.col("workload") < F.col("max_workload")))
-    by_project = able.withColumn("project_id", F.explode(F.array_distinct("projects")))
+    return able.withColumn("project_id", F.explode(F.array_distinct("projects")))
+
+
+def _fitting(wanted: DataFrame, by_project: DataFrame) -> DataFrame:
+    """Equality join on the project with the other hard filters as residual conditions."""
     free_region = F.col("region").isNull() | (F.col("region") == "")
     return wanted.join(by_project, "project_id").filter(
         (free_region | F.expr("array_contains(regions, region)"))
@@ -65,6 +66,25 @@ def candidates(wanted: DataFrame, technicians: DataFrame) -> DataFrame:
     )
 
 
+def candidates(wanted: DataFrame, technicians: DataFrame) -> DataFrame:
+    """Demand × technician pairs that pass every hard filter, for listings and rankers of one's own."""
+    return _fitting(wanted, _able(technicians))
+
+
+def technician_classes(technicians: DataFrame) -> DataFrame:
+    """Technicians that no demand and no ranking can tell apart, as one row with the lowest id.
+
+    Members of a class share project, regions, skills, tier and load, hence every filter and every
+    score; the tie goes to the lowest id. Demands meet classes instead of people.
+    """
+    same = lambda c: F.array_sort(F.array_distinct(c)).alias(c)
+    return _able(technicians).select(
+        "project_id", same("regions"), same("skills"), "tier", "workload", "max_workload", "id"
+    ).groupBy("project_id", "regions", "skills", "tier", "workload", "max_workload").agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("members")
+    )
+
+
 def ranking_score() -> Column:
     """Priority weight − relative load + tier weight + region bonus."""
     def pick(column, weights, other):
@@ -105,7 +125,7 @@ def decide(pairs: DataFrame, score: Column | None = None, pool: bool = False) ->
     return scored.groupBy("demand").agg(
         F.min_by("id", ranked).alias("_best"),
         F.min_by("id", F.struct("workload", "tier", "id")).alias("_fallback"),
-        F.count(F.lit(1)).alias("pool_size"),
+        (F.sum("members") if "members" in pairs.columns else F.count(F.lit(1))).alias("pool_size"),
         *extra,
     )
 
@@ -119,11 +139,14 @@ def assign(
 ) -> DataFrame:
     """One decision per ticket: ``technician_id, strategy, pool_size`` (and the pool on request).
 
-    A ranker of one's own is either a column over ticket and technician fields or a function that
+    The built-in ranking works on classes of equal technicians. A ranker of one's own is either a column over ticket and technician fields or a function that
     adds a ``score`` column to the candidate pairs (e.g. with a pandas UDF).
     """
     wanted = materialize(demands(tickets), "demands")
-    pairs = candidates(wanted, technicians)
+    if score is None and scorer is None and not pool:
+        pairs = _fitting(wanted, technician_classes(technicians))
+    else:
+        pairs = candidates(wanted, technicians)
     if scorer is not None:
         pairs, score = scorer(pairs), F.col("score")
     outcome = wanted.select("demand").join(decide(pairs, score, pool), "demand", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabprep.operators.numeric import numeric_parameters, prepare_numbers
 from tabprep.operators.profile import COLUMN
-from tabprep.operators.scale import attach, positions
+from tabprep.operators.scale import attach, first_rows, positions
 from tabprep.session import materialize
 
 
@@ -110,12 +110,7 @@ def feature_matrix(cells: DataFrame, typed_histogram: DataFrame, types: DataFram
 
 def dense_preview(matrix: DataFrame, names: DataFrame, rows: DataFrame, n: int = 25) -> DataFrame:
     """Dense vectors of the first ``n`` rows of each sheet, for display only."""
-    order = Window.partitionBy("sheet_id").orderBy("row_idx")
-    head = (
-        rows.select("sheet_id", "row_idx")
-        .withColumn("preview_idx", F.row_number().over(order))
-        .filter(F.col("preview_idx") <= n)
-    )
+    head = first_rows(rows.select("sheet_id", "row_idx"), n)
     widths = names.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("dims"))
     shown = materialize(head.join(widths, "sheet_id"), "head")
     entries = attach(matrix, shown, ["sheet_id", "row_idx"], how="inner", stored=True)

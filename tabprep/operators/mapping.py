@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions import lexicon as lx
 from tabprep.functions.text import normalize_text
+from tabprep.operators.scale import attach
 from tabprep.session import materialize
 
 
@@ -111,7 +112,7 @@ def field_types(mapped: DataFrame, classified: DataFrame) -> DataFrame:
 
 def mapping_gaps(typed: DataFrame, fields: DataFrame) -> DataFrame:
     """Per sheet: required fields without a column, required fields without a type, verdict."""
-    joined = typed.join(F.broadcast(fields.select("field_id", "required")), "field_id")
+    joined = attach(typed, fields.select("field_id", "required"), ["field_id"], how="inner")
     unmapped = F.col("required") & F.col("header").isNull()
     untyped = F.col("required") & F.col("header").isNotNull() & F.col("type").isNull()
     listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("field_id"))))

@@ -21,21 +21,51 @@ def attach(
     keys: Sequence[str],
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = 32,
+    hot_share: float = 0.002,
     stored: bool = False,
 ) -> DataFrame:
     """Join ``side`` (at most one row per key) onto ``big`` without concentrating a hot key.
 
     ``side`` is written out first, so its row count is known. Up to ``max_rows`` it is broadcast
-    and ``big`` does not move. Beyond that both sides are spread over ``salts`` copies of every key.
+    and ``big`` does not move. Beyond that both sides are shuffled, except for rows whose key is
+    null (they match nothing) or holds more than ``hot_share`` of all rows: there are at most
+    ``1 / hot_share`` such keys, and their side rows are broadcast.
     """
     keys = list(keys)
     side, size = (side, side.count()) if stored else materialize_counted(side, "side")
     if size <= max_rows:
         return big.join(F.broadcast(side), keys, how)
-    salted = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
+    full = F.lit(True)
+    for k in keys:
+        full = full & F.col(k).isNotNull()
+    counts = materialize(big.filter(full).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "keys")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = materialize(counts.filter(F.col("_n") > hot_share * total).select(*keys), "hot")
+    known = big.filter(full)
+    warm = known.join(F.broadcast(hot), keys, "left_semi").join(
+        F.broadcast(side.join(F.broadcast(hot), keys, "left_semi")), keys, how
+    )
+    rest = known.join(F.broadcast(hot), keys, "left_anti").join(side, keys, how)
+    parts = warm.unionByName(rest)
+    if how in ("left", "left_anti"):
+        parts = parts.unionByName(big.filter(~full), allowMissingColumns=True)
+    return parts
+
+
+def first_rows(rows: DataFrame, n: int, out: str = "preview_idx", chunk_rows: int | None = None) -> DataFrame:
+    """First ``n`` rows of each sheet with their 1-based place.
+
+    Rows are counted per stretch of source positions; only stretches that begin before the ``n``-th
+    row are ranked, each by itself, so a sheet of any length stays spread out.
+    """
+    chunked = rows.withColumn("_chunk", row_chunk(size=chunk_rows or CHUNK_ROWS))
+    sizes = chunked.groupBy("sheet_id", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("sheet_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = sizes.select("sheet_id", "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    kept = attach(chunked, wanted.filter(F.col("_start") < n), ["sheet_id", "_chunk"], how="inner")
+    inside = Window.partitionBy("sheet_id", "_chunk").orderBy("row_idx")
+    placed = kept.withColumn(out, F.col("_start") + F.row_number().over(inside)).filter(F.col(out) <= n)
+    return placed.select(*rows.columns, out)
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:

@@ -262,7 +262,7 @@ def mapping_checks(mapped: DataFrame, expected: DataFrame, ranges: DataFrame) ->
     ``mapped(sheet_id, field_id, header, type)``, ``expected(field_id, required, expected_type)``,
     ``ranges(sheet_id, field_id, out_of_range)``.
     """
-    joined = mapped.join(F.broadcast(expected), "field_id").join(ranges, ["sheet_id", "field_id"], "left")
+    joined = attach(mapped, expected, ["field_id"], how="inner").join(ranges, ["sheet_id", "field_id"], "left")
     return joined.select(
         "sheet_id",
         "field_id",
@@ -344,7 +344,7 @@ def audit(jobs: DataFrame, created: DataFrame, rows: DataFrame) -> DataFrame:
 
 def render_messages(issues: DataFrame, catalog: DataFrame) -> DataFrame:
     """Text of each issue: ``issues(…, code, params MAP)`` with ``catalog(code, text)``."""
-    joined = issues.join(F.broadcast(catalog), "code", "left")
+    joined = attach(issues, catalog.select("code", "text"), ["code"])
     filled = F.aggregate(
         F.map_entries("params"),
         F.coalesce("text", F.col("code")),

@@ -43,9 +43,9 @@ def as_sheet(df: DataFrame, sheet_id: str | Column, row_idx: str | Column | None
         F.array(*[F.col(c).cast("string") for c in columns]).alias("cells"),
     )
     if isinstance(sheet_id, str):
-        headers = df.sparkSession.createDataFrame(
-            [(sheet_id, i, c) for i, c in enumerate(columns)], HEADERS_DDL
-        )
+        one = df.sparkSession.range(1)  # stays in the JVM, unlike a list sent from Python
+        labels = F.array(*[F.lit(c) for c in columns])
+        headers = one.select(name.alias("sheet_id"), F.posexplode(labels).alias("col_idx", "header"))
     else:
         labels = F.array(*[F.lit(c) for c in columns])
         headers = df.select(name.alias("sheet_id")).distinct().select(
@@ -124,8 +124,9 @@ def cap_rows(sheets: Sheets, max_rows: int) -> tuple[Sheets, DataFrame]:
 
     This is a preview feature; nothing else in the library caps rows.
     """
-    order = Window.partitionBy("sheet_id").orderBy("row_idx")
-    first = sheets.rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_rows).drop("_n")
+    from tabprep.operators.scale import first_rows
+
+    first = first_rows(sheets.rows, max_rows).drop("preview_idx")
     report = sheets.rows.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("source_rows"))
     report = report.withColumn("truncated", F.col("source_rows") > max_rows)
     return Sheets(first, sheets.headers), report
@@ -133,12 +134,10 @@ def cap_rows(sheets: Sheets, max_rows: int) -> tuple[Sheets, DataFrame]:
 
 def preview_rows(sheets: Sheets, n: int = 50) -> DataFrame:
     """First ``n`` rows of every sheet, nulls shown as empty text."""
-    order = Window.partitionBy("sheet_id").orderBy("row_idx")
-    return (
-        sheets.rows.withColumn("preview_idx", F.row_number().over(order))
-        .filter(F.col("preview_idx") <= n)
-        .withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
-    )
+    from tabprep.operators.scale import first_rows
+
+    shown = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
+    return first_rows(sheets.rows, n).withColumn("cells", shown)
 
 
 def sheet_summary(sheets: Sheets, sample_rows: int = 50, max_rows: int | None = None) -> DataFrame:

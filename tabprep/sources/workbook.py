@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tabprep.sources.tables import Sheets
 
-# File suffixes, and texts the reference's reader takes for a missing cell.
+# File suffixes, and texts taken for a missing cell.
 SUFFIXES = (".xls", ".xlsx", ".xlsm", ".xlsb")
 READABLE = (".xlsx", ".xlsm")
 MISSING_TEXTS = [

@@ -19,7 +19,7 @@ from tabprep.operators.jobs import create_tickets, fold_updates
 from tabprep.operators.scale import attach
 from tabprep.session import scratch_path
 
-# Pace of the reference queues (tickets per batch, seconds between batches).
+# Usual pace of an assignment stream (tickets per batch, seconds between batches).
 DEFAULT_PACE = (20, 0.25)
 SHARED_PACE = (10, 0.5)
 

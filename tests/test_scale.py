@@ -54,11 +54,29 @@ def test_positions(series):
 
 
 @pytest.mark.parametrize("limit", [10, 0])
-def test_attach_keeps_all_rows_on_both_paths(spark, series, limit):
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_attach_keeps_all_rows_on_both_paths(spark, series, limit, how):
     data, df = series
+    data = data + [(None, 900, None)]
+    df = df.union(spark.createDataFrame([(None, 900, None)], df.schema))
     side = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, w int")
-    joined = sc.attach(df, side, ["k"], max_rows=limit, salts=4)
-    assert {r.i: r.w for r in joined.collect()} == {i: {"hot": 1, "a": 2}.get(k) for k, i, _ in data}
+    joined = sc.attach(df, side, ["k"], how=how, max_rows=limit, hot_share=0.3)
+    match = {"hot": 1, "a": 2}
+    if how == "left":
+        want = {i: match.get(k) for k, i, _ in data}
+    elif how == "left_anti":
+        want = {i: None for k, i, _ in data if k not in match}
+    else:
+        want = {i: match[k] if how == "inner" else None for k, i, _ in data if k in match}
+    assert {r.i: r.w if "w" in joined.columns else None for r in joined.collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 1000])
+def test_first_rows_across_chunks(spark, n):
+    data = [("s", i * 3) for i in range(40)] + [("t", i) for i in range(4)]
+    df = spark.createDataFrame(data, "sheet_id string, row_idx long").repartition(5)
+    got = rows(sc.first_rows(df, n, chunk_rows=7), "sheet_id", "row_idx")
+    assert got == [("s", i * 3, i + 1) for i in range(min(n, 40))] + [("t", i, i + 1) for i in range(min(n, 4))]
 
 
 def test_equal_share_buckets_keep_order(series):
