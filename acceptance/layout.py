@@ -270,10 +270,9 @@ def missingness_signals(spark, sf):
     "similar_templates",
     """WITH c AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
     cent AS (SELECT label AS template_id, list(x ORDER BY i) AS v FROM c GROUP BY 1),
-    s AS (SELECT vec_id AS sheet_id, template_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM embeddings, cent)
+    s AS (SELECT vec_id AS sheet_id, template_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS similarity FROM embeddings, cent)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY similarity DESC, template_id)::INTEGER AS rank FROM s) WHERE rank <= 3""",
 )
 def similar_templates(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sheet_id"), F.col("embedding").alias("vector"), "label")
-    found = tp.similar_sheets(vectors, tp.template_centroids(vectors, "label"))
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return tp.similar_sheets(vectors, tp.template_centroids(vectors, "label"))
