@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from acceptance.assignment import ASSIGN_SQL, technicians, tickets
-from acceptance.base import corpus, query, table
+from acceptance.base import CLEANED_SQL, PARSED_SQL, corpus, query, table
 from acceptance.rules import _J, jobs
 from tabprep.operators import clean as cl
 from tabprep.operators import evaluate as ev
@@ -361,10 +361,22 @@ def import_run(spark, sf):
     return done.jobs.join(made, "job_id", "left").select("job_id", "status", F.coalesce("tickets", F.lit(0)).alias("tickets"))
 
 
-@query("cleaned_profile_by_day")
+_DAILY = "WITH cells AS (" + " UNION ALL ".join(
+    f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS sheet_id, event_id AS row_idx, {i} AS col_idx, '{c}' AS header, CAST({c} AS VARCHAR) AS value FROM events"
+    for i, c in enumerate(("event_type", "value", "props"))
+) + ")," + CLEANED_SQL + "," + PARSED_SQL
+
+
+@query(
+    "cleaned_profile_by_day",
+    _DAILY + """ SELECT sheet_id, header, round(nums / filled, 6) AS numeric_ratio, round(dts / filled, 6) AS date_ratio,
+    round(boos / filled, 6) AS boolean_ratio, round(dist / filled, 6) AS unique_ratio FROM counts""",
+)
 def cleaned_profile_by_day(spark, sf):
     """Many small sheets at once: one per day, profiled in one job."""
     events = table(spark, sf, "events")
     sheets = as_sheet(events, F.to_date("ts").cast("string"), "event_id", ["event_type", "value", "props"])
     cleaned = cl.clean(sheets).sheets
-    return pf.profile(cleaned.headers, pf.column_counts(pf.value_histogram(cleaned)))
+    profiled = pf.profile(cleaned.headers, pf.column_counts(pf.value_histogram(cleaned)))
+    ratios = [F.round(f"{k}_ratio", 6).alias(f"{k}_ratio") for k in ("numeric", "date", "boolean", "unique")]
+    return profiled.select("sheet_id", "header", *ratios)
