@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import exact_dedup
+from tabprep.llm import exact_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,19 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)""")
 def op4_exact_dedup(spark, sf_dir):
     found = exact_dedup.content_sort(table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.pack_power_of_two(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
+    )
+
+
+@query("op3_packing")
+def op3_packing(spark, sf_dir):
+    return _packed(table(spark, sf_dir, "documents"))
