@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import exact_dedup, language, packing, simhash
+from tabprep.llm import decontaminate, exact_dedup, language, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +38,7 @@ def op4_exact_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", F.col("group_size").cast("long"), "kept", "text_sha256")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     pieces = packing.pack_power_of_two(
@@ -51,24 +51,24 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 @query("op3_packing")
 def op3_packing(spark, sf_dir):
-    return _packed(table(spark, sf_dir, "documents"))
+    return packed_documents(table(spark, sf_dir, "documents"))
 
 
-def _held_out(doc_id: str = "doc_id"):
+def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def _learned_languages(docs: DataFrame) -> language.LanguageModel:
-    taught = docs.filter(~F.coalesce(_held_out(), F.lit(False)))
+def learned_languages(docs: DataFrame) -> language.LanguageModel:
+    taught = docs.filter(~F.coalesce(held_out(), F.lit(False)))
     return language.fit(taught, F.col("text"), F.col("lang"))
 
 
 @query("op2_language_mixture")
 def op2_language_mixture(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = language.identify(docs, _learned_languages(docs), keep=["doc_id"])
+    found = language.identify(docs, learned_languages(docs), keep=["doc_id"])
     return found.select(
-        "row.doc_id", F.coalesce(_held_out("row.doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score",
+        "row.doc_id", F.coalesce(held_out("row.doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score",
         F.concat_ws(",", F.transform("mixture", lambda m: F.concat(m["lang"], F.lit(":"), F.round(m["share"], 3)))).alias("mixture"),
     )
 
@@ -77,3 +77,9 @@ def op2_language_mixture(spark, sf_dir):
 def op6_simhash(spark, sf_dir):
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "fingerprint", "component_id", "representative")
+
+
+@query("op1_decontamination")
+def op1_decontamination(spark, sf_dir):
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return leaks.select("row.doc_id", "item_id", "distance", "budget", F.col("end").alias("match_end"))
