@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, exact_dedup, language, packing, simhash
+from tabprep.llm import decontaminate, exact_dedup, language, packing, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,19 @@ def op6_simhash(spark, sf_dir):
 def op1_decontamination(spark, sf_dir):
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return leaks.select("row.doc_id", "item_id", "distance", "budget", F.col("end").alias("match_end"))
+
+
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filter.judge(pages, url_filter.train(url_filter.labelled_urls(spark)), URL_RULES)
+    return found.select("row.page_id", "host", "path", "rule", "verdict", "score")
