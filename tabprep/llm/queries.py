@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, exact_dedup, language, packing, simhash, url_filter
+from tabprep.llm import decontaminate, exact_dedup, language, packing, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,14 @@ def op8_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     found = url_filter.judge(pages, url_filter.train(url_filter.labelled_urls(spark)), URL_RULES)
     return found.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~held_out()))
+    found = quality.score(docs, model, keep=["doc_id"])
+    return found.select(
+        "row.doc_id", F.coalesce(held_out("row.doc_id"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
