@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, exact_dedup, language, packing, quality, simhash, url_filter
+from tabprep.llm import decontaminate, exact_dedup, language, licenses, packing, pii, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,22 @@ def op5_quality(spark, sf_dir):
         "row.doc_id", F.coalesce(held_out("row.doc_id"), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.to_json(F.when(F.size("blocks") > 0, F.col("blocks"))).alias("blocks"),
+    )
+
+
+#: The key of the registered query; in use it comes from a secret store.
+PSEUDONYM_KEY = "acceptance-key"
+
+
+@query("op7_pii_pseudonyms")
+def op7_pii_pseudonyms(spark, sf_dir):
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id"])
+    return found.select("row.doc_id", "text", "n_found", "n_replaced")

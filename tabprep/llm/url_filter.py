@@ -15,7 +15,7 @@ from tabprep.llm.text import lower_ascii, packed
 #: Hashed features, n-gram lengths and the probability from which a URL is blocked.
 FEATURES = 1 << 13
 GRAMS = (3, 4, 5)
-BLOCK_FROM = 0.6
+BLOCK_FROM = 0.7
 ROUNDS = 60
 RIDGE = 0.002
 #: Rules are part of the plan; more than this belong in a table of their own.
@@ -77,16 +77,14 @@ def best_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_max(F.array(*fitting))
 
 
+def _grams_of(text: Column, n: int, tag: str) -> Column:
+    """Every n-gram of ``text``, tagged; a text shorter than ``n`` gives itself."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.transform(starts, lambda i: F.concat(F.lit(tag), F.substr(text, i, F.lit(n))))
+
+
 def _grams(text: Column, tag: str) -> Column:
-    # every n-gram of a text with its ends marked; texts shorter than n give themselves
-    parts = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.concat(F.lit(tag), text.substr(i, F.lit(n))),
-        )
-        for n in GRAMS
-    ]
-    return F.concat(*parts)
+    return F.concat(*[_grams_of(text, n, tag) for n in GRAMS])
 
 
 def _features(df: DataFrame) -> DataFrame:
