@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, exact_dedup, language, licenses, packing, pii, quality, simhash, url_filter
+from tabprep.llm import decontaminate, exact_dedup, language, licenses, packing, pii, quality, simhash, span_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,14 @@ PSEUDONYM_KEY = "acceptance-key"
 def op7_pii_pseudonyms(spark, sf_dir):
     found = pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id"])
     return found.select("row.doc_id", "text", "n_found", "n_replaced")
+
+
+@query("op9_sentence_spans")
+def op9_sentence_spans(spark, sf_dir):
+    found = span_dedup.repeated_stretches(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("stretches").cast("long").alias("n_stretches"),
+        F.aggregate("stretches", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed_chars"),
+        F.array_join(F.transform("stretches", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("removed"),
+    )
