@@ -36,11 +36,15 @@ class LanguageModel:
     log_p: np.ndarray
 
 
-def _trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded letters flag and the bucket of the trigram around each byte; blanks stand beyond both ends."""
-    folded = np.concatenate(([32], _FOLD[data], [32])).astype(np.uint32)
-    code = folded[:-2] << 16 | folded[1:-1] << 8 | folded[2:]
-    return folded[1:-1] != 32, (code * np.uint32(2654435761)) >> np.uint32(17)
+def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded letters flag and the bucket of the trigram around each byte; blanks stand beyond both ends of a text."""
+    folded = _FOLD[data].astype(np.uint32)
+    before, after = np.roll(folded, 1), np.roll(folded, -1)
+    filled = np.flatnonzero(np.diff(offsets))
+    before[offsets[filled]] = 32
+    after[offsets[filled + 1] - 1] = 32
+    code = before << 16 | folded << 8 | after
+    return folded != 32, (code * np.uint32(2654435761)) >> np.uint32(17)
 
 
 def fit(docs: DataFrame, text: Column, lang: Column) -> LanguageModel:
@@ -56,7 +60,7 @@ def fit(docs: DataFrame, text: Column, lang: Column) -> LanguageModel:
             names = by_lang.dictionary.to_pylist()
             numbers = by_lang.indices.to_numpy(zero_copy_only=False)
             for first, last, data, offsets in byte_blocks(batch.column(0)):
-                letter, bucket = _trigrams(data)
+                letter, bucket = _trigrams(data, offsets)
                 owner = np.repeat(numbers[first:last], np.diff(offsets))[letter].astype(np.int64)
                 counts = np.bincount(owner * BUCKETS + bucket[letter], minlength=len(names) * BUCKETS)
                 for name, row in zip(names, counts.reshape(len(names), BUCKETS)):
@@ -98,7 +102,7 @@ def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tuple[
     """Proportions of the selected languages (others zero) for each text of a block, and whether it has words."""
     n_langs = len(model.languages)
     out = np.zeros((len(offsets) - 1, n_langs))
-    letter, bucket = _trigrams(data)
+    letter, bucket = _trigrams(data, offsets)
     bounds = np.zeros(len(data) + 1, bool)
     bounds[offsets] = True
     # a word ends with its text, even if the next text goes on with a letter
