@@ -40,11 +40,14 @@ STRUCTURE = [*_CLASS, "log_bytes", "word_length", "distinct", "top_share", "repe
 _PRIME = np.uint64(0x100000001B3)
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate(([1], np.full(n, _PRIME, np.uint64))).astype(np.uint64))
+_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
 
 
-_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to ``n``, modulo 2^64."""
+    factors = np.full(n + 1, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 @dataclass(frozen=True)
@@ -81,10 +84,9 @@ def features(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray) -> Featur
     word_row = np.searchsorted(offsets, starts, side="right") - 1
     words = np.bincount(word_row, minlength=n).astype(np.float64)
     if len(starts):
-        power = _powers(len(data))
-        total = np.concatenate(([0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1]))).astype(np.uint64)
-        inverse = np.cumprod(np.concatenate(([1], np.full(len(data), _INVERSE, np.uint64))).astype(np.uint64))
-        digest = (total[ends] - total[starts]) * inverse[starts]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_PRIME, len(data))[:-1], dtype=np.uint64, out=total[1:])
+        digest = (total[ends] - total[starts]) * _powers(_INVERSE, len(data))[starts]
         digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         word = (digest >> np.uint64(51)).astype(np.int64)
         same = np.concatenate(([False], (digest[1:] == digest[:-1]) & (word_row[1:] == word_row[:-1])))
