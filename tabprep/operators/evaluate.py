@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.operators.scale import attach, equal_share_bucket, scan_sum
+from tabprep.operators.scale import CHUNK_ROWS, attach, chunked, scan_sum
 
 
 def stable_unit(*keys: Column, seed: int = 0) -> Column:
@@ -102,7 +102,7 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int = 200, l
     )
 
 
-def ks_distance(samples: DataFrame, metric: str, value: str, sample: str, buckets: int = 256) -> DataFrame:
+def ks_distance(samples: DataFrame, metric: str, value: str, sample: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Largest gap between the distribution functions of sample ``a`` and sample ``b`` per metric.
 
     ``samples(<metric>, <value>, <sample>)`` with ``sample`` "a" or "b". Values are counted first;
@@ -113,9 +113,9 @@ def ks_distance(samples: DataFrame, metric: str, value: str, sample: str, bucket
         count("a").alias("_a"), count("b").alias("_b")
     )
     sizes = counts.groupBy(metric).agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
-    sliced = equal_share_bucket(counts, "_v", buckets)
-    running = scan_sum(sliced, [metric], "_bucket", ["_v"], F.col("_a"), "_ca")
-    running = scan_sum(running, [metric], "_bucket", ["_v"], F.col("_b"), "_cb")
+    sliced = chunked(counts, "_v", chunk_rows)
+    running = scan_sum(sliced, [metric], "_chunk", ["_v"], F.col("_a"), "_ca")
+    running = scan_sum(running, [metric], "_chunk", ["_v"], F.col("_b"), "_cb")
     joined = attach(running, sizes, [metric], how="inner")
     gap = F.abs(F.col("_ca") / F.col("_na") - F.col("_cb") / F.col("_nb"))
     return joined.groupBy(metric).agg(F.max(gap).alias("distance"), F.first("_na").alias("size_a"), F.first("_nb").alias("size_b"))

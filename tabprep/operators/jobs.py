@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.operators.scale import attach, equal_share_bucket, positions, scan_last
+from tabprep.operators.scale import CHUNK_ROWS, attach, chunked, positions, scan_last
 
 # Allowed moves of a job's status. A job may fail from any state but a final one.
 TRANSITIONS = {
@@ -85,14 +85,14 @@ def apply_updates(jobs: DataFrame, updates: DataFrame, fields: Sequence[str], or
     return merged, refused
 
 
-def transitions(events: DataFrame, order: Sequence[str] = ("ts", "seq"), buckets: int = 64) -> DataFrame:
+def transitions(events: DataFrame, order: Sequence[str] = ("ts", "seq"), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every status change with its predecessor and whether the move is allowed.
 
     ``events(job_id, <order>, status)``. The predecessor is looked up inside (job, time slice) and
     carried between slices, so one job may own a third of the log.
     """
-    sliced = equal_share_bucket(events, order[0], buckets)
-    seen = scan_last(sliced, ["job_id"], "_bucket", list(order), F.col("status"), "previous", inclusive=False).drop("_bucket")
+    sliced = chunked(events, order[0], chunk_rows)
+    seen = scan_last(sliced, ["job_id"], "_chunk", list(order), F.col("status"), "previous", inclusive=False).drop("_chunk")
     allowed = F.when(F.col("previous").isNull(), F.col("status") == "PENDING")
     for state, following in TRANSITIONS.items():
         allowed = allowed.when(F.col("previous") == state, F.col("status").isin([*following, "FAILED"]))

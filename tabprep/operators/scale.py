@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprep.session import materialize, materialize_counted
+from tabprep.session import materialize, materialize_counted, stored_bytes
 
-#: Rows per segment of an ordered scan over source positions.
+#: Rows per segment of an ordered scan over source positions, and most segments, whose cuts the driver holds.
 CHUNK_ROWS = 65_536
-#: A side with more rows than this is never broadcast.
+MOST_CHUNKS = 10_000
+#: A side with more rows than this, or more bytes as stored, is never broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
+#: Tasks that rows without a key are dealt over in a shuffled join.
+NULL_SLOTS = 1024
 
 
 def attach(
@@ -21,48 +25,38 @@ def attach(
     keys: Sequence[str],
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
-    hot_share: float = 0.002,
+    max_bytes: int = BROADCAST_BYTES,
     stored: bool = False,
 ) -> DataFrame:
-    """Join ``side`` (at most one row per key) onto ``big`` without concentrating a hot key.
+    """Join ``side`` (at most one row per key) onto ``big``, which is read once.
 
-    ``side`` is written out first, so its row count is known. Up to ``max_rows`` it is broadcast
-    and ``big`` does not move. Beyond that both sides are shuffled, except for rows whose key is
-    null (they match nothing) or holds more than ``hot_share`` of all rows: there are at most
-    ``1 / hot_share`` such keys, and their side rows are broadcast.
+    ``side`` is written out first, so its rows and bytes are known. Up to both limits it is broadcast and
+    ``big`` does not move. Beyond them one equi-join shuffles both sides: rows whose key is null match nothing
+    and are dealt over all tasks, and partitions with a hot key are split by adaptive execution.
     """
     keys = list(keys)
     side, size = (side, side.count()) if stored else materialize_counted(side, "side")
-    if size <= max_rows:
+    if size <= max_rows and stored_bytes(side) <= max_bytes:
         return big.join(F.broadcast(side), keys, how)
     full = F.lit(True)
     for k in keys:
         full = full & F.col(k).isNotNull()
-    counts = materialize(big.filter(full).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "keys")
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = materialize(counts.filter(F.col("_n") > hot_share * total).select(*keys), "hot")
-    known = big.filter(full)
-    warm = known.join(F.broadcast(hot), keys, "left_semi").join(
-        F.broadcast(side.join(F.broadcast(hot), keys, "left_semi")), keys, how
-    )
-    rest = known.join(F.broadcast(hot), keys, "left_anti").join(side, keys, how)
-    parts = warm.unionByName(rest)
-    if how in ("left", "left_anti"):
-        parts = parts.unionByName(big.filter(~full), allowMissingColumns=True)
-    return parts
+    dealt = F.when(full, F.lit(0)).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SLOTS))).cast("int")
+    joined = big.withColumn("_dealt", dealt).join(side.withColumn("_dealt", F.lit(0)), [*keys, "_dealt"], how)
+    return joined.drop("_dealt")
 
 
 def first_rows(rows: DataFrame, n: int, out: str = "preview_idx", chunk_rows: int | None = None) -> DataFrame:
     """First ``n`` rows of each sheet with their 1-based place.
 
-    Rows are counted per stretch of source positions; only stretches that begin before the ``n``-th
-    row are ranked, each by itself, so a sheet of any length stays spread out.
+    Rows are counted per chunk of the source order (see ``chunked``); only chunks that begin before the
+    ``n``-th row are ranked, each by itself, so a sheet of any length stays spread out.
     """
-    chunked = rows.withColumn("_chunk", row_chunk(size=chunk_rows or CHUNK_ROWS))
-    sizes = chunked.groupBy("sheet_id", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
+    cut = chunked(rows, "row_idx", chunk_rows or CHUNK_ROWS)
+    sizes = cut.groupBy("sheet_id", "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy("sheet_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     wanted = sizes.select("sheet_id", "_chunk", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    kept = attach(chunked, wanted.filter(F.col("_start") < n), ["sheet_id", "_chunk"], how="inner")
+    kept = attach(cut, wanted.filter(F.col("_start") < n), ["sheet_id", "_chunk"], how="inner")
     inside = Window.partitionBy("sheet_id", "_chunk").orderBy("row_idx")
     placed = kept.withColumn(out, F.col("_start") + F.row_number().over(inside)).filter(F.col(out) <= n)
     return placed.select(*rows.columns, out)
@@ -91,14 +85,21 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     )
 
 
-def row_chunk(row: str | Column = "row_idx", size: int = CHUNK_ROWS) -> Column:
-    """Segment number of a source position: order preserving and at most ``size`` rows wide."""
-    row = F.col(row) if isinstance(row, str) else row
-    return F.floor(row / F.lit(size)).cast("long")
+def chunked(df: DataFrame, column: str, rows: int = CHUNK_ROWS, out: str = "_chunk") -> DataFrame:
+    """Add an order preserving chunk number of a position, time or number, cut by rank and not by value.
+
+    One aggregation sketches the order of all rows; the cuts leave about ``rows`` rows between them, or one in
+    ``MOST_CHUNKS`` of all if that is more. Sparse and hashed positions make as few chunks as dense ones. Rows
+    of one position stay together.
+    """
+    total = df.count()
+    return equal_share_bucket(df, column, max(1, min(MOST_CHUNKS, -(-total // rows))), out)
 
 
-def equal_share_bucket(df: DataFrame, column: str, buckets: int = 256, out: str = "_bucket") -> DataFrame:
+def equal_share_bucket(df: DataFrame, column: str, buckets: int, out: str = "_bucket") -> DataFrame:
     """Add an order preserving bucket of a timestamp or number holding about 1/``buckets`` of all rows."""
+    if buckets < 2:
+        return df.withColumn(out, F.lit(0).cast("long"))
     as_double = ordering_double(df, column)
     cuts = df.select(
         F.percentile_approx(as_double, [i / buckets for i in range(1, buckets)], 4 * buckets)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.operators.scale import CHUNK_ROWS, attach, row_chunk, scan_last
+from tabprep.operators.scale import CHUNK_ROWS, attach, chunked, scan_last
 from tabprep.session import materialize
 from tabprep.sources.tables import Sheets
 
@@ -37,11 +37,8 @@ def table_rows(sheets: Sheets, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     The previous filled row is carried across chunks of the source position, so one endless sheet
     is scanned by many tasks.
     """
-    filled = (
-        sheets.rows.withColumn("_places", _filled(F.col("cells")))
-        .filter(F.size("_places") > 0)
-        .withColumn("_chunk", row_chunk(size=chunk_rows))
-    )
+    filled = sheets.rows.withColumn("_places", _filled(F.col("cells"))).filter(F.size("_places") > 0)
+    filled = chunked(filled, "row_idx", chunk_rows)
     seen = scan_last(filled, ["sheet_id"], "_chunk", ["row_idx"], F.col("row_idx"), "_prev", inclusive=False)
     starts = F.when(F.col("_prev").isNull() | (F.col("_prev") < F.col("row_idx") - 1), F.col("row_idx"))
     labelled = scan_last(seen, ["sheet_id"], "_chunk", ["row_idx"], starts, "table_start")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprep.operators.scale import CHUNK_ROWS, attach, row_chunk, scan_last
+from tabprep.operators.scale import CHUNK_ROWS, attach, chunked, scan_last
 from tabprep.sources.tables import Sheets
 
 
@@ -22,8 +22,7 @@ def fill_merged(cells: DataFrame, axis: str = "rows", chunk_rows: int = CHUNK_RO
         right = Window.partitionBy("sheet_id", "row_idx").orderBy("col_idx")
         shown = cells.withColumn("_shown", F.last("value", ignorenulls=True).over(right))
     else:
-        chunked = cells.withColumn("_chunk", row_chunk(size=chunk_rows))
-        shown = scan_last(chunked, ["sheet_id", "col_idx"], "_chunk", ["row_idx"], F.col("value"), "_shown").drop("_chunk")
+        shown = scan_last(chunked(cells, "row_idx", chunk_rows), ["sheet_id", "col_idx"], "_chunk", ["row_idx"], F.col("value"), "_shown").drop("_chunk")
     return shown.withColumn("value", F.coalesce("value", F.when(F.col("merged"), F.col("_shown")))).drop("_shown")
 
 
@@ -32,7 +31,7 @@ def flatten_levels(rows: DataFrame, levels: Sequence[str], chunk_rows: int = CHU
 
     ``rows(sheet_id, row_idx, <levels>, …)``: one column per level, outermost first.
     """
-    out = rows.withColumn("_chunk", row_chunk(size=chunk_rows))
+    out = chunked(rows, "row_idx", chunk_rows)
     for i, level in enumerate(levels):
         mark = F.when(F.col(level).isNotNull(), F.struct(F.col("row_idx").alias("at"), F.col(level).alias("label")))
         out = scan_last(out, ["sheet_id"], "_chunk", ["row_idx"], mark, f"_l{i}")
@@ -68,7 +67,7 @@ def structural_features(rows: DataFrame, is_subtotal: Column, chunk_rows: int =
     Relative row, distance to the header row and to the nearest subtotal above, filled share.
     """
     ends = rows.groupBy("sheet_id").agg(F.max("row_idx").alias("_last"))
-    placed = attach(rows, ends, ["sheet_id"]).withColumn("_chunk", row_chunk(size=chunk_rows))
+    placed = attach(chunked(rows, "row_idx", chunk_rows), ends, ["sheet_id"])
     seen = scan_last(placed, ["sheet_id"], "_chunk", ["row_idx"], F.when(is_subtotal, F.col("row_idx")), "_subtotal")
     filled = F.size(F.filter("cells", lambda c: c.isNotNull()))
     return seen.select(

@@ -66,6 +66,11 @@ def materialize_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame,
     return stored, watch.get["rows"]
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files behind a table as ``materialize`` returns it, as the planner knows it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -23,7 +23,7 @@ def series(spark):
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_scan_last(series, inclusive):
     data, df = series
-    found = sc.scan_last(df.withColumn("b", sc.row_chunk("i", 3)), ["k"], "b", ["i"], F.col("v"), "last", inclusive)
+    found = sc.scan_last(sc.chunked(df, "i", 3, "b"), ["k"], "b", ["i"], F.col("v"), "last", inclusive)
     seen, want = {}, {}
     for k, i, v in data:
         before = seen.get(k)
@@ -35,7 +35,7 @@ def test_scan_last(series, inclusive):
 
 def test_scan_sum(series):
     data, df = series
-    found = sc.scan_sum(df.withColumn("b", sc.row_chunk("i", 4)), ["k"], "b", ["i"], F.coalesce("v", F.lit(0)), "total")
+    found = sc.scan_sum(sc.chunked(df, "i", 4, "b"), ["k"], "b", ["i"], F.coalesce("v", F.lit(0)), "total")
     total, want = {}, {}
     for k, i, v in data:
         total[k] = total.get(k, 0) + (v or 0)
@@ -60,7 +60,7 @@ def test_attach_keeps_all_rows_on_both_paths(spark, series, limit, how):
     data = data + [(None, 900, None)]
     df = df.union(spark.createDataFrame([(None, 900, None)], df.schema))
     side = spark.createDataFrame([("hot", 1), ("a", 2)], "k string, w int")
-    joined = sc.attach(df, side, ["k"], how=how, max_rows=limit, hot_share=0.3)
+    joined = sc.attach(df, side, ["k"], how=how, max_rows=limit)
     match = {"hot": 1, "a": 2}
     if how == "left":
         want = {i: match.get(k) for k, i, _ in data}
@@ -71,6 +71,35 @@ def test_attach_keeps_all_rows_on_both_paths(spark, series, limit, how):
     assert {r.i: r.w if "w" in joined.columns else None for r in joined.collect()} == want
 
 
+def scans(df, name):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(f"Relation [{name}")
+
+
+def test_chained_attach_reads_the_big_side_once(spark, series, tmp_path):
+    _, df = series
+    df.selectExpr("i as big_id", "k", "v").write.parquet(f"{tmp_path}/big")
+    big = spark.read.parquet(f"{tmp_path}/big")
+    side = spark.createDataFrame([("hot", 1), ("a", 2), (None, 3)], "k string, w int")
+    out = big
+    for name in ("w1", "w2", "w3"):
+        out = sc.attach(out, side.withColumnRenamed("w", name), ["k"], max_rows=0)
+    assert scans(out, "big_id") == 1 and out.count() == big.count()
+
+
+def test_bytes_decide_a_broadcast(series, spark):
+    _, df = series
+    side = spark.createDataFrame([("hot", "x" * 1000)], "k string, w string")
+    plan = lambda limit: sc.attach(df, side, ["k"], max_bytes=limit)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(1 << 20) and "strategy=broadcast" not in plan(10)
+
+
+def test_chunks_follow_ranks_not_positions(spark):
+    sparse = spark.range(5000).select(F.xxhash64("id").alias("row_idx"))
+    sizes = [r["count"] for r in sc.chunked(sparse, "row_idx", 500).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 800
+    assert sc.chunked(sparse.limit(0), "row_idx", 500).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 5, 6, 1000])
 def test_first_rows_across_chunks(spark, n):
     data = [("s", i * 3) for i in range(40)] + [("t", i) for i in range(4)]
