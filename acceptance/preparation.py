@@ -108,7 +108,7 @@ def row_type_classification(spark, sf):
     kind = F.when(F.col("dist_to_header") == 0, "title").when(F.get("cells", F.lit(2)).isNotNull(), "subtotal").otherwise("data")
     rows = ev.split(_structured(spark, sf).na.fill({"dist_to_subtotal": -1}).withColumn("kind", kind), "row_idx")
     features = ["row_rel", "dist_to_header", "dist_to_subtotal", "filled_share"]
-    scored = fr.classify_rows(rows.filter("part = 'train'"), rows.filter("part = 'test'"), features, "kind", trees=20, depth=5)
+    scored = fr.classify_rows(rows.filter("part = 'train'"), rows.filter("part = 'test'"), features, "kind")
     return ev.class_scores(scored, "kind", "predicted")
 
 
@@ -117,7 +117,7 @@ def forest_imputation(spark, sf):
     lines = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey", "l_quantity", "l_discount", "cast(l_partkey as double) as part", "case when l_tax < 0.07 then l_extendedprice end as price"
     )
-    filled = fr.impute_forest(lines, "price", ["l_quantity", "l_discount", "part"], trees=5, depth=4)
+    filled = fr.impute_forest(lines, "price", ["l_quantity", "l_discount", "part"])
     return filled.groupBy(F.col("l_quantity")).agg(F.round(F.avg("price"), 2).alias("mean_price"), F.count("price").alias("n"))
 
 
@@ -180,7 +180,7 @@ def class_scores(spark, sf):
 
 @query("bootstrap_interval")
 def bootstrap_interval(spark, sf):
-    return ev.bootstrap_mean(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", replicates=100)
+    return ev.bootstrap_mean(table(spark, sf, "orders"), "o_orderkey", "o_totalprice")
 
 
 _HALVES = "unpivoted AS (SELECT 'value' AS metric, value AS v, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'a' ELSE 'b' END AS s FROM events UNION ALL SELECT 'user', user_id, CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE 'b' END FROM events)"

@@ -12,12 +12,9 @@ from tabprep.sources.tables import to_cells
 
 r6 = lambda c: F.round(c, 6).alias(c)
 
-#: the text column would make whole documents feature names; it is profiled, not encoded
-SKIP = ("text",)
 
-
-def _typed(spark, sf, names=None, skip=()):
-    sheets = cl.clean(corpus(spark, sf, names, skip)).sheets
+def _typed(spark, sf, names=None):
+    sheets = cl.clean(corpus(spark, sf, names)).sheets
     histogram = pf.stored_histogram(sheets)
     types = materialize(pf.infer_types(sheets.headers, pf.column_counts(histogram)), "types")
     return sheets, types, pf.coerce_histogram(histogram, types)
@@ -92,11 +89,11 @@ _BOUNDS = """, qs AS (SELECT sheet_id, col_idx, header, quantile_cont(num, 0.25)
 
 @query(
     "outlier_summary",
-    coerced_sql(skip=SKIP) + _BOUNDS + """ SELECT sheet_id, header, round(lo, 3) AS lower_cap, round(hi, 3) AS upper_cap,
+    coerced_sql() + _BOUNDS + """ SELECT sheet_id, header, round(lo, 3) AS lower_cap, round(hi, 3) AS upper_cap,
     count(CASE WHEN num < lo OR num > hi THEN 1 END) AS capped_values FROM capped GROUP BY sheet_id, header, lo, hi""",
 )
 def outlier_summary(spark, sf):
-    sheets, types, typed = _typed(spark, sf, skip=SKIP)
+    sheets, types, typed = _typed(spark, sf)
     numbers = materialize(typed.filter("kind <> 'categorical'"), "numbers")
     bounds = materialize(nm.iqr_bounds(numbers, "n"), "bounds")
     found = nm.outlier_summary(numbers, bounds, "n").join(types, ["sheet_id", "col_idx"])
@@ -107,7 +104,7 @@ def outlier_summary(spark, sf):
 
 @query(
     "profile_summary",
-    coerced_sql(skip=SKIP) + _BOUNDS + """, out AS (SELECT sheet_id, count(CASE WHEN num < lo OR num > hi THEN 1 END) AS total_capped
+    coerced_sql() + _BOUNDS + """, out AS (SELECT sheet_id, count(CASE WHEN num < lo OR num > hi THEN 1 END) AS total_capped
       FROM capped GROUP BY 1),
     dims AS (SELECT sheet_id, sum(CASE WHEN kind = 'categorical' THEN greatest(d - 1, 0) ELSE 1 END)::BIGINT AS feature_dims,
       any_value(r) AS total_rows FROM (SELECT sheet_id, col_idx, kind, count(DISTINCT txt) AS d, count(*) AS r FROM coerced GROUP BY ALL)
@@ -117,16 +114,16 @@ def outlier_summary(spark, sf):
 def profile_summary(spark, sf):
     from tabprep.plans.prepare import prepare_summary
 
-    return prepare_summary(corpus(spark, sf, skip=SKIP))
+    return prepare_summary(corpus(spark, sf))
 
 
 @query(
     "imputed_scaled_numbers",
-    coerced_sql(skip=SKIP) + _BOUNDS + """ SELECT f.sheet_id, f.row_idx, f.header,
+    coerced_sql() + _BOUNDS + """ SELECT f.sheet_id, f.row_idx, f.header,
     round((imp - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 4) AS value FROM filled f JOIN mom USING (sheet_id, col_idx)""",
 )
 def imputed_scaled_numbers(spark, sf):
-    sheets, types, typed = _typed(spark, sf, skip=SKIP)
+    sheets, types, typed = _typed(spark, sf)
     parameters = nm.numeric_parameters(materialize(typed.filter("kind <> 'categorical'"), "numbers"), "n")
     cells = pf.coerce(to_cells(sheets), types).filter("kind <> 'categorical'")
     ready = attach(nm.prepare_numbers(cells, parameters), sheets.headers, ["sheet_id", "col_idx"], how="inner")
@@ -250,13 +247,13 @@ _NAMES = _VOCAB + """, sizes AS (SELECT t.sheet_id, t.col_idx, t.header, kind, C
     coalesce((SELECT max(pos) FROM vocab v WHERE v.sheet_id = t.sheet_id AND v.col_idx = t.col_idx), 0) ELSE 1 END AS width FROM typed t),
   starts AS (SELECT *, sum(width) OVER (PARTITION BY sheet_id ORDER BY kind = 'categorical', col_idx) - width AS start FROM sizes),
   names AS (SELECT sheet_id, col_idx, NULL AS txt, start::BIGINT AS feature_idx, 'numeric__' || header AS name FROM starts WHERE kind <> 'categorical'
-    UNION ALL SELECT v.sheet_id, v.col_idx, v.txt, (start + pos - 1)::BIGINT, 'categorical__' || v.header || '_' || v.txt FROM vocab v
+    UNION ALL SELECT v.sheet_id, v.col_idx, v.txt, (start + pos - 1)::BIGINT, 'categorical__' || v.header || '_' || CASE WHEN length(v.txt) > 64 THEN 'md5:' || md5(v.txt) ELSE v.txt END FROM vocab v
     JOIN starts USING (sheet_id, col_idx) WHERE pos > 0)"""
 
 
-@query("feature_names", coerced_sql(skip=SKIP) + _NAMES + " SELECT sheet_id, feature_idx, name FROM names")
+@query("feature_names", coerced_sql() + _NAMES + " SELECT sheet_id, feature_idx, name FROM names")
 def feature_names(spark, sf):
-    _, types, typed = _typed(spark, sf, skip=SKIP)
+    _, types, typed = _typed(spark, sf)
     vocab = materialize(ct.vocabulary(typed.filter("kind = 'categorical'")), "vocab")
     return ct.feature_names(types, vocab).select("sheet_id", "feature_idx", "name")
 
@@ -270,17 +267,17 @@ _MATRIX = _BOUNDS + _NAMES + """, matrix AS (SELECT f.sheet_id, f.row_idx, featu
 
 @query(
     "feature_matrix",
-    coerced_sql(skip=SKIP) + _MATRIX + " SELECT sheet_id, row_idx, feature_idx, round(value, 4) AS value FROM matrix",
+    coerced_sql() + _MATRIX + " SELECT sheet_id, row_idx, feature_idx, round(value, 4) AS value FROM matrix",
 )
 def feature_matrix(spark, sf):
-    sheets, types, typed = _typed(spark, sf, skip=SKIP)
+    sheets, types, typed = _typed(spark, sf)
     matrix, _ = ct.feature_matrix(pf.coerce(to_cells(sheets), types), typed, types)
     return matrix.select("sheet_id", "row_idx", "feature_idx", F.round("value", 4).alias("value"))
 
 
 @query(
     "feature_preview",
-    coerced_sql(skip=SKIP) + _MATRIX + """, head AS (SELECT sheet_id, row_idx, row_number() OVER (PARTITION BY sheet_id ORDER BY row_idx)
+    coerced_sql() + _MATRIX + """, head AS (SELECT sheet_id, row_idx, row_number() OVER (PARTITION BY sheet_id ORDER BY row_idx)
       AS preview_idx FROM (SELECT DISTINCT sheet_id, row_idx FROM cleaned))
     SELECT h.sheet_id, preview_idx, n.feature_idx, round(coalesce(m.value, 0), 4) AS value FROM head h JOIN names n USING (sheet_id)
     LEFT JOIN matrix m ON m.sheet_id = h.sheet_id AND m.row_idx = h.row_idx AND m.feature_idx = n.feature_idx WHERE preview_idx <= 25""",
@@ -288,7 +285,7 @@ def feature_matrix(spark, sf):
 def feature_preview(spark, sf):
     from tabprep.plans.prepare import prepare
 
-    shown = prepare(corpus(spark, sf, skip=SKIP)).preview()
+    shown = prepare(corpus(spark, sf)).preview()
     return shown.select(
         "sheet_id", F.col("preview_idx").cast("long").alias("preview_idx"), F.posexplode("features").alias("feature_idx", "value")
     ).select("sheet_id", "preview_idx", F.col("feature_idx").cast("long").alias("feature_idx"), F.round("value", 4).alias("value"))

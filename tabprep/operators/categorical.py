@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from tabprep.operators.numeric import numeric_parameters, prepare_numbers
 from tabprep.operators.profile import COLUMN
-from tabprep.operators.scale import attach, first_rows, positions
+from tabprep.operators.scale import attach, positions
 from tabprep.session import materialize
 
 
+#: Categories with more characters than this are named, and joined on, by their MD5.
+NAMED_CHARS = 64
+
+
+def category_key(category: Column) -> Column:
+    """The category itself, or a digest of it if it is long: whole texts are neither moved nor made names."""
+    return F.when(F.length(category) > NAMED_CHARS, F.concat(F.lit("md5:"), F.md5(category))).otherwise(category)
+
+
 def modes(histogram: DataFrame, value: str = "text") -> DataFrame:
     """Most frequent value per column, ties to the smallest; ``histogram`` has a weight ``n``."""
     counts = histogram.filter(F.col(value).isNotNull()).groupBy(*COLUMN, value).agg(F.sum("n").alias("_c"))
@@ -57,7 +66,10 @@ def hash_encode(value: Column, buckets: int) -> Column:
 
 
 def feature_names(types: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(sheet_id, col_idx, category, feature_idx, name)``: numeric block, then categorical block."""
+    """``(sheet_id, col_idx, category, feature_idx, name)``: numeric block, then categorical block.
+
+    ``category`` is the ``category_key`` of the value.
+    """
     sizes = vocab.groupBy(*COLUMN).agg((F.max("pos")).alias("_width"))
     blocks = types.join(sizes, COLUMN, "left").withColumn(
         "_width", F.when(F.col("kind") == "categorical", F.coalesce("_width", F.lit(0))).otherwise(F.lit(1))
@@ -75,9 +87,9 @@ def feature_names(types: DataFrame, vocab: DataFrame) -> DataFrame:
     )
     hot = attach(vocab.filter("pos > 0"), starts, COLUMN, how="inner", stored=True).select(
         *COLUMN,
-        "category",
+        category_key(F.col("category")).alias("category"),
         (F.col("start") + F.col("pos") - 1).alias("feature_idx"),
-        F.concat(F.lit("categorical__"), "header", F.lit("_"), "category").alias("name"),
+        F.concat(F.lit("categorical__"), "header", F.lit("_"), category_key(F.col("category"))).alias("name"),
     )
     return numeric.unionByName(hot)
 
@@ -101,16 +113,15 @@ def feature_matrix(cells: DataFrame, typed_histogram: DataFrame, types: DataFram
     )
     filled = attach(
         cells.filter(kinds).select("sheet_id", "row_idx", "col_idx", "text"), mode, COLUMN, stored=True
-    ).select("sheet_id", "row_idx", "col_idx", F.coalesce("text", "mode").alias("category"))
+    ).select("sheet_id", "row_idx", "col_idx", category_key(F.coalesce("text", "mode")).alias("category"))
     hot = attach(filled, places.filter("category is not null"), [*COLUMN, "category"], how="inner").select(
         "sheet_id", "row_idx", "feature_idx", F.lit(1.0).alias("value")
     )
     return block.unionByName(hot), names
 
 
-def dense_preview(matrix: DataFrame, names: DataFrame, rows: DataFrame, n: int = 25) -> DataFrame:
-    """Dense vectors of the first ``n`` rows of each sheet, for display only."""
-    head = first_rows(rows.select("sheet_id", "row_idx"), n)
+def dense_preview(matrix: DataFrame, names: DataFrame, head: DataFrame) -> DataFrame:
+    """Dense vectors of the few rows in ``head(sheet_id, row_idx, preview_idx)``, for display only."""
     widths = names.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("dims"))
     shown = materialize(head.join(widths, "sheet_id"), "head")
     entries = attach(matrix, shown, ["sheet_id", "row_idx"], how="inner", stored=True)

@@ -11,6 +11,7 @@ from tabprep.operators import categorical as ct
 from tabprep.operators import numeric as nm
 from tabprep.operators import profile as pf
 from tabprep.operators.clean import CleanResult, clean
+from tabprep.operators.scale import first_rows
 from tabprep.session import materialize
 from tabprep.sources.tables import Sheets, to_cells
 
@@ -36,8 +37,11 @@ class Prepared:
         return ct.feature_matrix(cells, self.typed_histogram, self.types)
 
     def preview(self, n: int = 25) -> DataFrame:
-        matrix, names = self.features()
-        return ct.dense_preview(matrix, names, self.cleaned.sheets.rows, n)
+        """Feature vectors of the first ``n`` rows of each sheet; no other row is encoded."""
+        head = materialize(first_rows(self.cleaned.sheets.rows, n), "head")
+        cells = pf.coerce(to_cells(Sheets(head.drop("preview_idx"), self.cleaned.sheets.headers)), self.types)
+        matrix, names = ct.feature_matrix(cells, self.typed_histogram, self.types)
+        return ct.dense_preview(matrix, names, head.select("sheet_id", "row_idx", "preview_idx"))
 
 
 def prepare(sheets: Sheets) -> Prepared:
