@@ -118,15 +118,17 @@ def issue_messages(spark, sf):
 
 
 # --- request bodies --------------------------------------------------------------------------------
-_BODY = """concat('{{"project_id":"', case when o_orderpriority = '5-LOW' then '' else o_orderpriority end, '","created_by":"', o_custkey, '","mode":"',
+_BODY = """concat('{{"project_id":"', case when o_orderpriority = '5-LOW' then '' else o_orderpriority end, '","created_by":',
+  case o_orderkey % 7 when 0 then cast(o_custkey as {s}) when 1 then '{{"a":1}}' when 2 then 'true' else concat('"', o_custkey, '"') end, ',"mode":"',
   case when o_orderstatus = 'P' then 'OTHER' when o_orderstatus = 'F' then 'MASS_CREATE' else 'POST_SERVICE' end, '","upload":{{"filename":"f.xlsx","mimeType":"x","size":',
-  cast(o_totalprice - 100000 as {s}), case when o_totalprice < 300000 then ',"storageKey":"k"' else '' end, case when o_totalprice > 490000 then '' else '}}}}' end)"""
+  cast(o_totalprice - 100000 as {s}), case when o_totalprice < 300000 then ',"storageKey":"k"' else '' end, case when o_totalprice > 490000 then '' else '}}}}' end,
+  case o_orderkey % 11 when 0 then ' junk' when 1 then '{{}}' when 2 then ' ' else '' end)"""
 
 
 @query(
     "job_request_validation",
-    """SELECT o_orderkey, CASE WHEN o_totalprice > 490000 THEN 'malformed' ELSE concat_ws(',', CASE WHEN o_orderpriority = '5-LOW' THEN 'project_id' END,
-    CASE WHEN o_orderstatus = 'P' THEN 'mode' END, CASE WHEN o_totalprice < 100000 THEN 'upload.size' END, CASE WHEN o_totalprice >= 300000 THEN 'upload.storageKey' END) END AS errors FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 490000 OR o_orderkey % 11 < 2 THEN 'malformed' ELSE concat_ws(',', CASE WHEN o_orderpriority = '5-LOW' THEN 'project_id' END,
+    CASE WHEN o_orderkey % 7 < 3 THEN 'created_by' END, CASE WHEN o_orderstatus = 'P' THEN 'mode' END, CASE WHEN o_totalprice < 100000 THEN 'upload.size' END, CASE WHEN o_totalprice >= 300000 THEN 'upload.storageKey' END) END AS errors FROM orders""",
 )
 def job_request_validation(spark, sf):
     bodies = table(spark, sf, "orders").select("o_orderkey", F.expr(_BODY.format(s="string")).alias("payload"))
@@ -135,13 +137,18 @@ def job_request_validation(spark, sf):
     return checked.select("o_orderkey", F.when(broken, "malformed").otherwise(F.array_join("errors", ",")).alias("errors"))
 
 
-_DECISION = """concat('{{"proposeNewTemplate":', case when o_orderstatus = 'F' then 'true' else 'false' end, ',"rationale":"', case when o_orderpriority = '1-URGENT' then '' else 'why' end,
-  '","technicianSummary":"s"', case when o_totalprice > 200000 then ',"strongMatch":{{"template_id":"t","template_version_id":"v1","score":0.9}}' else '' end, '}}')"""
+_DECISION = """concat('{{"proposeNewTemplate":', case when o_orderstatus = 'F' then 'true' else 'false' end, ',"rationale":', case when o_orderpriority = '1-URGENT' then '""' when o_orderkey % 7 = 0 then '3' else '"why"' end,
+  ',"technicianSummary":', case when o_orderkey % 11 = 0 then 'false' else '"s"' end, case when o_orderkey % 5 = 0 then ',"nextSteps":[1,null]' when o_orderkey % 5 = 1 then ',"nextSteps":["a"]' else '' end,
+  case when o_orderkey % 13 < 2 then concat(',"repeatUploadHint":{{"fingerprint":"f","confirmedDateColumns":[', case when o_orderkey % 13 = 0 then 'null' else '"d"' end, '],"requiredPrompts":[],"templateExistsOnPlatform":true,"note":""}}') else '' end,
+  case when o_orderkey % 17 = 0 then ',"suggestions":[{{"template_id":"t","template_version_id":"v","score":"1"}}]' else '' end,
+  case when o_totalprice > 200000 then ',"strongMatch":{{"template_id":"t","template_version_id":"v1","score":0.9}}' when o_orderkey % 19 = 0 then ',"strongMatch":null' else '' end, '}}')"""
 
 
 @query(
     "decision_validation",
-    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderpriority = '1-URGENT' THEN 'rationale' END, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'ambiguous-decision' END) AS errors FROM orders""",
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 19 = 0 AND o_totalprice <= 200000 THEN 'strongMatch' END, CASE WHEN o_orderkey % 17 = 0 THEN 'suggestions' END,
+    CASE WHEN o_orderpriority = '1-URGENT' OR o_orderkey % 7 = 0 THEN 'rationale' END, CASE WHEN o_orderkey % 11 = 0 THEN 'technicianSummary' END, CASE WHEN o_orderkey % 5 = 0 THEN 'nextSteps' END,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'repeatUploadHint' END, CASE WHEN o_orderstatus = 'F' AND (o_totalprice > 200000 OR o_orderkey % 19 = 0) THEN 'ambiguous-decision' END) AS errors FROM orders""",
 )
 def decision_validation(spark, sf):
     bodies = table(spark, sf, "orders").select("o_orderkey", F.expr(_DECISION.format()).alias("payload"))

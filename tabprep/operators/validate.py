@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabprep.operators.scale import attach
 
@@ -26,14 +25,13 @@ ISSUES = {
 }
 LEAST_STRUCTURE_CONFIDENCE = 0.70
 
-UPLOAD_DDL = "struct<filename:string,mimeType:string,size:double,storageKey:string>"
-JOB_REQUEST_DDL = f"project_id string, created_by string, mode string, upload {UPLOAD_DDL}, _bad string"
+JOB_REQUEST_DDL = "project_id string, created_by string, mode string, upload struct<filename:string,mimeType:string,size:double,storageKey:string>"
 DECISION_DDL = (
     "strongMatch struct<template_id:string,template_version_id:string,score:double>, "
     "suggestions array<struct<template_id:string,template_version_id:string,score:double>>, "
     "proposeNewTemplate boolean, rationale string, technicianSummary string, nextSteps array<string>, "
     "repeatUploadHint struct<fingerprint:string,confirmedDateColumns:array<string>,requiredPrompts:array<string>,"
-    "templateExistsOnPlatform:boolean,note:string>, _bad string"
+    "templateExistsOnPlatform:boolean,note:string>"
 )
 
 
@@ -46,60 +44,99 @@ def _blank(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c) == "")
 
 
-def _parse(df: DataFrame, payload: str, ddl: str) -> DataFrame:
-    schema = T._parse_datatype_string(ddl)
-    parsed = F.from_json(F.col(payload), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return df.withColumn("_r", parsed)
+def _kind(value: Column) -> Column:
+    """JSON type of a VARIANT as Spark names it; null where there is no value."""
+    return F.schema_of_variant(value)
+
+
+def _at(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _is_text(value: Column, empty: bool = False) -> Column:
+    known = F.coalesce(_kind(value) == "STRING", F.lit(False))
+    return known if empty else known & (F.try_variant_get(value, "$", "string") != "")
+
+
+def _is_number(value: Column) -> Column:
+    return F.coalesce(_kind(value).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.lit(False))
+
+
+def _is_flag(value: Column) -> Column:
+    return F.coalesce(_kind(value) == "BOOLEAN", F.lit(False))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(_kind(value).startswith("OBJECT"), F.lit(False))
+
+
+def _is_list(value: Column, item) -> Column:
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return F.coalesce(_kind(value).startswith("ARRAY"), F.lit(False)) & F.forall(items, lambda x: x.isNotNull() & item(x))
+
+
+def _is_match(value: Column) -> Column:
+    named = _is_text(_at(value, "template_id")) & _is_text(_at(value, "template_version_id"))
+    return _is_object(value) & named & _is_number(_at(value, "score"))
+
+
+def _is_hint(value: Column) -> Column:
+    lists = [_is_list(_at(value, c), lambda x: _is_text(x, empty=True)) for c in ("confirmedDateColumns", "requiredPrompts")]
+    rest = _is_flag(_at(value, "templateExistsOnPlatform")) & _is_text(_at(value, "note"), empty=True)
+    return _is_object(value) & _is_text(_at(value, "fingerprint")) & lists[0] & lists[1] & rest
+
+
+def _checked(df: DataFrame, payload: str, ddl: str, rules) -> DataFrame:
+    """``errors`` of each body and, if it has none, its ``record``. A body must be one JSON object and nothing else."""
+    body = F.col(f"`{payload}`")
+    # the parser stops behind the first value; nothing but blanks may follow it both inside a list and inside an object
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
+    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}")))
+    alone = F.coalesce(F.size(listed) == 1, F.lit(False)) & boxed.isNotNull()
+    parsed = df.withColumn("_v", F.when(alone, F.try_parse_json(body)))
+    errors = when_list([("malformed", ~_is_object(F.col("_v"))), *rules(F.col("_v"))])
+    record = F.when(F.size("errors") == 0, F.from_json(body, ddl))
+    return parsed.withColumn("errors", errors).withColumn("record", record).drop("_v")
 
 
 def validate_job_requests(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Parse request bodies and list field errors; valid ones have an empty list."""
-    parsed = _parse(df, payload, JOB_REQUEST_DDL)
-    errors = when_list(
-        [
-            ("malformed", F.col("_r").isNull() | F.col("_r._bad").isNotNull()),
-            ("project_id", _blank("_r.project_id")),
-            ("created_by", _blank("_r.created_by")),
-            ("mode", F.col("_r.mode").isNull() | ~F.col("_r.mode").isin(MODES)),
-            ("upload.filename", _blank("_r.upload.filename")),
-            ("upload.mimeType", _blank("_r.upload.mimeType")),
-            ("upload.size", F.col("_r.upload.size").isNull() | (F.col("_r.upload.size") < 0)),
-            ("upload.storageKey", _blank("_r.upload.storageKey")),
+    """Parse request bodies and list the fields of a missing or wrong type or value; valid ones have an empty list."""
+
+    def rules(v: Column):
+        size = _at(v, "upload.size")
+        return [
+            ("project_id", ~_is_text(_at(v, "project_id"))),
+            ("created_by", ~_is_text(_at(v, "created_by"))),
+            ("mode", ~(_is_text(_at(v, "mode")) & F.try_variant_get(v, "$.mode", "string").isin(MODES))),
+            *[(f"upload.{c}", ~_is_text(_at(v, f"upload.{c}"))) for c in ("filename", "mimeType")],
+            ("upload.size", ~(_is_number(size) & (F.try_variant_get(size, "$", "double") >= 0))),
+            ("upload.storageKey", ~_is_text(_at(v, "upload.storageKey"))),
         ]
-    )
-    return parsed.withColumn("errors", errors).withColumn("record", F.col("_r").dropFields("_bad")).drop("_r")
+
+    return _checked(df, payload, JOB_REQUEST_DDL, rules)
 
 
 def validate_decisions(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Same for template decisions; proposing a new template beside a strong match is ambiguous."""
-    parsed = _parse(df, payload, DECISION_DDL)
-    match = F.col("_r.strongMatch")
-    half = match.isNotNull() & (
-        _blank("_r.strongMatch.template_id") | _blank("_r.strongMatch.template_version_id") | F.col("_r.strongMatch.score").isNull()
-    )
-    hint = F.col("_r.repeatUploadHint")
-    bad_hint = hint.isNotNull() & (
-        _blank("_r.repeatUploadHint.fingerprint") | hint["confirmedDateColumns"].isNull() | hint["requiredPrompts"].isNull()
-        | hint["templateExistsOnPlatform"].isNull() | hint["note"].isNull()
-    )
-    bad_suggestion = F.exists(
-        F.coalesce("_r.suggestions", F.array().cast("array<struct<template_id:string,template_version_id:string,score:double>>")),
-        lambda s: s["template_id"].isNull() | (s["template_id"] == "") | s["template_version_id"].isNull()
-        | (s["template_version_id"] == "") | s["score"].isNull(),
-    )
-    errors = when_list(
-        [
-            ("malformed", F.col("_r").isNull() | F.col("_r._bad").isNotNull()),
-            ("strongMatch", half),
-            ("suggestions", bad_suggestion),
-            ("proposeNewTemplate", F.col("_r.proposeNewTemplate").isNull()),
-            ("rationale", _blank("_r.rationale")),
-            ("technicianSummary", _blank("_r.technicianSummary")),
-            ("repeatUploadHint", bad_hint),
-            ("ambiguous-decision", F.col("_r.proposeNewTemplate") & match.isNotNull()),
+    """Same for template decisions; proposing a new template beside a strong match is ambiguous.
+
+    Fields that may be absent may not be null.
+    """
+
+    def rules(v: Column):
+        match, proposed = _at(v, "strongMatch"), F.try_variant_get(v, "$.proposeNewTemplate", "boolean")
+        absent_or = lambda name, good: _at(v, name).isNotNull() & ~good(_at(v, name))
+        return [
+            ("strongMatch", absent_or("strongMatch", _is_match)),
+            ("suggestions", absent_or("suggestions", lambda x: _is_list(x, _is_match))),
+            ("proposeNewTemplate", ~_is_flag(_at(v, "proposeNewTemplate"))),
+            ("rationale", ~_is_text(_at(v, "rationale"))),
+            ("technicianSummary", ~_is_text(_at(v, "technicianSummary"))),
+            ("nextSteps", absent_or("nextSteps", lambda x: _is_list(x, lambda i: _is_text(i, empty=True)))),
+            ("repeatUploadHint", absent_or("repeatUploadHint", _is_hint)),
+            ("ambiguous-decision", _is_flag(_at(v, "proposeNewTemplate")) & proposed & match.isNotNull()),
         ]
-    )
-    return parsed.withColumn("errors", errors).withColumn("record", F.col("_r").dropFields("_bad")).drop("_r")
+
+    return _checked(df, payload, DECISION_DDL, rules)
 
 
 def _flag(c: str) -> Column:
