@@ -4,4 +4,4 @@ from acceptance.base import ORACLES, QUERIES  # noqa: F401
 
 
 def load() -> None:
-    from acceptance import assignment, cleaning, layout, preparation, profiling, rules, semantics  # noqa: F401
+    from acceptance import assignment, cleaning, layout, preparation, profiling, rules, semantics, workbooks  # noqa: F401

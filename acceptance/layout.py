@@ -137,7 +137,11 @@ def sheet_fingerprints(spark, sf):
     return _prints(spark, sf)
 
 
-@query("sheet_signatures")
+@query(
+    "sheet_signatures",
+    f"""WITH {CATALOGUE}, d AS (SELECT DISTINCT sheet_id, header FROM catalogue)
+    SELECT sheet_id, sha256(coalesce(sum(('0x' || substr(md5(header), 1, 15))::UBIGINT), 0)::VARCHAR || ':' || coalesce(sum(('0x' || substr(md5(header), 17, 15))::UBIGINT), 0)::VARCHAR || ':' || count(*)) AS anchor_hash FROM d GROUP BY 1""",
+)
 def sheet_signatures(spark, sf):
     return st.signature(catalogue(spark, sf), "header", "anchor_hash")
 

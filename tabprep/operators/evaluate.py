@@ -91,7 +91,7 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int = 200, l
     Every row draws its weight in every replicate from a hash, so rows never move: only one sum
     per replicate and task is shuffled.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("_r"), F.lit(seed)), F.lit(2**40)) / F.lit(float(2**40))
+    u = stable_unit(F.col(key), F.col("_r"), seed=seed)
     weight = sum((u >= s).cast("int") for s in POISSON_STEPS)
     drawn = df.filter(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
     means = drawn.withColumn("_w", weight).groupBy("_r").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m"))

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 def classify_rows(
     labelled: DataFrame, unlabelled: DataFrame, features: Sequence[str], label: str, trees: int = 200, depth: int = 10, seed: int = 7
 ) -> DataFrame:
-    """Predict ``label`` (title, subtotal, data, …) of rows from their structural features."""
+    """Predict ``label`` (title, subtotal, data, …) of rows from their structural features.
+
+    ``depth`` bounds the trees; Spark allows up to 30 levels, and the model then grows with the rows.
+    """
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(labelled)
     vector = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
     forest = RandomForestClassifier(
         labelCol="_y", featuresCol="_x", predictionCol="_p", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed
     )
-    model = forest.fit(vector.transform(index.transform(labelled)).select("_x", "_y"))
+    # the copy leaves the training summary behind, which tasks cannot carry
+    model = forest.fit(vector.transform(index.transform(labelled)).select("_x", "_y")).copy()
     named = IndexToString(inputCol="_p", outputCol="predicted", labels=index.labels)
     scored = named.transform(model.transform(vector.transform(unlabelled)))
     return scored.drop("_x", "_p", "rawPrediction", "probability")

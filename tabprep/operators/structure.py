@@ -121,19 +121,13 @@ def occurrences(cells: DataFrame, what: str) -> DataFrame:
 def signature(items: DataFrame, column: str, out: str) -> DataFrame:
     """Order-free hash of a sheet's distinct labels or formulas, in constant memory.
 
-    Sums of two independent 64-bit hashes, taken as decimals, do not depend on row order.
+    The two halves of each MD5 are summed as decimals, which does not depend on row order.
     """
     distinct = items.select("sheet_id", column).distinct()
-    wide = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
-    sums = distinct.groupBy("sheet_id").agg(
-        F.sha2(
-            F.concat_ws(
-                ":", wide(F.xxhash64(column)), wide(F.xxhash64(F.reverse(column), F.lit(1))), F.count(F.lit(1)).cast("string")
-            ),
-            256,
-        ).alias(out)
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(column), at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return distinct.groupBy("sheet_id").agg(
+        F.sha2(F.concat_ws(":", F.coalesce(half(1), F.lit("0")), F.coalesce(half(17), F.lit("0")), F.count(F.lit(1)).cast("string")), 256).alias(out)
     )
-    return sums
 
 
 def fingerprints(columns: DataFrame, marks: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabprep.session import materialize
 from tabprep.sources.tables import Sheets
 
 # File suffixes, and texts taken for a missing cell.
@@ -45,7 +46,15 @@ def discover(spark: SparkSession, paths: Sequence[str], suffixes: Sequence[str]
 
 def read_workbooks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Cells of every sheet of every readable workbook; a damaged file gives one row with ``error``."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    return decode_workbooks(spark.read.format("binaryFile").load(list(paths)))
+
+
+def decode_workbooks(files: DataFrame) -> DataFrame:
+    """``read_workbooks`` for contents that are at hand: ``files(path, content)``, one file per row.
+
+    Whatever is wrong with a file ends that file only: what was read before stays, and a row with ``error`` follows.
+    """
+    files = files.select("path", "content")
     readable = files.filter(F.lower("path").rlike("(" + "|".join(re.escape(s) for s in READABLE) + ")$"))
     return readable.mapInPandas(_decode, CELLS_DDL)
 
@@ -53,17 +62,24 @@ def read_workbooks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def workbook_sheets(cells: DataFrame, missing: Sequence[str] = MISSING_TEXTS) -> Sheets:
     """Cells as a sheet corpus: the first filled row of a sheet is its header row.
 
-    ``sheet_id`` is ``path#sheet``. Texts that mean "missing" become null.
+    ``sheet_id`` is ``path#sheet``. Texts that mean "missing" become null. Blank rows below the header are rows
+    of nulls. Sheets without a cell have neither rows nor headers; ``workbook_inventory`` lists them.
     """
     named = cells.filter(F.col("error").isNull() & F.col("row_idx").isNotNull()).select(
         F.concat_ws("#", "path", "sheet").alias("sheet_id"), "row_idx", "col_idx", "value"
     )
-    first = named.groupBy("sheet_id").agg(F.min("row_idx").alias("_first"), (F.max("col_idx") + 1).alias("_width"))
+    first = named.groupBy("sheet_id").agg(
+        F.min("row_idx").alias("_first"), F.max("row_idx").alias("_last"), (F.max("col_idx") + 1).alias("_width")
+    )
     from tabprep.operators.scale import attach
 
-    placed = attach(named, first, ["sheet_id"], how="inner")
+    extent = materialize(first, "extent")
+    skeleton = extent.select(
+        "sheet_id", F.explode(F.sequence("_first", "_last")).alias("row_idx"), F.lit(None).cast("int").alias("col_idx"), F.lit(None).cast("string").alias("value")
+    )
+    placed = attach(named.unionByName(skeleton), extent.drop("_last"), ["sheet_id"], how="inner", stored=True)
     packed = placed.groupBy("sheet_id", "row_idx", "_first", "_width").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("_m")
+        F.map_from_entries(F.collect_list(F.when(F.col("col_idx").isNotNull(), F.struct("col_idx", "value")))).alias("_m")
     )
     row = F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda i: F.col("_m")[i])
     rows = packed.select("sheet_id", "row_idx", "_first", row.alias("cells"))
@@ -77,6 +93,15 @@ def workbook_sheets(cells: DataFrame, missing: Sequence[str] = MISSING_TEXTS) ->
     return Sheets(data, headers)
 
 
+def workbook_inventory(cells: DataFrame) -> DataFrame:
+    """Every sheet of every readable file: ``sheet_id, columns, total_rows`` (below the header), zero for empty sheets."""
+    found = cells.filter(F.col("error").isNull()).groupBy(F.concat_ws("#", "path", "sheet").alias("sheet_id")).agg(
+        F.coalesce(F.max("col_idx") + 1, F.lit(0)).alias("columns"),
+        F.coalesce(F.max("row_idx") - F.min("row_idx"), F.lit(0)).alias("total_rows"),
+    )
+    return found
+
+
 def workbook_index(cells: DataFrame) -> DataFrame:
     """``workbook_id, sheet_ord, sheet_id`` in workbook order, for ``navigation``."""
     listed = cells.filter(F.col("error").isNull()).select("path", "sheet_ord", "sheet").distinct()
@@ -92,7 +117,7 @@ def workbook_index(cells: DataFrame) -> DataFrame:
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-_EPOCH = datetime.datetime(1899, 12, 30)
+_EPOCH, _EPOCH_1904 = datetime.datetime(1899, 12, 30), datetime.datetime(1904, 1, 1)
 # Built-in number formats that show a date or time.
 _DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 _BATCH = 20_000
@@ -109,7 +134,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(rows) >= _BATCH:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as error:
+            except Exception as error:  # noqa: BLE001 - one odd file must not end the corpus
                 rows.append((path, None, None, None, None, None, None, None, None, f"{type(error).__name__}: {error}"))
             if rows:
                 yield pd.DataFrame(rows, columns=columns).astype({"sheet_ord": "Int32", "row_idx": "Int64", "col_idx": "Int32"})
@@ -126,13 +151,20 @@ def _cells(content: bytes) -> Iterator[tuple]:
             for rel in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
         }
         book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
+        settings = book.find(f"{_NS}workbookPr")
+        epoch = _EPOCH_1904 if settings is not None and settings.get("date1904") in ("1", "true") else _EPOCH
         for ord_, sheet in enumerate(book.iter(f"{_NS}sheet")):
             part = f"xl/{targets[sheet.get(_REL)]}"
-            merged = _merged_ranges(archive, part)
-            empty = True
-            for row_idx, col_idx, value, formula, style in _sheet_cells(archive, part, strings, dates):
+            ranges = iter(sorted(_merged_ranges(archive, part)))
+            coming, active, empty = next(ranges, None), [], True
+            for row_idx, col_idx, value, formula, style in _sheet_cells(archive, part, strings, dates, epoch):
                 empty = False
-                inside = next((m[4] for m in merged if m[0] <= row_idx <= m[2] and m[1] <= col_idx <= m[3]), None)
+                # rows come in order: only ranges that reach the current row are looked at
+                while coming and coming[0] <= row_idx:
+                    active.append(coming)
+                    coming = next(ranges, None)
+                active = [m for m in active if row_idx <= m[2]]
+                inside = next((m[4] for m in active if m[1] <= col_idx <= m[3]), None)
                 yield ord_, sheet.get("name"), row_idx, col_idx, value, formula, style, inside
             if empty:
                 yield ord_, sheet.get("name"), None, None, None, None, None, None
@@ -179,21 +211,30 @@ def _merged_ranges(archive: zipfile.ZipFile, part: str) -> list[tuple]:
     return ranges
 
 
-def _sheet_cells(archive: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[tuple]:
+def _sheet_cells(
+    archive: zipfile.ZipFile, part: str, strings: list[str], dates: set[int], epoch: datetime.datetime
+) -> Iterator[tuple]:
+    """Rows and cells may leave out their reference; they then follow the one before. Cells of a shared formula all show its text."""
+    shared: dict[str, str] = {}
+    row_idx = -1
     with archive.open(part) as stream:
         for _, node in ElementTree.iterparse(stream):
             if node.tag != f"{_NS}row":
                 continue
+            row_idx, col_idx = int(node.get("r")) - 1 if node.get("r") else row_idx + 1, -1
             for cell in node.iter(f"{_NS}c"):
-                row_idx, col_idx = _place(cell.get("r"))
-                formula = cell.findtext(f"{_NS}f")
+                row_idx, col_idx = _place(cell.get("r")) if cell.get("r") else (row_idx, col_idx + 1)
+                made = cell.find(f"{_NS}f")
+                formula = None if made is None else made.text
+                if made is not None and made.get("t") == "shared":
+                    formula = shared.setdefault(made.get("si"), formula) if formula else shared.get(made.get("si"))
                 style = cell.get("s")
-                value = _text(cell, strings, style is not None and int(style) in dates)
+                value = _text(cell, strings, style is not None and int(style) in dates, epoch)
                 yield row_idx, col_idx, value, f"={formula}" if formula else None, style
             node.clear()
 
 
-def _text(cell: ElementTree.Element, strings: list[str], is_date: bool) -> str | None:
+def _text(cell: ElementTree.Element, strings: list[str], is_date: bool, epoch: datetime.datetime) -> str | None:
     kind, raw = cell.get("t", "n"), cell.findtext(f"{_NS}v")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{_NS}t"))
@@ -207,5 +248,5 @@ def _text(cell: ElementTree.Element, strings: list[str], is_date: bool) -> str |
         return raw
     number = float(raw)
     if is_date:
-        return str(_EPOCH + datetime.timedelta(seconds=round(number * 86400)))
+        return str(epoch + datetime.timedelta(seconds=round(number * 86400)))
     return str(int(number)) if number.is_integer() else repr(number)

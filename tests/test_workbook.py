@@ -70,8 +70,10 @@ def test_workbooks_become_sheets(spark, folder):
     sheets = wb.workbook_sheets(cells)
     one = tb.select_sheets(sheets, [r.sheet_id for r in sheets.headers.filter("sheet_id like '%b.xlsx#Uno'").distinct().collect()][:1])
     assert [r.cells for r in one.rows.orderBy("row_idx").collect()] == [
-        ["Ana", "2024-01-01 00:00:00", "12"], [None, "2024-01-02 12:00:00", "1.5"], ["True", None, None],
+        ["Ana", "2024-01-01 00:00:00", "12"], [None, "2024-01-02 12:00:00", "1.5"], [None, None, None], ["True", None, None],
     ]
+    listed = {r.sheet_id.rsplit("/")[-1]: (r.columns, r.total_rows) for r in wb.workbook_inventory(cells).collect()}
+    assert listed["b.xlsx#Vacía"] == (0, 0) and listed["b.xlsx#Uno"] == (3, 4)
     assert clean(sheets).report.count() == 2
     index = wb.workbook_index(cells)
     moved = {r.workbook_id.rsplit("/")[-1]: r for r in tb.navigation(index).collect()}
