@@ -146,13 +146,29 @@ def custom_ranker_assignment(spark, sf):
 
 @query(
     "assignment_metrics",
-    _decided(_BEST) + """ SELECT count(*) AS enqueued, count(*) AS processed, count(*) FILTER (strategy = 'deterministic-fallback') AS ml_failures,
+    _decided(_BEST) + """ SELECT count(*) AS enqueued, count(*) AS processed, 0::BIGINT AS ml_failures,
     count(*) FILTER (strategy = 'deterministic-fallback') AS fallback_decisions, count(*) FILTER (strategy = 'hard-stop') AS hard_stops FROM decisions""",
 )
 def assignment_metrics(spark, sf):
     return asg.assignment_metrics(asg.assign(tickets(spark, sf), technicians(spark, sf)))
 
 
+def _failing_ranker(pairs):
+    """Fails on urgent tickets, and ranks nobody for the next priority."""
+    score = F.when(F.col("priority") != "P2", asg.ranking_score())
+    return pairs.withColumn("score", score).withColumn("ranker_failed", F.col("priority") == "P1")
+
+
+@query(
+    "assignment_metrics_failing_ranker",
+    _decided(_BEST) + """ SELECT count(*) AS enqueued, count(*) AS processed, count(*) FILTER (strategy <> 'hard-stop' AND priority = 'P1') AS ml_failures,
+    count(*) FILTER (strategy <> 'hard-stop' AND priority IN ('P1', 'P2')) AS fallback_decisions, count(*) FILTER (strategy = 'hard-stop') AS hard_stops
+    FROM decisions JOIN tickets USING (ticket_id)""",
+)
+def assignment_metrics_failing_ranker(spark, sf):
+    return asg.assignment_metrics(asg.assign(tickets(spark, sf), technicians(spark, sf), scorer=_failing_ranker))
+
+
 @query(
     "tickets_from_jobs",
     """SELECT CAST(o_orderkey AS VARCHAR) AS ticket_id, CAST(o_custkey AS VARCHAR) AS job_id, 'project-' || c_nationkey AS project_id,

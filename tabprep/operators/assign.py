@@ -30,6 +30,7 @@ TIER_WEIGHT = {"L3": 1.0, "L2": 0.9}
 OTHER_TIER_WEIGHT = 0.75
 REGION_BONUS = 0.1
 RANKED, FALLBACK, HARD_STOP = "ml-ranking", "deterministic-fallback", "hard-stop"
+RANKER_FAILED = "ranker-failed"
 MATCH_CONFIDENCE = 0.78
 
 
@@ -116,14 +117,16 @@ def rank_candidates(pairs: DataFrame, score: Column | None = None) -> DataFrame:
 def decide(pairs: DataFrame, score: Column | None = None, pool: bool = False) -> DataFrame:
     """Best, fallback and pool size per demand in one grouped pass.
 
-    A null score means the ranker failed on that candidate; a demand without any score falls back
-    to the lowest workload, tier and id.
+    A null score leaves a candidate out; a demand without any score falls back to the lowest workload, tier
+    and id. So does one with a true ``ranker_failed`` (a column that a scorer may add), whatever its scores.
     """
+    failed = F.col("ranker_failed") if "ranker_failed" in pairs.columns else F.lit(False)
     scored = pairs.withColumn("_score", ranking_score() if score is None else score).withColumn("_load", load_share())
     ranked = F.when(F.col("_score").isNotNull(), F.struct(-F.col("_score"), F.col("_load"), F.col("id")))
     extra = [F.array_sort(F.collect_list("id")).alias("candidate_pool")] if pool else []
     return scored.groupBy("demand").agg(
-        F.min_by("id", ranked).alias("_best"),
+        F.when(~F.coalesce(F.bool_or(failed), F.lit(False)), F.min_by("id", ranked)).alias("_best"),
+        F.coalesce(F.bool_or(failed), F.lit(False)).alias("_failed"),
         F.min_by("id", F.struct("workload", "tier", "id")).alias("_fallback"),
         (F.sum("members") if "members" in pairs.columns else F.count(F.lit(1))).alias("pool_size"),
         *extra,
@@ -139,8 +142,9 @@ def assign(
 ) -> DataFrame:
     """One decision per ticket: ``technician_id, strategy, pool_size`` (and the pool on request).
 
-    The built-in ranking works on classes of equal technicians. A ranker of one's own is either a column over ticket and technician fields or a function that
-    adds a ``score`` column to the candidate pairs (e.g. with a pandas UDF).
+    The built-in ranking works on classes of equal technicians. A ranker of one's own is either a column over
+    ticket and technician fields or a function that adds a ``score`` column to the candidate pairs (e.g. with a
+    pandas UDF), and ``ranker_failed`` if failing is to be told from ranking nobody.
     """
     wanted = materialize(demands(tickets), "demands")
     if score is None and scorer is None and not pool:
@@ -157,6 +161,7 @@ def assign(
         F.coalesce("pool_size", F.lit(0)).alias("pool_size"),
         *([F.coalesce("candidate_pool", F.array().cast("array<string>")).alias("candidate_pool")] if pool else []),
         F.when(F.col("pool_size").isNull(), F.array(F.lit("availability-region-or-project")))
+        .when(F.col("_failed"), F.array(F.lit("lowest-load-and-tier"), F.lit(RANKER_FAILED)))
         .when(F.col("_best").isNull(), F.array(F.lit("lowest-load-and-tier")))
         .otherwise(F.array().cast("array<string>"))
         .alias("notes"),
@@ -166,11 +171,11 @@ def assign(
 
 
 def assignment_metrics(decisions: DataFrame) -> DataFrame:
-    """Counters of one run."""
+    """Counters of one run: rankers that failed, and all fallbacks (failed or nobody ranked)."""
     return decisions.agg(
         F.count(F.lit(1)).alias("enqueued"),
         F.count("strategy").alias("processed"),
-        F.count_if(F.col("strategy") == FALLBACK).alias("ml_failures"),
+        F.count_if(F.array_contains("notes", RANKER_FAILED)).alias("ml_failures"),
         F.count_if(F.col("strategy") == FALLBACK).alias("fallback_decisions"),
         F.count_if(F.col("strategy") == HARD_STOP).alias("hard_stops"),
     )

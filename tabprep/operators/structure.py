@@ -11,14 +11,16 @@ from tabprep.sources.tables import Sheets
 
 
 def column_letters(col_idx: Column) -> Column:
-    """Spreadsheet letters of a 0-based column, up to three of them."""
+    """Spreadsheet letters of a 0-based column, up to three of them (18,278 columns); more is an error."""
     n = col_idx.cast("int") + 1
     letter = lambda x: F.chr((F.lit(65) + x).cast("long"))
     last = letter(F.pmod(n - 1, F.lit(26)))
     two = n - 27
     middle = letter(F.pmod(F.floor(two / 26), F.lit(26)))
     first = letter(F.floor((n - 703) / 676))
-    return F.when(n <= 26, last).when(n <= 702, F.concat(middle, last)).otherwise(F.concat(first, middle, last))
+    return F.when(n <= 26, last).when(n <= 702, F.concat(middle, last)).when(n <= 18_278, F.concat(first, middle, last)).when(
+        n > 18_278, F.raise_error(F.lit("column beyond ZZZ"))
+    )
 
 
 def a1(row_idx: Column, col_idx: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,6 +15,10 @@ from tabprep.operators.scale import attach
 from tabprep.session import materialize
 
 
+#: Largest template catalog that is scored from one literal.
+CATALOG_BYTES = 8 << 20
+
+
 def class_summary(classified: DataFrame) -> DataFrame:
     """Per sheet: columns, average confidence, key columns, distinct types."""
     return classified.groupBy("sheet_id").agg(
@@ -27,23 +32,19 @@ def class_summary(classified: DataFrame) -> DataFrame:
 def score_templates(summary: DataFrame, matched: DataFrame, catalog: Sequence[tuple[str, str, float]] = lx.TEMPLATES) -> DataFrame:
     """Add ``suggestions``: all templates of the catalog by adjusted score, best first.
 
-    ``matched`` is the result of ``match_fingerprints``. The catalog is a curated list of templates
-    with their base score and travels as a literal, so no sheet is joined with it.
+    ``matched`` is the result of ``match_fingerprints``. The catalog is a list of templates with their base
+    score; it travels as one literal of at most ``CATALOG_BYTES``, so no sheet is joined with it.
     """
-    if len(catalog) > 5_000:
-        raise ValueError("template catalog too long to score in one expression; split it")
     joined = summary.join(matched.drop("fingerprint"), "sheet_id", "left")
     shift = (
         F.when((F.col("key_columns") >= 2) & (F.col("avg_confidence") > 0.62), 0.06).otherwise(0.0)
         + F.when(F.col("type_count") >= 4, 0.03).otherwise(0.0)
     )
     penalty = F.when(F.col("avg_confidence") < 0.45, 0.08).otherwise(0.0)
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("ord"), F.lit(t).alias("template_id"), F.lit(v).alias("template_version_id"), F.lit(float(b)).alias("base"))
-            for i, (t, v, b) in enumerate(catalog)
-        ]
-    )
+    text = json.dumps([{"ord": i, "template_id": t, "template_version_id": v, "base": float(b)} for i, (t, v, b) in enumerate(catalog)])
+    if len(text.encode()) > CATALOG_BYTES:
+        raise ValueError(f"template catalog of more than {CATALOG_BYTES} bytes")
+    entries = F.from_json(F.lit(text), "array<struct<ord:int,template_id:string,template_version_id:string,base:double>>")
 
     def adjust(t):
         hit = F.coalesce(
@@ -101,8 +102,10 @@ def repeat_hint(matched: DataFrame, classified: DataFrame, catalog: Sequence[tup
     dates = classified.filter("type = 'date'").groupBy("sheet_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "header"))), lambda s: s["header"]).alias("_dates")
     )
-    known = F.concat_ws("\x1f", "template_id", "template_version_id").isin([f"{t}\x1f{v}" for t, v, _ in catalog])
-    hits = matched.filter(F.col("template_id").isNotNull()).join(dates, "sheet_id", "left")
+    entries = matched.sparkSession.createDataFrame([(t, v) for t, v, _ in catalog], "template_id string, template_version_id string")
+    on_file = entries.distinct().withColumn("_known", F.lit(True))
+    hits = attach(matched.filter(F.col("template_id").isNotNull()), on_file, ["template_id", "template_version_id"]).join(dates, "sheet_id", "left")
+    known = F.coalesce("_known", F.lit(False))
     listed = F.coalesce("_dates", F.array().cast("array<string>"))
     return hits.select(
         "sheet_id",

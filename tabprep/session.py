@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SCOPE = threading.local()
 
 
 def build_session(master: str | None = None, app: str = "tabprep", **conf: str) -> SparkSession:
@@ -55,8 +59,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application stored; call it when no result is needed any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tabprep-{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, f"{shared_dir(spark)}/tabprep-{spark.sparkContext.applicationId}")
 
 
 def materialize_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
@@ -66,6 +69,23 @@ def materialize_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame,
     return stored, watch.get["rows"]
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` stores inside is deleted at the end; results must have been written by then."""
+    outer, _SCOPE.paths = getattr(_SCOPE, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _SCOPE.paths:
+            _delete(spark, path)
+        _SCOPE.paths = outer
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Size of the files behind a table as ``materialize`` returns it, as the planner knows it."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -79,5 +99,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if getattr(_SCOPE, "paths", None) is not None:
+        _SCOPE.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ replaces its own subfolder, so every row counts once.
 from __future__ import annotations
 
 import threading
+from collections import deque
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,27 +15,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from tabprep.operators.assign import assign, assignment_metrics
+from tabprep.operators.assign import RANKER_FAILED, assign, assignment_metrics
 from tabprep.operators.jobs import create_tickets, fold_updates
 from tabprep.operators.scale import attach
-from tabprep.session import scratch_path
+from tabprep.session import scratch_path, scratch_scope
 
-# Usual pace of an assignment stream (tickets per batch, seconds between batches).
-DEFAULT_PACE = (20, 0.25)
-SHARED_PACE = (10, 0.5)
+#: Notices that a log keeps at most; older ones go first.
+KEPT_EVENTS = 10_000
 
 
 def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None, every: float | None, hold: bool = True) -> StreamingQuery:
     def once(batch: DataFrame, batch_id: int) -> None:
-        if not hold:
-            handle(batch, batch_id)
-            return
-        # operators read a batch more than once; the source (and its observed counters) see it once
-        held = batch.persist()
-        try:
-            handle(held, batch_id)
-        finally:
-            held.unpersist()
+        with scratch_scope(batch.sparkSession):
+            if not hold:
+                handle(batch, batch_id)
+                return
+            # operators read a batch more than once; the source (and its observed counters) see it once
+            held = batch.persist()
+            try:
+                handle(held, batch_id)
+            finally:
+                held.unpersist()
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(once).option(
         "checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "offsets")
@@ -45,48 +46,53 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: st
 
 def assign_stream(
     tickets: DataFrame, technicians: DataFrame, decisions_path: str, metrics_path: str | None = None,
-    checkpoint: str | None = None, every: float | None = None, **options,
+    checkpoint: str | None = None, every: float | None = None, log: BatchLog | None = None, **options,
 ) -> StreamingQuery:
     """Assign each micro-batch with the batch operator; ``every`` seconds, or all there is, once.
 
-    The size of a batch is set at the source (e.g. ``maxFilesPerTrigger``).
+    The size of a batch is set at the source (e.g. ``maxFilesPerTrigger``). ``log`` is told when a batch
+    starts, and how many decisions fell back because the ranker failed.
     """
     observed = tickets.observe("assignment", F.count(F.lit(1)).alias("enqueued"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         folder = f"{decisions_path}/batch_id={batch_id}"
+        if log:
+            log.add("batch_start", {"batch_id": batch_id})
         assign(batch, technicians, **options).write.mode("overwrite").parquet(folder)
+        written = batch.sparkSession.read.parquet(folder)
+        if log and (failed := written.filter(F.array_contains("notes", RANKER_FAILED)).count()):
+            log.add("ranker_failed", {"batch_id": batch_id, "tickets": failed})
         if metrics_path:
-            written = batch.sparkSession.read.parquet(folder)
             assignment_metrics(written).write.mode("overwrite").parquet(f"{metrics_path}/batch_id={batch_id}")
 
     return _start(observed, handle, "append", checkpoint, every)
 
 
 class BatchLog(StreamingQueryListener):
-    """Start, end and failure notices of micro-batches with their observed counters."""
+    """Start, end and failure notices of micro-batches with their observed counters, the newest ``KEPT_EVENTS``."""
 
     def __init__(self) -> None:
-        self.events: list[tuple[str, dict]] = []
+        self.events: deque[tuple[str, dict]] = deque(maxlen=KEPT_EVENTS)
         self._lock = threading.Lock()
 
-    def _add(self, kind: str, fields: dict) -> None:
+    def add(self, kind: str, fields: dict) -> None:
         with self._lock:
             self.events.append((kind, fields))
 
     def onQueryStarted(self, event) -> None:
-        self._add("started", {"name": event.name})
+        self.add("started", {"name": event.name})
 
     def onQueryProgress(self, event) -> None:
         progress = event.progress
         seen = progress.observedMetrics.get("assignment")
-        self._add("batch_end", {"batch_id": progress.batchId, "rows": progress.numInputRows, "enqueued": seen["enqueued"] if seen else None})
+        self.add("batch_end", {"batch_id": progress.batchId, "rows": progress.numInputRows, "enqueued": seen["enqueued"] if seen else None})
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self._add("failed" if event.exception else "stopped", {"error": event.exception})
+        self.add("failed" if event.exception else "stopped", {"error": event.exception})
 
 
 def ticket_stream(rows: DataFrame, content: Sequence[str], tickets_path: str, checkpoint: str | None = None, every: float | None = None) -> StreamingQuery:

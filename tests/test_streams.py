@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tabprep.operators.assign import assign
-from tabprep.session import scratch_path
+from tabprep.session import materialize, scratch_path, scratch_scope
 from tabprep.streaming import streams as sm
 from test_assignment import PEOPLE, TECH, TICKET
 
@@ -26,14 +26,17 @@ def test_assignment_equals_batch_and_reports(spark):
     df = spark.createDataFrame([(f"t{i}", f"project-{1 + i % 3}", None, ["batch-handling"], "P2") for i in range(30)], TICKET)
     out, metrics = scratch_path(spark, "out"), scratch_path(spark, "metrics")
     log = sm.BatchLog()
+    failing = lambda pairs: pairs.withColumn("score", F.lit(None).cast("double")).withColumn("ranker_failed", F.lit(True))
     spark.streams.addListener(log)
     try:
-        finish(sm.assign_stream(arrivals(spark, df, 3), people, out, metrics))
+        finish(sm.assign_stream(arrivals(spark, df, 3), people, out, metrics, log=log, scorer=failing))
     finally:
         spark.streams.removeListener(log)
     got = spark.read.parquet(out).select("ticket_id", "technician_id", "strategy")
-    assert rows(got, "ticket_id") == rows(assign(df, people).select("ticket_id", "technician_id", "strategy"), "ticket_id")
-    assert spark.read.parquet(metrics).agg(F.sum("enqueued"), F.sum("hard_stops")).first() == (30, 10)
+    assert rows(got, "ticket_id") == rows(assign(df, people, scorer=failing).select("ticket_id", "technician_id", "strategy"), "ticket_id")
+    assert spark.read.parquet(metrics).agg(F.sum("enqueued"), F.sum("hard_stops"), F.sum("ml_failures")).first() == (30, 10, 20)
+    assert [e["batch_id"] for kind, e in log.events if kind == "batch_start"] == [0, 1, 2]
+    assert sum(e["tickets"] for kind, e in log.events if kind == "ranker_failed") == 20
     assert sum(e["enqueued"] or 0 for kind, e in log.events if kind == "batch_end") == 30
 
 
@@ -62,3 +65,11 @@ def test_quality_windows_on_a_table(spark):
     df = spark.createDataFrame([(0, "k", 1.0), (30, "k", None), (90, "k", 4.0)], "s long, k string, value double").withColumn("ts", F.timestamp_seconds("s"))
     got = sm.quality_stream(df, "ts", ["k"], "1 minute", "1 minute")
     assert [(r.n, r.mean, r.missing_rate) for r in got.orderBy("window_start").collect()] == [(2, 1.0, 0.5), (1, 4.0, 0.0)]
+
+
+def test_scratch_of_a_scope_goes(spark):
+    with scratch_scope(spark):
+        path = materialize(spark.range(3)).inputFiles()[0]
+        assert spark.read.parquet(path).count() > 0
+    kept = materialize(spark.range(3))
+    assert not spark._jvm.java.io.File(path.removeprefix("file://")).exists() and kept.count() == 3
