@@ -408,6 +408,6 @@ def cleaned_profile_by_day(spark, sf):
     events = table(spark, sf, "events")
     sheets = as_sheet(events, F.to_date("ts").cast("string"), "event_id", ["event_type", "value", "props"])
     cleaned = cl.clean(sheets).sheets
-    profiled = pf.profile(cleaned.headers, pf.column_counts(pf.value_histogram(cleaned)))
+    profiled = pf.profile(cleaned.headers, pf.column_counts(pf.value_marks(cleaned)))
     ratios = [F.round(f"{k}_ratio", 6).alias(f"{k}_ratio") for k in ("numeric", "date", "boolean", "unique")]
     return profiled.select("sheet_id", "header", *ratios)

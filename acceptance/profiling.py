@@ -16,7 +16,7 @@ r6 = lambda c: F.round(c, 6).alias(c)
 def _typed(spark, sf, names=None):
     sheets = cl.clean(corpus(spark, sf, names)).sheets
     histogram = pf.stored_histogram(sheets)
-    types = materialize(pf.infer_types(sheets.headers, pf.column_counts(histogram)), "types")
+    types = materialize(pf.infer_types(sheets.headers, pf.column_counts(pf.histogram_marks(histogram))), "types")
     return sheets, types, pf.coerce_histogram(histogram, types)
 
 
@@ -27,7 +27,7 @@ def _typed(spark, sf, names=None):
 )
 def column_profile(spark, sf):
     sheets = cl.clean(corpus(spark, sf)).sheets
-    profiled = pf.profile(sheets.headers, pf.column_counts(pf.value_histogram(sheets)))
+    profiled = pf.profile(sheets.headers, pf.column_counts(pf.value_marks(sheets)))
     return profiled.select("sheet_id", "header", *[r6(f"{k}_ratio") for k in ("numeric", "date", "boolean", "unique")])
 
 

@@ -66,23 +66,13 @@ def strip_cells(sheets: Sheets) -> Sheets:
     return Sheets(sheets.rows.withColumn("cells", F.transform("cells", clean_cell)), sheets.headers)
 
 
-def presence_patterns(sheets: Sheets) -> DataFrame:
-    """Which cells of a row are filled, as text like ``1101``, with the number of such rows.
+def coverage(sheets: Sheets) -> DataFrame:
+    """Share of filled cells per column, ``(sheet_id, col_idx, header, n, filled, coverage)``.
 
-    Sheets have few patterns, so this small table, made in one pass without unfolding a row, holds
-    all that coverage, column choice and row counts need.
+    One row per column leaves a task, however the gaps lie.
     """
-    pattern = F.array_join(F.transform("cells", lambda c: F.when(c.isNull(), "0").otherwise("1")), "")
-    return sheets.rows.groupBy("sheet_id", pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def coverage(sheets: Sheets, patterns: DataFrame | None = None) -> DataFrame:
-    """Share of filled cells per column, ``(sheet_id, col_idx, header, n, filled, coverage)``."""
-    patterns = presence_patterns(sheets) if patterns is None else patterns
-    marks = patterns.select("sheet_id", "n", F.posexplode(F.split("pattern", "")).alias("col_idx", "mark"))
-    counts = marks.groupBy("sheet_id", "col_idx").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("mark") == "1", F.col("n")).otherwise(0)).alias("filled")
-    )
+    marks = sheets.rows.select("sheet_id", F.posexplode(F.transform("cells", lambda c: c.isNotNull())).alias("col_idx", "mark"))
+    counts = marks.groupBy("sheet_id", "col_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if("mark").alias("filled"))
     return sheets.headers.join(counts, ["sheet_id", "col_idx"], "left").select(
         "sheet_id",
         "col_idx",
@@ -139,20 +129,16 @@ def clean(
 ) -> CleanResult:
     """Headers, cells, columns and rows in one go.
 
-    Rows are read once for the presence patterns, from which every verdict and count follows, and
-    once more, lazily, to drop columns and rows with the per-sheet verdict joined on. They are
-    never shuffled.
+    Rows are read once for the coverage and once more to drop columns; the outcome is stored with the
+    verdict on each row, so whatever follows reads clean rows. They are never shuffled.
     """
     tidy = strip_cells(Sheets(sheets.rows, normalize_headers(sheets.headers)))
-    patterns = materialize(presence_patterns(tidy), "patterns")
-    covered = materialize(coverage(tidy, patterns), "coverage")
+    covered = materialize(coverage(tidy), "coverage")
     kept = materialize(kept_columns(covered, min_coverage), "kept")
-    cleaned = prune_rows(prune_columns(tidy, kept), min_signal)
-    marks = F.filter("kept", lambda i: F.substring("pattern", i + 1, 1) == "1")
-    dense = F.size(marks) / F.size("kept") >= min_signal
-    drops = attach(patterns, kept.select("sheet_id", "kept"), ["sheet_id"], how="inner", stored=True).groupBy("sheet_id").agg(
-        F.sum("n").alias("source_rows"), F.sum(F.when(dense, F.col("n")).otherwise(0)).alias("total_rows")
-    )
+    pruned = prune_columns(tidy, kept)
+    judged = materialize(pruned.rows.withColumn("_dense", F.coalesce(row_signal() >= min_signal, F.lit(False))), "cleaned")
+    cleaned = Sheets(judged.filter("_dense").drop("_dense"), materialize(pruned.headers, "headers"))
+    drops = judged.groupBy("sheet_id").agg(F.count(F.lit(1)).alias("source_rows"), F.count_if("_dense").alias("total_rows"))
     report = kept.join(drops, "sheet_id", "left").select(
         "sheet_id",
         F.coalesce("source_rows", F.lit(0)).alias("source_rows"),

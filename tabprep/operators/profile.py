@@ -1,4 +1,4 @@
-"""Column profiles from a value histogram: each distinct value is parsed once."""
+"""Column profiles, types and typed values; texts are counted by digest and moved only where their value is needed."""
 
 from __future__ import annotations
 
@@ -18,17 +18,43 @@ def value_histogram(sheets: Sheets) -> DataFrame:
     return to_cells(sheets).groupBy(*COLUMN, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def column_counts(histogram: DataFrame, day_first: bool = True) -> DataFrame:
-    """Per column: rows, filled, numeric, date, boolean and distinct counts."""
-    weigh = lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(F.lit(0)))
+def value_marks(sheets: Sheets, day_first: bool = True) -> DataFrame:
+    """Number of cells per column and distinct value, told by 128 bits of hash, with what the value parses as.
+
+    Fixed-width keys move, not texts. ``filled`` is null for blank cells.
+    """
+    value = F.col("value")
+    parsed = to_cells(sheets).select(
+        *COLUMN,
+        F.xxhash64(value).alias("_h1"),
+        F.xxhash64(F.lit(1), value, F.length(value)).alias("_h2"),
+        F.when(value.isNotNull(), True).alias("filled"),
+        as_number(value).isNotNull().alias("numeric"),
+        as_day(value, day_first).isNotNull().alias("dates"),
+        F.coalesce(is_boolean(value), F.lit(False)).alias("booleans"),
+    )
+    return parsed.groupBy(*COLUMN, "_h1", "_h2", "filled", "numeric", "dates", "booleans").agg(F.count(F.lit(1)).alias("n"))
+
+
+def histogram_marks(histogram: DataFrame, day_first: bool = True) -> DataFrame:
+    """``value_marks`` of a stored histogram."""
     value = F.col("value")
-    return histogram.groupBy(*COLUMN).agg(
+    return histogram.select(
+        *COLUMN, "n",
+        F.when(value.isNotNull(), True).alias("filled"),
+        as_number(value).isNotNull().alias("numeric"),
+        as_day(value, day_first).isNotNull().alias("dates"),
+        F.coalesce(is_boolean(value), F.lit(False)).alias("booleans"),
+    )
+
+
+def column_counts(marks: DataFrame) -> DataFrame:
+    """Per column: rows, filled, numeric, date, boolean and distinct counts, from ``value_marks``."""
+    weigh = lambda hit: F.sum(F.when(F.col(hit), F.col("n")).otherwise(F.lit(0))).alias(hit)
+    return marks.groupBy(*COLUMN).agg(
         F.sum("n").alias("rows"),
-        weigh(value.isNotNull()).alias("filled"),
-        weigh(as_number(value).isNotNull()).alias("numeric"),
-        weigh(as_day(value, day_first).isNotNull()).alias("dates"),
-        weigh(F.coalesce(is_boolean(value), F.lit(False))).alias("booleans"),
-        F.count("value").alias("distinct_values"),
+        *[weigh(c) for c in ("filled", "numeric", "dates", "booleans")],
+        F.count("filled").alias("distinct_values"),
     )
 
 

@@ -47,7 +47,7 @@ class Prepared:
 def prepare(sheets: Sheets) -> Prepared:
     cleaned = clean(sheets)
     histogram = pf.stored_histogram(cleaned.sheets)
-    types = materialize(pf.infer_types(cleaned.sheets.headers, pf.column_counts(histogram)), "types")
+    types = materialize(pf.infer_types(cleaned.sheets.headers, pf.column_counts(pf.histogram_marks(histogram))), "types")
     return Prepared(cleaned, types, materialize(pf.coerce_histogram(histogram, types), "typed"))
 
 

@@ -41,7 +41,7 @@ def preview(sheets: Sheets, marks: DataFrame | None = None, known: DataFrame | N
     spark = sheets.spark
     cleaned = clean(sheets)
     headers = cleaned.sheets.headers
-    profiled = materialize(pf.profile(headers, pf.column_counts(pf.value_histogram(cleaned.sheets))), "profile")
+    profiled = materialize(pf.profile(headers, pf.column_counts(pf.value_marks(cleaned.sheets))), "profile")
     classified = materialize(hd.classify_columns(headers), "classes")
     mapping = mp.stored_mapping(headers, classified)
     pos = materialize(hd.detect_pos(classified), "pos")

@@ -73,7 +73,7 @@ def test_numbers_and_dates(spark):
 def test_profile_of_edge_columns(spark):
     data = [["Sí", None, "1", "2024-01-01"], ["no", None, "1", "2024-01-02"], ["TRUE", None, "x", "2024-01-03"], [None, None, "2", "n/a"]]
     s = sheet(spark, ["flag", "none", "mix", "day"], data)
-    counts = pf.column_counts(pf.value_histogram(s))
+    counts = pf.column_counts(pf.value_marks(s))
     ratios = {r.header: r for r in pf.profile(s.headers, counts).collect()}
     assert (ratios["flag"].boolean_ratio, ratios["flag"].unique_ratio) == (1.0, 1.0)
     assert tuple(ratios["none"])[3:] == (0.0, 0.0, 0.0, 0.0)
@@ -86,7 +86,7 @@ def test_profile_of_edge_columns(spark):
 
 def test_boolean_text_keeps_nulls(spark):
     s = sheet(spark, ["flag"], [["Yes"], [None], ["0"], ["si"]])
-    types = pf.infer_types(s.headers, pf.column_counts(pf.value_histogram(s)))
+    types = pf.infer_types(s.headers, pf.column_counts(pf.value_marks(s)))
     typed = pf.coerce(tb.to_cells(s), types)
     assert [r.text for r in typed.orderBy("row_idx").collect()] == ["true", None, "false", "true"]
 
