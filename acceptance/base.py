@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.parse import ISO_DATE, LOCAL_DATE, NUMBER
 from tabprep.functions.text import WHITESPACE
+from tabprep.operators import scale
 from tabprep.sources.tables import Sheets, as_sheet, union_sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def shuffled(name: str) -> None:
+    """Register a query a second time with no side small enough to be broadcast, as on large inputs."""
+    first = QUERIES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        usual, scale.BROADCAST_ROWS = scale.BROADCAST_ROWS, 0
+        try:
+            return first(spark, sf_dir)
+        finally:
+            scale.BROADCAST_ROWS = usual
+
+    query(f"{name}_shuffled", ORACLES.get(name))(run)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -24,19 +24,21 @@ def attach(
     side: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-    max_bytes: int = BROADCAST_BYTES,
+    max_rows: int | None = None,
+    max_bytes: int | None = None,
     stored: bool = False,
 ) -> DataFrame:
     """Join ``side`` (at most one row per key) onto ``big``, which is read once.
 
-    ``side`` is written out first, so its rows and bytes are known. Up to both limits it is broadcast and
+    ``side`` is written out first, so its rows and bytes are known. Up to both limits (``BROADCAST_ROWS`` and
+    ``BROADCAST_BYTES`` unless given) it is broadcast and
     ``big`` does not move. Beyond them one equi-join shuffles both sides: rows whose key is null match nothing
     and are dealt over all tasks, and partitions with a hot key are split by adaptive execution.
     """
     keys = list(keys)
     side, size = (side, side.count()) if stored else materialize_counted(side, "side")
-    if size <= max_rows and stored_bytes(side) <= max_bytes:
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    if size <= max_rows and stored_bytes(side) <= (BROADCAST_BYTES if max_bytes is None else max_bytes):
         return big.join(F.broadcast(side), keys, how)
     full = F.lit(True)
     for k in keys:
