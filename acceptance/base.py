@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.functions.parse import ISO_DATE, LOCAL_DATE, NUMBER
-from tabprep.functions.text import WHITESPACE
 from tabprep.operators import scale
 from tabprep.sources.tables import Sheets, as_sheet, union_sheets
 
+# Fixed values of the SQL side, written out here so that a slip in the library cannot hide.
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?Z?)?$"
+LOCAL_DATE = r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}([ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?Z?)?$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def any_of(words: list[str]) -> str:
+    return "|".join(w.replace(".", r"\.") for w in words)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from acceptance import fixed as lx
 from acceptance.base import query, table
 from acceptance.semantics import CATALOGUE, LABEL, SHEET, catalogue, classified_sql
-from tabprep.functions import lexicon as lx
 from tabprep.operators import headers as hd
 from tabprep.operators import structure as st
 from tabprep.operators import templates as tp

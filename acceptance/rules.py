@@ -61,8 +61,10 @@ _RULES = {
     "missingness-blocked": "insights AND signal IN ('MAR', 'MCAR') AND NOT permitted",
     "previous-errors": "errors_ref IS NOT NULL",
 }
+_WARNINGS = ("missing-structure", "new-template-proposed", "previous-errors")
+_LEVELS = {c: "warning" if c in _WARNINGS else "error" for c in _RULES}
 _ISSUES = _J + ", iss AS (" + " UNION ALL ".join(
-    f"SELECT job_id, '{c}' AS code, '{vd.ISSUES[c]}' AS level FROM j WHERE {cond}" for c, cond in _RULES.items()
+    f"SELECT job_id, '{c}' AS code, '{_LEVELS[c]}' AS level FROM j WHERE {cond}" for c, cond in _RULES.items()
 ) + ")"
 
 

@@ -3,9 +3,9 @@ sheet per user and day), and every line of every document."""
 
 from pyspark.sql import functions as F
 
-from acceptance.base import query, table
-from tabprep.functions import lexicon as lx
-from tabprep.functions.text import any_of, normalize_text
+from acceptance import fixed as lx
+from acceptance.base import any_of, query, table
+from tabprep.functions.text import normalize_text
 from tabprep.operators import headers as hd
 from tabprep.operators import mapping as mp
 from tabprep.session import materialize
