@@ -112,12 +112,40 @@ def op5_quality(spark, sf_dir):
     )
 
 
-@query("op10_license_scan")
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _starts(phrase: str, label: str) -> str:
+    words = phrase.split()
+    here = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words))
+    return f"list_transform(list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {here}), lambda i: struct_pack(at := i - 1, label := '{label}'))"
+
+
+_TEMPLATES = ", ".join(
+    f"({k}, '{label}', [{', '.join(chr(39) + w + chr(39) for w in sorted(set(licenses.words_of(text))))}])"
+    for k, (label, text) in enumerate(licenses.TEMPLATES)
+)
+
+
+@query("op10_license_scan", f"""
+WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT doc_id, t, {_WORDS.format("t")} AS w FROM d),
+p AS (SELECT doc_id, len(w) AS n_words, list_concat(list_concat({_starts("cc by", "cc-by")}, {_starts("general public license", "gpl")}), {_starts("all rights reserved", "reserved")}) AS places FROM w),
+base AS (SELECT doc_id, n_words, len(places) AS n_base, list_min(list_transform(places, lambda x: x.at)) AS first_word, list_max(list_transform(places, lambda x: x.at)) AS last_word,
+  list_sort(list_distinct(list_transform(places, lambda x: x.label))) AS names FROM p),
+lines AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) AS k, unnest(string_split(t, chr(10))) AS line FROM d),
+template(id, label, need) AS (VALUES {_TEMPLATES}),
+met AS (SELECT doc_id, k, label, len(list_intersect(need, list_distinct({_WORDS.format("line")}))) AS shared, len(need) AS size FROM lines, template),
+hits AS (SELECT *, shared = max(shared) OVER (PARTITION BY doc_id, k) AS closest FROM met WHERE shared >= 0.8 * size - 1e-9),
+own AS (SELECT doc_id, count(*) AS n_blocks, max(shared / size) AS best, list_distinct(list(label) FILTER (closest)) AS names FROM hits GROUP BY 1)
+SELECT b.doc_id, b.n_words, b.n_base, b.first_word, b.last_word, array_to_string(b.names, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(b.names, coalesce(o.names, [])))), ',') AS labels,
+  CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(o.best, 0.0) END::DOUBLE AS score, coalesce(o.n_blocks, 0) AS n_blocks
+FROM base b LEFT JOIN own o ON b.doc_id = o.doc_id""")
 def op10_license_scan(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
-        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
-        F.to_json(F.when(F.size("blocks") > 0, F.col("blocks"))).alias("blocks"),
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("blocks").cast("long").alias("n_blocks")
     )
 
 
