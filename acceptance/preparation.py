@@ -381,15 +381,31 @@ _RUN_ROWS = "l_orderkey AS job_id, l_partkey * 10 + l_linenumber AS row_idx, l_p
     SELECT j.job_id, CASE WHEN ok.job_id IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status, coalesce(tickets, 0) AS tickets FROM j LEFT JOIN ok USING (job_id) LEFT JOIN t ON t.job_id::VARCHAR = j.job_id""",
 )
 def import_run(spark, sf):
+    done = _import(spark, sf)[0]
+    made = done.decisions.groupBy("job_id").agg(F.count(F.lit(1)).alias("tickets"))
+    return done.jobs.join(made, "job_id", "left").select("job_id", "status", F.coalesce("tickets", F.lit(0)).alias("tickets"))
+
+
+def _import(spark, sf):
     from tabprep.plans.run import run
 
     rows = table(spark, sf, "lineitem").selectExpr(
         "cast(l_orderkey as string) as job_id", "l_partkey * 10 + l_linenumber as row_idx", "l_partkey", "l_linenumber",
         "case when l_discount > 0.08 then 'ERROR' else 'OK' end as status", "cast(null as string) as region", "cast(l_suppkey as string) as identity_document",
     )
-    done = run(jobs(spark, sf).withColumn("project_id", F.lit("project-O")), rows, ["l_partkey", "l_linenumber"], technicians(spark, sf))
-    made = done.decisions.groupBy("job_id").agg(F.count(F.lit(1)).alias("tickets"))
-    return done.jobs.join(made, "job_id", "left").select("job_id", "status", F.coalesce("tickets", F.lit(0)).alias("tickets"))
+    return run(jobs(spark, sf).withColumn("project_id", F.lit("project-O")), rows, ["l_partkey", "l_linenumber"], technicians(spark, sf)), rows
+
+
+@query(
+    "import_trace",
+    f"""WITH {_J}, ok AS (SELECT job_id FROM j WHERE version IS NOT NULL AND NOT (mode = 'MASS_CREATE' AND insights AND signal = 'MNAR') AND insights AND has_pos AND NOT pos_required AND NOT (has_geo AND NOT geo_ok)),
+    r AS (SELECT {_RUN_ROWS} FROM lineitem)
+    SELECT job_id::VARCHAR AS job_id, row_idx, CASE WHEN status = 'ERROR' THEN 'skipped' WHEN job_id::VARCHAR IN (SELECT job_id FROM ok) THEN 'ticket' ELSE 'blocked' END AS outcome,
+      status <> 'ERROR' AND job_id::VARCHAR IN (SELECT job_id FROM ok) AS decided FROM r""",
+)
+def import_trace(spark, sf):
+    done, rows = _import(spark, sf)
+    return done.trace(rows, ["l_partkey", "l_linenumber"]).select("job_id", "row_idx", "outcome", F.col("strategy").isNotNull().alias("decided"))
 
 
 _DAILY = "WITH cells AS (" + " UNION ALL ".join(

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from acceptance.base import query, table
+from tabprep.operators.tables import cell_features
 from tabprep.session import materialize
 from tabprep.sources.workbook import decode_workbooks, workbook_inventory, workbook_sheets
 
@@ -36,7 +37,7 @@ def _book(rows: pd.DataFrame, date1904: bool) -> bytes:
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><workbookPr date1904="{int(date1904)}"/><sheets><sheet name="orders" sheetId="1" r:id="r1"/><sheet name="none" sheetId="2" r:id="r2"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/a.xml"/><Relationship Id="r2" Target="/xl/worksheets/b.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_MAIN}"><si><t>F</t></si><si><r><t>O</t></r></si><si><t>P</t></si></sst>')
-        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_MAIN}"><fonts><font/><font><b/></font></fonts><fills><fill/><fill><patternFill><fgColor rgb="FFFF00"/></patternFill></fill></fills><borders><border/><border><left style="thin"/></border></borders><cellXfs><xf numFmtId="0"/><xf numFmtId="14" fontId="1" fillId="1" borderId="1"/></cellXfs></styleSheet>')
         z.writestr("xl/worksheets/a.xml", f'<worksheet xmlns="{_MAIN}"><sheetData>{"".join(body)}</sheetData><mergeCells><mergeCell ref="A3:B4"/></mergeCells></worksheet>')
         z.writestr("xl/worksheets/b.xml", f'<worksheet xmlns="{_MAIN}"><sheetData/></worksheet>')
     return out.getvalue()
@@ -87,3 +88,17 @@ def workbook_contents(spark, sf):
 )
 def workbook_errors(spark, sf):
     return _cells(spark, sf).filter("error is not null").select("path", F.substring_index("error", ":", 1).alias("kind"))
+
+
+@query(
+    "workbook_cell_features",
+    f"""WITH {_BOOKS}, c AS (SELECT book, n, unnest([0, 1, 2, 3]) AS col FROM b)
+    SELECT 'book-' || book || '.xlsx' AS path, col AS col_idx, round(col / 3, 6) AS col_rel, (CASE WHEN col = 3 THEN n ELSE 0 END)::BIGINT AS bold,
+      (CASE WHEN col = 3 THEN n ELSE 0 END)::BIGINT AS bordered, (CASE WHEN col = 3 THEN n ELSE 0 END)::BIGINT AS dates, (CASE WHEN col = 3 THEN 2 ELSE 1 END)::BIGINT AS fills, 1.0::DOUBLE AS lowest FROM c""",
+)
+def workbook_cell_features(spark, sf):
+    found = cell_features(_cells(spark, sf))
+    return found.groupBy("path", "col_idx", F.round("col_rel", 6).alias("col_rel")).agg(
+        F.count_if("style_bold").alias("bold"), F.count_if("style_border").alias("bordered"), F.count_if(F.col("num_format_family") == "date").alias("dates"),
+        F.count_distinct("style_fill_hash").alias("fills"), F.max("row_rel").alias("lowest"),
+    )

@@ -94,6 +94,23 @@ def format_class(value: Column) -> Column:
     return out.when(value.rlike(DECIMAL_COMMA), "decimal-comma").when(value.rlike(r"^[+-]?\d+(\.\d+)?$"), "number").otherwise("text")
 
 
+def cell_features(cells: DataFrame) -> DataFrame:
+    """Position and style features of decoded cells, as ``read_workbooks`` returns them.
+
+    ``row_rel`` and ``col_rel`` are shares of the sheet's last row and column; the fill colour is hashed.
+    """
+    found = cells.filter(F.col("row_idx").isNotNull())
+    ends = found.groupBy("path", "sheet").agg(F.max("row_idx").alias("_rows"), F.max("col_idx").alias("_cols"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return attach(found, ends, ["path", "sheet"]).select(
+        "path", "sheet", "row_idx", "col_idx",
+        share("row_idx", "_rows").alias("row_rel"), share("col_idx", "_cols").alias("col_rel"),
+        F.coalesce("bold", F.lit(False)).alias("style_bold"), F.xxhash64("fill").alias("style_fill_hash"),
+        F.coalesce("bordered", F.lit(False)).alias("style_border"), F.coalesce("number_family", F.lit("general")).alias("num_format_family"),
+        F.xxhash64("sheet").alias("sheet_name_hash"), F.xxhash64("path").alias("file_id"),
+    )
+
+
 def mixed_formats(histogram: DataFrame) -> DataFrame:
     """Share of each format class per column and whether the column mixes currencies or decimals."""
     classes = histogram.filter(F.col("value").isNotNull()).withColumn("format", format_class(F.col("value"))).groupBy(

@@ -22,6 +22,17 @@ class Run:
     counts: DataFrame
     decisions: DataFrame
 
+    def trace(self, rows: DataFrame, content: Sequence[str]) -> DataFrame:
+        """What became of every source row: ``job_id, row_idx, outcome, ticket_id, technician_id, strategy``.
+
+        ``outcome`` is skipped (an error row), blocked (its job failed) or ticket; equal rows of a job share one.
+        """
+        hashed = rows.withColumn("row_hash", F.when(F.col("status") != "ERROR", jb.row_hash(content)))
+        made = attach(hashed, self.tickets.select("job_id", "row_hash", "ticket_id"), ["job_id", "row_hash"])
+        decided = attach(made, self.decisions.select("ticket_id", "technician_id", "strategy"), ["ticket_id"])
+        outcome = F.when(F.col("status") == "ERROR", "skipped").when(F.col("ticket_id").isNull(), "blocked").otherwise("ticket")
+        return decided.select("job_id", "row_idx", outcome.alias("outcome"), "ticket_id", "technician_id", "strategy")
+
 
 def run(jobs: DataFrame, rows: DataFrame, content: Sequence[str], technicians: DataFrame, existing: DataFrame | None = None) -> Run:
     """Jobs that break a hard rule fail with an error file; the rest complete.
@@ -33,7 +44,8 @@ def run(jobs: DataFrame, rows: DataFrame, content: Sequence[str], technicians: D
     admitted = attach(rows.filter(F.col("status") != "ERROR"), judged.filter("ok").select("job_id"), ["job_id"], how="left_semi")
     tickets, counts = jb.create_tickets(admitted, content, existing)
     tickets = materialize(tickets, "tickets")
-    places = admitted.groupBy("job_id", "row_idx").agg(F.first("region").alias("region"), F.first("identity_document").alias("identity_document"))
+    # repeated positions: the smallest pair, whatever the order of the rows
+    places = admitted.groupBy("job_id", "row_idx").agg(F.min(F.struct("region", "identity_document")).alias("_p")).select("job_id", "row_idx", "_p.*")
     wanted = asg.build_tickets(tickets.join(places, ["job_id", "row_idx"]), judged.filter("ok"))
     decisions = asg.assign(wanted, technicians)
     final = judged.select(

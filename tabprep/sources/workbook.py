@@ -30,7 +30,7 @@ MISSING_TEXTS = [
 
 CELLS_DDL = (
     "path string, sheet_ord int, sheet string, row_idx long, col_idx int, value string, "
-    "formula string, style_id string, merged string, error string"
+    "formula string, style_id string, merged string, bold boolean, fill string, bordered boolean, number_family string, error string"
 )
 
 
@@ -135,17 +135,18 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
             except Exception as error:  # noqa: BLE001 - one odd file must not end the corpus
-                rows.append((path, None, None, None, None, None, None, None, None, f"{type(error).__name__}: {error}"))
+                rows.append((path, *[None] * 12, f"{type(error).__name__}: {error}"))
             if rows:
                 yield pd.DataFrame(rows, columns=columns).astype({"sheet_ord": "Int32", "row_idx": "Int64", "col_idx": "Int32"})
 
 
 def _cells(content: bytes) -> Iterator[tuple]:
-    """(sheet_ord, sheet, row_idx, col_idx, value, formula, style_id, merged) of one workbook."""
+    """(sheet_ord, sheet, row_idx, col_idx, value, formula, style_id, merged, bold, fill, bordered, number_family) of one workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         names = set(archive.namelist())
         strings = _shared_strings(archive) if "xl/sharedStrings.xml" in names else []
-        dates = _date_styles(archive) if "xl/styles.xml" in names else set()
+        looks = _styles(archive) if "xl/styles.xml" in names else []
+        dates = {i for i, look in enumerate(looks) if look[3] == "date"}
         targets = {
             rel.get("Id"): rel.get("Target").lstrip("/").removeprefix("xl/")
             for rel in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
@@ -165,9 +166,10 @@ def _cells(content: bytes) -> Iterator[tuple]:
                     coming = next(ranges, None)
                 active = [m for m in active if row_idx <= m[2]]
                 inside = next((m[4] for m in active if m[1] <= col_idx <= m[3]), None)
-                yield ord_, sheet.get("name"), row_idx, col_idx, value, formula, style, inside
+                look = looks[int(style)] if style is not None and int(style) < len(looks) else _PLAIN
+                yield ord_, sheet.get("name"), row_idx, col_idx, value, formula, style, inside, *look
             if empty:
-                yield ord_, sheet.get("name"), None, None, None, None, None, None
+                yield ord_, sheet.get("name"), *[None] * 10
 
 
 def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
@@ -180,15 +182,41 @@ def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
     return items
 
 
-def _date_styles(archive: zipfile.ZipFile) -> set[int]:
+_PLAIN = (False, None, False, "general")
+
+
+def _styles(archive: zipfile.ZipFile) -> list[tuple]:
+    """(bold, fill colour, bordered, number format family) of every cell style."""
     root = ElementTree.fromstring(archive.read("xl/styles.xml"))
-    custom = {
-        int(f.get("numFmtId")) for f in root.iter(f"{_NS}numFmt")
-        if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "").lower()))
-    }
-    formats = root.find(f"{_NS}cellXfs")
-    wanted = _DATE_FORMATS | custom
-    return {i for i, xf in enumerate(formats if formats is not None else []) if int(xf.get("numFmtId", 0)) in wanted}
+    codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter(f"{_NS}numFmt")}
+    listed = lambda name: list(root.iterfind(f"{_NS}{name}/*"))
+    bold = [font.find(f"{_NS}b") is not None for font in listed("fonts")]
+    fills = [next((c.get("rgb") or c.get("theme") for c in fill.iter(f"{_NS}fgColor")), None) for fill in listed("fills")]
+    bordered = [any(side.get("style") for side in border) for border in listed("borders")]
+
+    def of(values: list, place: str | None, other):
+        return values[int(place)] if place is not None and int(place) < len(values) else other
+
+    return [
+        (of(bold, xf.get("fontId"), False), of(fills, xf.get("fillId"), None), of(bordered, xf.get("borderId"), False), _family(int(xf.get("numFmtId", 0)), codes))
+        for xf in listed("cellXfs")
+    ]
+
+
+def _family(number: int, codes: dict[int, str]) -> str:
+    """date, percent, scientific, fraction, text, number or general."""
+    code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", codes.get(number, "").lower())
+    if number in _DATE_FORMATS or re.search(r"[ymdhs]", code):
+        return "date"
+    if number in (9, 10) or "%" in code:
+        return "percent"
+    if number in (11, 48) or "e+" in code:
+        return "scientific"
+    if number in (12, 13) or "?/" in code:
+        return "fraction"
+    if number == 49 or code == "@":
+        return "text"
+    return "general" if number == 0 or code == "general" else "number"
 
 
 def _place(ref: str) -> tuple[int, int]:
