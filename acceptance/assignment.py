@@ -100,6 +100,18 @@ def ranked_candidates(spark, sf):
     )
 
 
+@query(
+    "top_candidates",
+    f"""WITH {ASSIGN_SQL}, d AS (SELECT DISTINCT ON (project_id, region, required_skills, priority, id) * FROM ranked),
+    p AS (SELECT *, row_number() OVER (PARTITION BY project_id, region, required_skills, priority ORDER BY score DESC, load, id)::INTEGER AS place FROM d)
+    SELECT project_id, region, array_to_string(required_skills, ',') AS skills, priority, id, place FROM p WHERE place <= 3""",
+)
+def top_candidates(spark, sf):
+    pairs = asg.candidates(materialize(asg.demands(tickets(spark, sf)), "demands"), technicians(spark, sf))
+    best = asg.rank_candidates(pairs, top=3)
+    return best.select("project_id", "region", F.array_join("required_skills", ",").alias("skills"), "priority", "id", "place")
+
+
 @query("ticket_assignment", _decided(_BEST) + " SELECT * FROM decisions")
 def ticket_assignment(spark, sf):
     return asg.assign(tickets(spark, sf), technicians(spark, sf)).select("ticket_id", "technician_id", "strategy", "pool_size")

@@ -107,11 +107,15 @@ def load_share() -> Column:
     return F.col("workload") / F.greatest("max_workload", F.lit(1))
 
 
-def rank_candidates(pairs: DataFrame, score: Column | None = None) -> DataFrame:
-    """Place of each candidate of a demand: score, then lower load, then id (binary order)."""
+def rank_candidates(pairs: DataFrame, score: Column | None = None, top: int | None = None) -> DataFrame:
+    """Place of each candidate of a demand: score, then lower load, then id (binary order).
+
+    With ``top`` only the best of each demand are listed; tasks then drop the others before the shuffle.
+    """
     scored = pairs.withColumn("score", ranking_score() if score is None else score)
     order = Window.partitionBy("demand").orderBy(F.desc("score"), load_share(), "id")
-    return scored.withColumn("place", F.row_number().over(order))
+    placed = scored.withColumn("place", F.row_number().over(order))
+    return placed if top is None else placed.filter(F.col("place") <= top)
 
 
 def decide(pairs: DataFrame, score: Column | None = None, pool: bool = False) -> DataFrame:
