@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabprep.llm.text import byte_blocks
 
-#: Sentences in a run, and words that a run must have to count.
+#: Sentences that a run has at least, and words that it takes further sentences to reach.
 RUN = 3
 LEAST_WORDS = 15
 #: A sentence ends at a stop once it has this many words, at a line's end, and after this many words in any case.
@@ -59,14 +60,27 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def _runs(text: str, size: int, least: int) -> Iterator[tuple[bytes, int, int]]:
-    """(128-bit hash, start, end) of every run of ``size`` sentences with at least ``least`` words."""
+    """(128-bit hash, start, end) of the runs: from each sentence on, and up to each sentence, the fewest sentences
+    that are ``size`` at least and have ``least`` words. So each sentence of a passage that long is in a run inside it."""
     found = sentences(text)
     joined = [" ".join(words) for _, _, words in found]
-    counts = [len(words) for _, _, words in found]
-    for i in range(len(found) - size + 1):
-        if sum(counts[i : i + size]) >= least:
-            key = "\n".join(joined[i : i + size]).encode("utf-8", "surrogatepass")
-            yield xxhash.xxh3_128_digest(key), found[i][0], found[i + size - 1][1]
+    before = [0, *accumulate(len(words) for _, _, words in found)]
+    n, j, i, places = len(found), 0, 0, set()
+    for start in range(n):
+        j = max(j, start + size)
+        while j <= n and before[j] - before[start] < least:
+            j += 1
+        if j > n:
+            break
+        places.add((start, j))
+    for end in range(size, n + 1):
+        while i + 1 <= end - size and before[end] - before[i + 1] >= least:
+            i += 1
+        if before[end] - before[i] >= least:
+            places.add((i, end))
+    for start, end in sorted(places):
+        key = "\n".join(joined[start:end]).encode("utf-8", "surrogatepass")
+        yield xxhash.xxh3_128_digest(key), found[start][0], found[end - 1][1]
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, size: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
@@ -118,8 +132,8 @@ def _merged(stretches: Column) -> Column:
 def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """``id, mark, stretches``: for each document that repeats others, the character ranges to remove.
 
-    A run of ``size`` consecutive sentences with at least ``least`` words is repeated if it stands at more
-    than one place of all documents, compared in lower case with white space read as one blank. Its first
+    A run is as many consecutive sentences as it takes to have ``size`` of them and ``least`` words. It is repeated if
+    it stands at more than one place of all documents, compared in lower case with white space read as one blank. Its first
     place is the earliest one in the document with the smallest identifier; the sentences of every other
     place are removed. ``mark`` tells apart texts under one identifier. Rows that share an identifier (or have
     none) count as one document there: what stands once in each of them is first in each. Null texts have no
