@@ -17,45 +17,55 @@ from tabprep.llm.text import byte_blocks
 #: Sentences that a run has at least, and words that it takes further sentences to reach.
 RUN = 3
 LEAST_WORDS = 15
-#: A sentence ends at a stop once it has this many words, at a line's end, and after this many words in any case.
-SHORT_SENTENCE = 4
+#: A sentence ends at a stop and at a line's end. One of more words than this is cut.
 LONG_SENTENCE = 20
-
-_FRAGMENT = re.compile(r"[^.!?\n]*[.!?]*\n?")
-_TOKEN = re.compile(r"\S+")
+#: Of so many consecutive words of a long sentence, at least one ends a piece of it.
+CUT_WINDOW = 8
+
+#: Full stops, question and exclamation marks of Latin, Greek, CJK, Arabic, Indic, Armenian, Ethiopic, Burmese, Khmer, Tibetan and Mongolian.
+_STOPS = ".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff0e\uff61\uff01\uff1f\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u1368\u104b\u17d4\u17d5\u0f0d\u0f0e\u1803\u1809"
+_FRAGMENT = re.compile(rf"[^{_STOPS}\n]*[{_STOPS}]*\n?")
+#: Letters of scripts that put no blanks between words (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han); each counts as a word.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_SPACED = re.compile(r"\S+")
+_TOKEN = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Ends of the pieces of a long sentence: after each word whose hash (with the word before) is the last smallest of
+    some ``CUT_WINDOW`` consecutive ones. Whether a cut stands depends on no word further away than that."""
+    hashes = [xxhash.xxh32_intdigest(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(["", *words], words)]
+    out, least = [], -1
+    for end in range(CUT_WINDOW, len(words) + 1):
+        if least < end - CUT_WINDOW:
+            least = min(range(end - CUT_WINDOW, end), key=lambda i: (hashes[i], -i))
+        elif hashes[end - 1] <= hashes[least]:
+            least = end - 1
+        if not out or out[-1] != least + 1:
+            out.append(least + 1)
+    return out if out[-1] == len(words) else [*out, len(words)]
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-case words) of the sentences; together they cover all of the text but white space."""
-    out: list[tuple[int, int, list[str]]] = []
-    start, end, words = -1, 0, []
-
-    def close() -> None:
-        nonlocal start, words
-        if words:
-            out.append((start, end, words))
-        start, words = -1, []
+    """(start, end, lower-case words) of the sentences; together they cover all of the text but white space.
 
+    Each stretch up to a stop or line's end is one, however short; pieces of one over ``LONG_SENTENCE`` words stand for it.
+    """
+    out: list[tuple[int, int, list[str]]] = []
+    unspaced = _ANY_UNSPACED.search(text) is not None
     for found in _FRAGMENT.finditer(text):
         part = found.group()
-        new = part.lower().split()
-        if new:
-            if len(words) + len(new) > LONG_SENTENCE:
-                for token in _TOKEN.finditer(part):
-                    if len(words) == LONG_SENTENCE:
-                        close()
-                    if start < 0:
-                        start = found.start() + token.start()
-                    words.append(token.group().lower())
-                    end = found.start() + token.end()
-            else:
-                if start < 0:
-                    start = found.start() + len(part) - len(part.lstrip())
-                words += new
-                end = found.start() + len(part.rstrip())
-        if part.endswith("\n") or len(words) >= SHORT_SENTENCE:
-            close()
-    close()
+        words = _TOKEN.findall(part.lower()) if unspaced else part.lower().split()
+        if len(words) > LONG_SENTENCE:
+            tokens = list(_TOKEN.finditer(part)) if unspaced else list(_SPACED.finditer(part))
+            words = [token.group().lower() for token in tokens]
+            begin = 0
+            for end in _cuts(words):
+                out.append((found.start() + tokens[begin].start(), found.start() + tokens[end - 1].end(), words[begin:end]))
+                begin = end
+        elif words:
+            out.append((found.start() + len(part) - len(part.lstrip()), found.start() + len(part.rstrip()), words))
     return out
 
 
