@@ -14,7 +14,7 @@ from tabprep.llm.text import byte_blocks, packed
 
 #: Edits allowed, as a share of an item's normalised characters.
 ERROR_RATE = 0.08
-#: Items with fewer normalised characters say too little; they are not searched for.
+#: Items with fewer normalised characters have to occur exactly, as whole words.
 LEAST_CHARS = 30
 #: Items are searched for in blocks of at most this many normalised characters: the bound of what is sent to tasks.
 BLOCK_CHARS = 4_000_000
@@ -27,6 +27,21 @@ def normalised(text: str) -> str:
     return " ".join(_WORD.findall(text.lower()))
 
 
+#: Letters of scripts that put no blanks between words (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han).
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no word goes on beyond ``text[start:end]``; letters of unspaced scripts are words of their own."""
+
+    def border(at: int) -> bool:
+        if at == 0 or at == len(text) or text[at - 1] == " " or text[at] == " ":
+            return True
+        return bool(_UNSPACED.match(text[at - 1]) or _UNSPACED.match(text[at]))
+
+    return border(start) and border(end)
+
+
 def budget(length: int, rate: float = ERROR_RATE) -> int:
     return int(length * rate)
 
@@ -91,7 +106,7 @@ def _matcher(items: list[tuple[int, str]], rate: float):
     found_at: dict[str, list[tuple[int, int]]] = {}
     patterns, errors = [], []
     for number, (_, item) in enumerate(items):
-        k = budget(len(item), rate)
+        k = budget(len(item), rate) if len(item) >= LEAST_CHARS else 0
         errors.append(k)
         patterns.append(Pattern(item))
         for offset, piece in pieces(item, k):
@@ -106,6 +121,9 @@ def _matcher(items: list[tuple[int, str]], rate: float):
         hits: dict[int, list[tuple[int, int]]] = {}
         for end, (length, places) in automaton.iter(text):
             for number, offset in places:
+                if patterns[number].length < LEAST_CHARS:
+                    if number in hits or not _stands_alone(text, end + 1 - length, end + 1):
+                        continue
                 hits.setdefault(number, []).append((end + 1 - length, offset))
         for number, at in hits.items():
             pattern, k = patterns[number], errors[number]
@@ -121,13 +139,13 @@ def _matcher(items: list[tuple[int, str]], rate: float):
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Items long enough, equal ones once (smallest identifier), in blocks of at most ``limit`` characters."""
+    """Items with a letter or digit, equal ones once (smallest identifier), in blocks of at most ``limit`` characters."""
     block, size = [], 0
     ids = F.col(f"`{id_col}`")
     rows = benchmark.select(ids.alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna()
     for row in rows.groupBy("text").agg(F.min("item").alias("item")).orderBy("item", "text").toLocalIterator():
         item = normalised(row["text"])
-        if len(item) < LEAST_CHARS:
+        if not item:
             continue
         if block and size + len(item) > limit:
             yield block
@@ -151,8 +169,8 @@ def find_leaks(
     all items in one pass over a text, and Myers' bit vectors verify the surroundings of each hit. ``end`` is
     where the closest stretch ends in the normalised text.
 
-    Null texts and identifiers of items, and items under ``LEAST_CHARS`` normalised characters, match nothing;
-    equal items count once, under the smallest identifier. Documents do not move; items reach the tasks in
+    An item under ``LEAST_CHARS`` normalised characters has no budget and must stand as whole words. Null texts and
+    identifiers of items, and items without a letter or digit, match nothing; equal items count once, under the smallest identifier. Documents do not move; items reach the tasks in
     blocks of bounded size, one pass over the documents for each. No documents or no items: no rows.
     """
     kept = docs.columns if carry is None else carry

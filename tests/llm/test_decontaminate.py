@@ -90,3 +90,11 @@ def test_equal_items_count_once(spark):
     text = "one two three four five six seven eight nine ten"
     got = find_leaks(sample(spark, [text, text]), bench(spark, [(7, text), (4, text)])).collect()
     assert sorted((r["row"]["doc_id"], r["item_id"], r["distance"]) for r in got) == [(0, 4, 0), (1, 4, 0)]
+
+
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "What is the capital of France?"), (2, "法国的首都是哪一个城市请回答"), (3, "pi"), (4, "?!")]
+    texts = ["Q: what is the CAPITAL of France - Paris", "what is the capitol of France", "somewhat is the capital of francey", "问题法国的首都是哪一个城市请回答吧", "pie, api", "a pi"]
+    found = find_leaks(sample(spark, texts), bench(spark, items)).collect()
+    assert sorted((r["row"]["doc_id"], r["item_id"], r["distance"], r["budget"], r["end"]) for r in found) == [(0, 1, 0, 0, 31), (3, 2, 0, 0, 16), (5, 3, 0, 0, 4)]
+    assert {r["doc_id"] for r in drop_leaks(sample(spark, texts), bench(spark, items)).collect()} == {1, 2, 4}
