@@ -10,8 +10,11 @@ from tabprep.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without a letter are undecided and go."""
-    found = language.identify(docs, learned_languages(docs))
+    """Documents in some language; those without a letter are undecided and go. With nothing to learn from, the others stay."""
+    model = learned_languages(docs)
+    if not model.languages:
+        return docs.filter(docs["text"].rlike(r"\p{L}"))
+    found = language.identify(docs, model)
     return found.filter(found["lang_pred"] != language.UNDECIDED).select("row.*")
 
 

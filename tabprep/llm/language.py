@@ -16,8 +16,6 @@ from tabprep.llm.text import byte_blocks
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 EM_ROUNDS = 8
-#: Most languages that a document's mixture is searched for.
-MOST_MIXED = 3
 #: Times the usual log(words) / 2 that each further language has to gain in log-likelihood.
 PENALTY = 2.0
 UNDECIDED = "und"
@@ -114,19 +112,28 @@ def infer(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tuple[
     word = np.exp(word - word.max(axis=1, keepdims=True)).astype(np.float64) + 1e-12
     text_of = np.searchsorted(offsets, first, side="right") - 1
     texts, starts, n = np.unique(text_of, return_index=True, return_counts=True)
-    share, _ = _mixtures(word, starts, n, EM_ROUNDS)
+    owner = np.repeat(np.arange(len(texts)), n)
+    share, fit_all = _mixtures(word, starts, n, EM_ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
+    # no mixture of any languages fits better than this: the log-likelihood is concave in the proportions
+    slope = np.add.reduceat(word / (word * share[owner]).sum(axis=1, keepdims=True), starts, axis=0) / n[:, None]
+    bound = fit_all + n * np.log(slope.max(axis=1))
     best, best_score = np.zeros_like(share), np.full(len(texts), -np.inf)
-    owner = np.repeat(np.arange(len(texts)), n)
-    for size in range(1, min(MOST_MIXED, n_langs) + 1):
-        chosen = order[:, :size]
-        shares, fits = _mixtures(np.take_along_axis(word, chosen[owner], axis=1), starts, n, EM_ROUNDS if size > 1 else 1)
-        score = fits - PENALTY * size * np.log(n + 1.0) / 2
-        better = score > best_score
-        best_score = np.where(better, score, best_score)
-        mixed = np.zeros_like(share)
+    for size in range(1, n_langs + 1):
+        penalty = PENALTY * size * np.log(n + 1.0) / 2
+        open_ = np.flatnonzero(bound - penalty > best_score)
+        if not len(open_):
+            break
+        chosen, counts = order[open_, :size], n[open_]
+        inside = np.isin(owner, open_)
+        picked = np.take_along_axis(word[inside], np.repeat(chosen, counts, axis=0), axis=1)
+        shares, fits = _mixtures(picked, np.cumsum(counts) - counts, counts, EM_ROUNDS if size > 1 else 1)
+        score = fits - penalty[open_]
+        better = score > best_score[open_]
+        best_score[open_[better]] = score[better]
+        mixed = np.zeros((len(open_), n_langs))
         np.put_along_axis(mixed, chosen, shares, axis=1)
-        best = np.where(better[:, None], mixed, best)
+        best[open_[better]] = mixed[better]
     out[texts] = best
     has_words = np.zeros(len(out), bool)
     has_words[texts] = True
@@ -138,8 +145,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
 
     ``mixture`` lists the selected languages with their proportions of words, the largest first; ``lang_pred``
     is its first and ``score`` that proportion. Each word (a run of letters) counts as a draw from one language,
-    with the likelihood of its trigrams; EM finds the proportions, and the set of one to ``MOST_MIXED``
-    languages with the best log-likelihood less a penalty per language is chosen. Ties go to the language
+    with the likelihood of its trigrams; EM finds the proportions, and the set of the one, two, ... or all
+    languages of largest proportion with the best log-likelihood less a penalty per language is chosen. Ties go to the language
     that sorts first. Null text, text without a letter and an empty model give ``und`` with score 0 and an
     empty mixture. Rows stay where they are; the model (languages x ``BUCKETS`` numbers) goes to each task.
     """

@@ -1,3 +1,4 @@
+import corpus_pipeline
 import numpy as np
 from llm.conftest import sample
 from pyspark.sql import functions as F
@@ -45,3 +46,21 @@ def test_a_text_does_not_read_its_neighbours():
     together, _ = infer(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
     apart = np.concatenate([infer(model, np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts])
     assert np.allclose(together, apart)
+
+
+def test_mixtures_of_more_than_three_languages():
+    rng = np.random.default_rng(1)
+    p = rng.random((BUCKETS, 6)) ** 8 + 1e-6
+    model = LanguageModel(list("abcdef"), np.log(p / p.sum(axis=0)).astype(np.float32))
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(3000)]
+    one = [infer(model, np.frombuffer(w.encode(), np.uint8), np.array([0, 6]))[0][0] for w in vocabulary]
+    words = [[w for w, share in zip(vocabulary, one) if share.argmax() == k][:200] for k in range(6)]
+    texts = [" ".join(w for k in range(m) for w in words[k]).encode() for m in (1, 4, 5)]
+    shares, _ = infer(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    for m, share in zip((1, 4, 5), shares):
+        assert set(np.flatnonzero(share)) == set(range(m)) and np.abs(share[:m] - 1 / m).max() < 0.05
+
+
+def test_stage_keeps_documents_if_no_language_is_given(spark):
+    docs = sample(spark, ["Some words", "12 !", None, "слово"])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [0, 3]
