@@ -55,12 +55,14 @@ class TemplateIndex:
     labels: list[str]
     ordered: list[list[str]]
     needed: list[int]
+    #: words of each template, repeated ones too
+    lengths: list[int]
     order: dict[str, tuple[int, str]]
     prefixes: dict[str, list[tuple[int, int]]]
 
     @classmethod
     def build(cls, templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float) -> TemplateIndex:
-        labels, ordered, needed, prefixes = [], [], [], {}
+        labels, ordered, needed, lengths, prefixes = [], [], [], [], {}
         order = {w: (frequency.get(w, 0), w) for _, text in templates for w in words_of(text)}
         for label, text in templates:
             unique = sorted(set(words_of(text)), key=order.__getitem__)
@@ -73,7 +75,8 @@ class TemplateIndex:
             labels.append(label)
             ordered.append(unique)
             needed.append(overlap)
-        return cls(labels, ordered, needed, order, prefixes)
+            lengths.append(len(words_of(text)))
+        return cls(labels, ordered, needed, lengths, order, prefixes)
 
     def matches(self, block: list[str]) -> Iterator[tuple[int, float]]:
         """(template, containment) of every template that the block contains to the threshold."""
@@ -129,19 +132,57 @@ def _places(words: list[str], phrases: list[tuple[list[str], str]]) -> list[tupl
     return out
 
 
+def _wrapped(text: str, index: TemplateIndex, hits: dict[int, list[int]]) -> list[tuple[int, int, int, int]]:
+    """(template, shared words, first word, end word) of notices that go over line ends, by windows of a template's length.
+
+    ``hits`` has the lines that hold each template by themselves; windows that touch those are not taken. Of windows
+    of one template that overlap, the first with most shared words stands.
+    """
+    lines = [words_of(line) for line in text.split("\n")]
+    words = [word for line in lines for word in line]
+    line_of = [number for number, line in enumerate(lines) for _ in line]
+    out = []
+    for template, _ in index.matches(words):
+        have, need, length = set(index.ordered[template]), index.needed[template], index.lengths[template]
+        own = set(hits.get(template, ()))
+        places = [i for i, word in enumerate(words) if word in have]
+        inside: Counter[str] = Counter()
+        low, last = 0, None
+        for i in places:
+            inside[words[i]] += 1
+            while places[low] <= i - length:
+                gone = words[places[low]]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                low += 1
+            first = places[low]
+            if len(inside) < need or line_of[first] == line_of[i] or not own.isdisjoint(range(line_of[first], line_of[i] + 1)):
+                continue
+            if last is not None and first < last[3]:
+                if len(inside) > last[1]:
+                    last = out[-1] = (template, len(inside), first, i + 1)
+            else:
+                last = (template, len(inside), first, i + 1)
+                out.append(last)
+    return out
+
+
 def scan(
     docs: DataFrame, text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     threshold: float = CONTAINMENT, keep: list[str] | None = None,
 ) -> DataFrame:
     """The ``keep`` columns (all by default) as struct ``row``, and per document ``n_words, n_base, first_word,
-    last_word, base_labels, labels, score, blocks``.
+    last_word, base_labels, labels, score, blocks, wrapped``.
 
     Words are runs of digits, lower-cased A-Z and characters beyond ASCII. ``n_base`` counts the places where a
     phrase's words stand one after the other, ``first_word`` and ``last_word`` are the smallest and largest
     start (null without any), ``base_labels`` their labels. A text block is a line; ``blocks`` lists every line
     (from 0) that holds at least ``threshold`` of a template's distinct words, with the template's label and
     the containment. ``labels`` adds, for each such line, the label of the template that shares most words with
-    it to the base ones; both lists are distinct, sorted and joined
+    it to the base ones. ``wrapped`` lists the notices that go over line ends: windows as long as a template over
+    the words of all lines, ``block`` being the number of the first word; they count for ``labels`` and ``score``
+    in the same way. Both lists are distinct, sorted and joined
     by commas, empty if there is none. ``score`` is the largest containment, 1 if a phrase stands, else 0.
 
     Template words are ordered by how many lines of all documents hold them. Only a line with one of a
@@ -158,29 +199,37 @@ def scan(
     kinds = {
         "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string",
         "score": "double", "blocks": "array<struct<block:bigint,label:string,containment:double>>",
+        "wrapped": "array<struct<block:bigint,label:string,containment:double>>",
     }
     schema = source.select("row", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
     block_type = pa.list_(pa.struct([("block", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
-    arrow = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), block_type]
+    arrow = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), block_type, block_type]
 
     def one(text: str) -> tuple:
         words = words_of(text)
         distinct = set(words)
         places = _places(words, coded) if not heads.isdisjoint(distinct) else []
-        blocks, closest = [], set()
+        blocks, wrapped, closest, hits = [], [], set(), {}
         if not distinct.isdisjoint(index.prefixes):
             for number, line in enumerate(text.split("\n")):
                 met = list(index.matches(words_of(line)))
+                for t, _ in met:
+                    hits.setdefault(t, []).append(number)
                 blocks += [{"block": number, "label": index.labels[t], "containment": share} for t, share in met]
                 # of notices that contain each other, the one with most words shared names the block
                 most = max((share * len(index.ordered[t]) for t, share in met), default=0)
                 closest |= {index.labels[t] for t, share in met if share * len(index.ordered[t]) == most}
+            over = _wrapped(text, index, hits)
+            for t, shared, first, end in over:
+                wrapped.append({"block": first, "label": index.labels[t], "containment": shared / len(index.ordered[t])})
+                if all(n <= shared for _, n, a, b in over if a < end and first < b):
+                    closest.add(index.labels[t])
         base = {label for _, label in places}
         starts = [at for at, _ in places]
-        best = max([1.0] * bool(places) + [b["containment"] for b in blocks], default=0.0)
+        best = max([1.0] * bool(places) + [b["containment"] for b in blocks + wrapped], default=0.0)
         return (
             len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
-            ",".join(sorted(base | closest)), best, blocks,
+            ",".join(sorted(base | closest)), best, blocks, wrapped,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

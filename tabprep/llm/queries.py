@@ -145,7 +145,8 @@ FROM base b LEFT JOIN own o ON b.doc_id = o.doc_id""")
 def op10_license_scan(spark, sf_dir):
     found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select(
-        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("blocks").cast("long").alias("n_blocks")
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        (F.size("blocks") + F.size("wrapped")).cast("long").alias("n_blocks"),
     )
 
 

@@ -81,3 +81,26 @@ def test_frequency_counts_lines_of_all_documents(spark):
     docs = sample(spark, ["license a\nLicense license\nb", None, "", "license"])
     assert word_frequency(docs, {"license", "b", "never"}) == {"license": 3, "b": 1}
     assert words_of("É-x_Y9") == ["É", "x", "y9"]
+
+
+MIT = """// Permission is hereby granted, free of charge, to any person obtaining a copy
+// of this software and associated documentation files (the "Software"), to deal"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General
+# Public License as published by"""
+
+
+def test_wrapped_notices(spark):
+    texts = ["Begin.\n" + MIT, BSD + "\nEnd.", GPL, MIT + "\n\n" + BSD, "Licensed under CC\nBY-NC 4.0", "free of charge\nto any person", MIT.replace("\n//", "") + "\nPermission is hereby"]
+    got = scan(sample(spark, texts)).collect()
+    assert [r["labels"] for r in got] == ["mit", "bsd", "gpl,gpl-3.0", "bsd,mit", "cc-by,cc-by-nc-4.0", "", "mit"]
+    assert [len(r["wrapped"]) > 0 for r in got] == [True] * 5 + [False] * 2 and [r["score"] for r in got] == [1.0] * 5 + [0.0, 1.0]
+    check(sample(spark, texts))
+
+
+def test_widest_wrapping(spark):
+    texts = ["\n".join(template.split()) for _, template in TEMPLATES]
+    for (label, _), r in zip(TEMPLATES, scan(sample(spark, texts)).collect(), strict=True):
+        assert label in r["labels"].split(",") and label in {w["label"] for w in r["wrapped"]} and r["score"] == 1.0
