@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm import decontaminate, exact_dedup, language, licenses, packing, pii, quality, simhash, span_dedup, url_filter
+from tabprep.llm import (
+    decontaminate, exact_dedup, language, licenses, merkle, packing, pieces, pii, quality, resampling, simhash, span_dedup, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +171,93 @@ def op9_sentence_spans(spark, sf_dir):
         F.aggregate("stretches", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed_chars"),
         F.array_join(F.transform("stretches", lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias("removed"),
     )
+
+
+#: Unsigned CRC-32 of ``bytes`` (a list of numbers), bit by bit: the table of all bytes, then one lookup a byte.
+_CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0})), lambda k: ('0x' || substr(hex({0}), (2 * k + 1)::INT, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295)"""
+
+
+def _field(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen(({name})::VARCHAR) || ':' || ({name})::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", n_chars, "text"])) + ")"
+
+
+_RAISE = "list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))"
+_SIBLING = "coalesce(nodes[xor({0}, 1) + 1], '')"
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS tampered, doc_id::VARCHAR AS name FROM documents),
+leaves AS (SELECT doc_id, tree, leaf, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  CASE WHEN {_CRC.format("name")} % 7 = 0 THEN tampered ELSE leaf END AS offered FROM d, crc_table),
+up AS (SELECT tree, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY tree
+  UNION ALL SELECT tree, level + 1, {_RAISE} FROM up WHERE len(nodes) > 1),
+subroots AS (SELECT tree, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS place FROM up WHERE len(nodes) = 1),
+over AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL SELECT level + 1, {_RAISE} FROM over WHERE len(nodes) > 1),
+top AS (SELECT nodes[1] AS root FROM over WHERE len(nodes) = 1),
+path AS (SELECT tree, pos, level AS step, pos >> level AS at, {_SIBLING.format("(pos >> level)")} AS other FROM leaves JOIN up USING (tree) WHERE len(nodes) > 1
+  UNION ALL SELECT tree, pos, height + level, place >> level, {_SIBLING.format("(place >> level)")} FROM leaves JOIN subroots USING (tree), over WHERE len(nodes) > 1),
+fold AS (SELECT tree, pos, 0 AS step, offered AS digest FROM leaves
+  UNION ALL SELECT f.tree, f.pos, f.step + 1, sha256(CASE WHEN p.at % 2 = 0 THEN f.digest || p.other ELSE p.other || f.digest END)
+  FROM fold f JOIN path p ON f.tree = p.tree AND f.pos = p.pos AND f.step = p.step),
+folded AS (SELECT tree, pos, arg_max(digest, step) AS folded_root FROM fold GROUP BY ALL),
+proofs AS (SELECT tree, pos, string_agg(other, '' ORDER BY step) AS proof FROM path GROUP BY ALL)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (tree) CROSS JOIN top JOIN folded USING (tree, pos) LEFT JOIN proofs USING (tree, pos)""")
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    found = merkle.manifest(
+        table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+        changed=tampered, changes={"n_chars": F.col("n_chars") + 1},
+    )
+    proof = F.array_join(F.transform("proof", lambda step: F.concat(step["left"], step["right"])), "")
+    return found.select(
+        "row.doc_id", "leaf", "subroot", "root", F.sha2(proof.cast("binary"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_BUCKETS, _PERCENT, _LEAST, _SEED = 10_000, 10, 20, 2024
+
+
+@query("op12_importance_resampling", f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+b AS (SELECT {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM benchmark),
+found AS (SELECT doc_id, unnest(w) AS word FROM d), wanted AS (SELECT unnest(w) AS word FROM b),
+words AS (SELECT DISTINCT word FROM (SELECT word FROM found UNION ALL SELECT word FROM wanted)),
+hashed AS (SELECT word, {_CRC.format("word")} % 10000 AS bucket FROM words, crc_table),
+raw AS (SELECT bucket, count(*)::DOUBLE AS s FROM found JOIN hashed USING (word) GROUP BY 1),
+target AS (SELECT bucket, count(*)::DOUBLE AS t FROM wanted JOIN hashed USING (word) GROUP BY 1),
+total AS (SELECT (SELECT count(*) FROM found)::DOUBLE AS ss, (SELECT count(*) FROM wanted)::DOUBLE AS tt),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM raw LEFT JOIN target USING (bucket), total),
+sums AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM found JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored s LEFT JOIN drawn ON s.doc_id = drawn.doc_id""")
+def op12_importance_resampling(spark, sf_dir):
+    weighted = resampling.importance_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], buckets=_BUCKETS)
+    found = resampling.resample(weighted, "doc_id", _PERCENT, _LEAST, _SEED)
+    return found.select("row.doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    found = pieces.encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.element_at("bounds", -1).alias("source_bytes"),
+    )

@@ -26,11 +26,14 @@ def packed(columns: list[str], alias: str = "row") -> Column:
 
 
 def byte_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of a string column in blocks of about ``limit`` bytes; null is empty.
+    """(first row, end row, bytes, offsets) of a string or binary column in blocks of about ``limit`` bytes; null is empty.
 
     Text ``i`` of a block is ``bytes[offsets[i]:offsets[i + 1]]``. The arrays view Arrow's buffers.
     """
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    if pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column, b"")
+    else:
+        column = pc.fill_null(column, "").cast(pa.large_string())
     n = len(column)
     if not n:
         return
