@@ -1,8 +1,10 @@
-"""Exact quantiles of huge groups in bounded memory.
+"""Exact quantiles of huge groups: selection in rounds, so that no task ever sorts more than a fixed number of values.
 
-A quantile sketch (partial aggregation, fixed size) gives for every wanted rank a bracket that is
-certain to contain it. A second pass counts the rows below each bracket and keeps only the values
-inside, about a thousandth of the group, from which the order statistics are read off.
+A quantile sketch (partial aggregation, fixed size) gives for every wanted rank a bracket that is certain to contain
+it. A second pass counts the rows below each bracket and keeps the distinct values inside, about a thousandth of the
+group. As long as a bracket holds more than ``MOST_RANKED`` of them, it is cut into ``CELLS`` cells of about equally
+many values, whose rows are counted with map-side partials, and only the cell that holds the rank is kept. What is left
+is sorted, and the order statistics are read off.
 """
 
 from __future__ import annotations
@@ -16,20 +18,42 @@ from tabprep.operators.scale import attach
 from tabprep.session import materialize
 
 ACCURACY = 10_000
+#: Distinct values of one group and probability that a task may sort, and cells that a larger bracket is cut into.
+MOST_RANKED = 65_536
+CELLS = 512
 _MARGIN = 5 / ACCURACY
 _STRIDE = 23
 
 
 def order_statistics(
-    values: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], weight: str | None = None
+    values: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], weight: str | None = None, most: int = MOST_RANKED
 ) -> DataFrame:
     """Per key and probability the two neighbouring order statistics.
 
     Output ``keys, prob, low, high, fraction``; the linear quantile is ``low + fraction*(high-low)``.
-    ``weight`` counts repeated values, as in a histogram.
+    ``weight`` counts repeated values, as in a histogram. At most ``most`` distinct values of a bracket are sorted.
     """
     keys = list(keys)
-    probs = list(probs)
+    inside, state = _narrow_brackets(values, keys, x, list(probs), weight, most)
+    order = Window.partitionBy(*keys, "prob").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = attach(inside.withColumn("upto", F.sum("c").over(order)), state, [*keys, "prob"], how="inner", stored=True)
+    spot = F.col("prob") * (F.col("_n") - 1)
+    reaching = lambda rank: F.min(F.when(F.col("_below") + F.col("upto") > rank, F.col("v")))
+    found = ranked.groupBy(*keys, "prob").agg(
+        reaching(F.floor(spot)).alias("low"),
+        reaching(F.ceil(spot)).alias("high"),
+        F.first(spot - F.floor(spot)).alias("fraction"),
+        F.first(F.col("_below") > F.floor(spot)).alias("_over"),
+    )
+    missed = F.col("_over") | F.col("high").isNull()
+    guard = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+    return found.select(*keys, "prob", F.coalesce(guard, F.col("low")).alias("low"), "high", "fraction")
+
+
+def _narrow_brackets(
+    values: DataFrame, keys: list[str], x: str, probs: list[float], weight: str | None, most: int
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct values ``keys, prob, v, c`` of brackets of at most ``most``, and ``keys, prob, _n, _below, _size`` of each."""
     present = values.filter(F.col(x).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w")
     )
@@ -77,36 +101,50 @@ def order_statistics(
         .groupBy(*keys, "prob", "v")
         .agg(F.sum("_w").alias("c"))
     )
-    ranked = kept.withColumn(
-        "upto",
-        F.sum("c").over(
-            Window.partitionBy(*keys, "prob").orderBy(F.asc_nulls_first("v")).rowsBetween(
-                Window.unboundedPreceding, Window.currentRow
-            )
-        ),
+    kept = materialize(kept, "inside")
+    within = F.col("v").isNotNull()
+    state = kept.groupBy(*keys, "prob").agg(
+        F.sum(F.when(within, F.lit(0)).otherwise(F.col("c"))).alias("_below"), F.count_if(within).alias("_size")
     )
-    spot = F.col("prob") * (F.col("_n") - 1)
-    located = attach(ranked, summary.select(*keys, "_n"), keys, how="inner", stored=True)
-    first_reaching = lambda rank: F.min(F.when((F.col("upto") > rank) & F.col("v").isNotNull(), F.col("v")))
-    found = located.groupBy(*keys, "prob").agg(
-        first_reaching(F.floor(spot)).alias("low"),
-        first_reaching(F.ceil(spot)).alias("high"),
-        F.first(spot - F.floor(spot)).alias("fraction"),
-        F.max(F.when(F.col("v").isNull(), F.col("upto")).otherwise(F.lit(0))).alias("_below"),
-        F.first(F.floor(spot)).alias("_rank"),
+    empty = F.raise_error(F.lit("quantile bracket holds no value")).cast("long")
+    state = state.withColumn("_size", F.when(F.col("_size") > 0, F.col("_size")).otherwise(empty))
+    state = materialize(attach(state, summary.select(*keys, "_n"), keys, how="inner", stored=True), "state")
+    inside = kept.filter(within)
+    while (state.agg(F.max("_size")).first()[0] or 0) > most:
+        inside, state = _one_cell(inside, state, keys, most)
+    return inside, state
+
+
+def _one_cell(inside: DataFrame, state: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Each bracket of more than ``most`` values cut down to the cell, or two neighbours, with its rank and the next one."""
+    spot = [*keys, "prob"]
+    large = state.filter(F.col("_size") > most).select(*spot)
+    grid = [i / CELLS for i in range(1, CELLS)]
+    cuts = attach(inside, large, spot, how="inner").groupBy(*spot).agg(F.percentile_approx("v", grid, ACCURACY).alias("_g"))
+    cuts = materialize(_with_coarse(cuts.withColumn("_g", F.array_sort(F.array_distinct("_g")))), "cuts")
+    slotted = attach(inside, cuts, spot, stored=True).withColumn("_slot", F.coalesce(_cuts_below("_g", "_coarse", F.col("v")), F.lit(0)))
+    slotted = slotted.drop("_g", "_coarse")
+    mass = slotted.groupBy(*spot, "_slot").agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_values"))
+    mass = attach(mass, state.drop("_size"), spot, how="inner", stored=True)
+    upto = F.sum("_c").over(Window.partitionBy(*spot).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.col("prob") * (F.col("_n") - 1)
+    cells = mass.withColumn("_upto", F.col("_below") + upto).withColumn("_before", F.col("_upto") - F.col("_c"))
+    held = (F.col("_upto") > F.floor(rank)) & (F.col("_before") <= F.ceil(rank))
+    chosen = cells.filter(held).groupBy(*spot).agg(
+        F.min("_slot").alias("_first"), F.max("_slot").alias("_last"), F.first("_n").alias("_n"), F.min("_before").alias("_below"),
+        F.sum("_values").alias("_size"),
     )
-    missed = (F.col("_below") > F.col("_rank")) | F.col("high").isNull()
-    guard = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    return found.select(*keys, "prob", F.coalesce(guard, F.col("low")).alias("low"), "high", "fraction")
+    chosen = materialize(chosen, "state")
+    left = attach(slotted, chosen.select(*spot, "_first", "_last"), spot, how="inner", stored=True)
+    left = left.filter(F.col("_slot").between(F.col("_first"), F.col("_last"))).drop("_slot", "_first", "_last")
+    return materialize(left, "inside"), chosen.drop("_first", "_last")
 
 
 def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     """Brackets for weighted values: the rank mass of a grid of sketched cut points is summed exactly."""
-    grid = [i / 512 for i in range(513)]
+    grid = [i / CELLS for i in range(CELLS + 1)]
     cuts = present.groupBy(*keys).agg(F.percentile_approx("_x", grid, ACCURACY).alias("_g"))
-    cuts = cuts.select(*keys, F.array_sort(F.array_distinct("_g")).alias("_g"))
-    every_nth = F.filter("_g", lambda g, i: i % _STRIDE == _STRIDE - 1)
-    cuts = materialize(cuts.withColumn("_coarse", every_nth), "grid")
+    cuts = materialize(_with_coarse(cuts.select(*keys, F.array_sort(F.array_distinct("_g")).alias("_g"))), "grid")
     slotted = attach(present, cuts, keys, how="inner", stored=True).select(
         *keys, "_w", _cuts_below("_g", "_coarse", F.col("_x")).alias("_slot")
     )
@@ -137,6 +175,10 @@ def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float])
     )
 
 
+def _with_coarse(cuts: DataFrame) -> DataFrame:
+    return cuts.withColumn("_coarse", F.filter("_g", lambda g, i: i % _STRIDE == _STRIDE - 1))
+
+
 def _cuts_below(cuts: str, coarse: str, x: Column) -> Column:
     """How many sorted cuts lie below ``x``: a look at every 23rd cut, then at one stretch."""
     skipped = F.size(F.filter(coarse, lambda g: g < x)) * _STRIDE
@@ -148,8 +190,8 @@ def linear(low: Column, high: Column, fraction: Column) -> Column:
 
 
 def quantiles(
-    values: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], weight: str | None = None
+    values: DataFrame, keys: Sequence[str], x: str, probs: Sequence[float], weight: str | None = None, most: int = MOST_RANKED
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per key and probability."""
-    stats = order_statistics(values, keys, x, probs, weight)
+    stats = order_statistics(values, keys, x, probs, weight, most)
     return stats.select(*keys, "prob", linear(F.col("low"), F.col("high"), F.col("fraction")).alias("quantile"))

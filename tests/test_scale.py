@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabprep.operators import scale as sc
 from tabprep.operators.numeric import iqr_bounds, numeric_parameters, prepare_numbers
-from tabprep.operators.quantiles import quantiles
+from tabprep.operators.quantiles import _narrow_brackets, order_statistics, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +129,32 @@ def test_quantiles_are_exact(spark, size, weight):
     assert np.allclose(got, np.quantile(values, probs))
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+@pytest.mark.parametrize("most", [2, 40])
+def test_quantiles_in_rounds(spark, weight, most):
+    rng = np.random.default_rng(most)
+    groups = {0: rng.lognormal(0, 3, 30_000), 1: rng.normal(0, 1, 200), 2: np.repeat(rng.normal(0, 1, 40), 500), 3: np.array([7.0])}
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
+    df = spark.createDataFrame([(k, float(v)) for k, values in groups.items() for v in values], "k int, x double")
+    if weight:
+        df = df.groupBy("k", "x").agg(F.count(F.lit(1)).alias("w"))
+    got = [r[2] for r in rows(quantiles(df, ["k"], "x", probs, weight, most=most), "k", "prob")]
+    assert np.allclose(got, np.concatenate([np.quantile(groups[k], probs) for k in sorted(groups)]))
+
+
+def test_no_task_ranks_more_than_the_bound(spark):
+    """Ten million distinct values of one group, in an order that equal-width cells could not part."""
+    n, most = 10_000_000, 1000
+    df = spark.range(n).select(F.lit("g").alias("k"), F.pow(F.lit(1.00001), F.pmod(F.col("id") * 7_368_787, F.lit(n)) / 10 - n / 20).alias("x"))
+    inside, state = _narrow_brackets(df, ["k"], "x", [0.25, 0.5, 0.75], None, most)
+    sizes = {r["prob"]: r["n"] for r in inside.groupBy("prob").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes == {r["prob"]: r["_size"] for r in state.collect()} and len(sizes) == 3 and all(2 <= s <= most for s in sizes.values())
+    got = {r["prob"]: (r["low"], r["high"]) for r in order_statistics(df, ["k"], "x", [0.25, 0.5, 0.75], most=most).collect()}
+    at = lambda i: 1.00001 ** (i / 10 - n / 20)
+    for p, (low, high) in got.items():
+        assert np.allclose([low, high], [at(int(np.floor(p * (n - 1)))), at(int(np.ceil(p * (n - 1))))], rtol=1e-12)
+
+
 def test_numeric_preparation_matches_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(50, 10, 400)
