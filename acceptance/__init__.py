@@ -4,7 +4,7 @@ from acceptance.base import ORACLES, QUERIES, shuffled  # noqa: F401
 
 
 def load() -> None:
-    from acceptance import assignment, cleaning, layout, preparation, profiling, rules, semantics, workbooks  # noqa: F401
+    from acceptance import assignment, cleaning, layout, preparation, profiling, rules, semantics, workbook_files, workbooks  # noqa: F401
 
     for name in ("reference_checks", "detected_tables", "feature_matrix", "preview_first_rows", "job_transitions", "ticket_assignment"):
         if f"{name}_shuffled" not in QUERIES:

@@ -262,18 +262,23 @@ def alerts(previews: DataFrame) -> DataFrame:
 
 
 def file_checks(files: DataFrame, max_bytes: int, suffixes: Sequence[str] = (".xlsx",)) -> DataFrame:
-    """Block files by suffix, size or lack of rows: ``files(path, length, total_rows)``."""
+    """Block files by suffix, size, damage or lack of rows: ``files(path, length, total_rows)``, and ``error`` if the reader told any.
+
+    A file that could not be read is damaged; only one that was read can be empty.
+    """
     ends = [F.lower("path").endswith(s) for s in suffixes]
     supported = ends[0]
     for e in ends[1:]:
         supported = supported | e
+    damaged = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
     return files.select(
         "path",
         when_list(
             [
                 ("invalid-extension", ~supported),
                 ("file-too-large", F.col("length") > max_bytes),
-                ("file-empty", F.coalesce("total_rows", F.lit(0)) == 0),
+                ("file-damaged", damaged),
+                ("file-empty", ~damaged & (F.coalesce("total_rows", F.lit(0)) == 0)),
             ]
         ).alias("reasons"),
     ).withColumn("blocked", F.size("reasons") > 0)

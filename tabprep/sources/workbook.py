@@ -11,6 +11,8 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -140,13 +142,28 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=columns).astype({"sheet_ord": "Int32", "row_idx": "Int64", "col_idx": "Int32"})
 
 
-def _cells(content: bytes) -> Iterator[tuple]:
-    """(sheet_ord, sheet, row_idx, col_idx, value, formula, style_id, merged, bold, fill, bordered, number_family) of one workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        names = set(archive.namelist())
-        strings = _shared_strings(archive) if "xl/sharedStrings.xml" in names else []
-        looks = _styles(archive) if "xl/styles.xml" in names else []
-        dates = {i for i, look in enumerate(looks) if look[3] == "date"}
+@dataclass
+class Book:
+    """An open workbook: its archive, what its sheets share, and (name, part) of each sheet."""
+
+    archive: zipfile.ZipFile
+    strings: list[str] | None
+    looks: list[tuple]
+    epoch: datetime.datetime
+    sheets: list[tuple[str, str | None]]
+
+    def shared(self) -> list[str]:
+        """The texts that cells refer to, read when the first cell does."""
+        if self.strings is None:
+            self.strings = _shared_strings(self.archive) if "xl/sharedStrings.xml" in self.archive.namelist() else []
+        return self.strings
+
+
+@contextmanager
+def open_book(file) -> Iterator[Book]:
+    """The workbook in a seekable file; only its lists of sheets and styles are read."""
+    with zipfile.ZipFile(file) as archive:
+        looks = _styles(archive) if "xl/styles.xml" in archive.namelist() else []
         targets = {
             rel.get("Id"): rel.get("Target").lstrip("/").removeprefix("xl/")
             for rel in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
@@ -154,22 +171,35 @@ def _cells(content: bytes) -> Iterator[tuple]:
         book = ElementTree.fromstring(archive.read("xl/workbook.xml"))
         settings = book.find(f"{_NS}workbookPr")
         epoch = _EPOCH_1904 if settings is not None and settings.get("date1904") in ("1", "true") else _EPOCH
-        for ord_, sheet in enumerate(book.iter(f"{_NS}sheet")):
-            part = f"xl/{targets[sheet.get(_REL)]}"
-            ranges = iter(sorted(_merged_ranges(archive, part)))
-            coming, active, empty = next(ranges, None), [], True
-            for row_idx, col_idx, value, formula, style in _sheet_cells(archive, part, strings, dates, epoch):
-                empty = False
-                # rows come in order: only ranges that reach the current row are looked at
-                while coming and coming[0] <= row_idx:
-                    active.append(coming)
-                    coming = next(ranges, None)
-                active = [m for m in active if row_idx <= m[2]]
-                inside = next((m[4] for m in active if m[1] <= col_idx <= m[3]), None)
-                look = looks[int(style)] if style is not None and int(style) < len(looks) else _PLAIN
-                yield ord_, sheet.get("name"), row_idx, col_idx, value, formula, style, inside, *look
-            if empty:
-                yield ord_, sheet.get("name"), *[None] * 10
+        sheets = [(sheet.get("name"), f"xl/{targets[sheet.get(_REL)]}") for sheet in book.iter(f"{_NS}sheet")]
+        yield Book(archive, None, looks, epoch, sheets)
+
+
+def sheet_records(book: Book, order: int) -> Iterator[tuple]:
+    """(sheet_ord, sheet, row_idx, col_idx, value, formula, style_id, merged, bold, fill, bordered, number_family) of a sheet."""
+    name, part = book.sheets[order]
+    dates = {i for i, look in enumerate(book.looks) if look[3] == "date"}
+    ranges = iter(sorted(_merged_ranges(book.archive, part)))
+    coming, active, empty = next(ranges, None), [], True
+    for row_idx, col_idx, value, formula, style in _sheet_cells(book, part, dates):
+        empty = False
+        # rows come in order: only ranges that reach the current row are looked at
+        while coming and coming[0] <= row_idx:
+            active.append(coming)
+            coming = next(ranges, None)
+        active = [m for m in active if row_idx <= m[2]]
+        inside = next((m[4] for m in active if m[1] <= col_idx <= m[3]), None)
+        look = book.looks[int(style)] if style is not None and int(style) < len(book.looks) else _PLAIN
+        yield order, name, row_idx, col_idx, value, formula, style, inside, *look
+    if empty:
+        yield order, name, *[None] * 10
+
+
+def _cells(content: bytes) -> Iterator[tuple]:
+    """``sheet_records`` of all sheets of one workbook."""
+    with open_book(io.BytesIO(content)) as book:
+        for order in range(len(book.sheets)):
+            yield from sheet_records(book, order)
 
 
 def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
@@ -177,7 +207,7 @@ def _shared_strings(archive: zipfile.ZipFile) -> list[str]:
     with archive.open("xl/sharedStrings.xml") as stream:
         for _, node in ElementTree.iterparse(stream):
             if node.tag == f"{_NS}si":
-                items.append("".join(t.text or "" for t in node.iter(f"{_NS}t")))
+                items.append(_unescaped("".join(t.text or "" for t in node.iter(f"{_NS}t"))))
                 node.clear()
     return items
 
@@ -227,28 +257,47 @@ def _place(ref: str) -> tuple[int, int]:
     return int(ref[len(letters):]) - 1, col - 1
 
 
+#: What begins the list of merged ranges, whatever prefix its name has.
+_MERGES, _LONGEST_MERGES = re.compile(rb"<(?:[\w.-]+:)?mergeCells?[\s>/]"), 128
+
+
 def _merged_ranges(archive: zipfile.ZipFile, part: str) -> list[tuple]:
-    ranges = []
+    """Merged ranges, which follow the cells: sheets without any are searched as bytes only."""
+    ranges, tail = [], b""
     with archive.open(part) as stream:
-        for _, node in ElementTree.iterparse(stream):
-            if node.tag == f"{_NS}mergeCell":
-                start, _, end = node.get("ref").partition(":")
-                ranges.append((*_place(start), *_place(end or start), node.get("ref")))
-            elif node.tag == f"{_NS}row":
-                node.clear()
+        while chunk := stream.read(1 << 20):
+            if _MERGES.search(tail + chunk):
+                break
+            tail = chunk[-_LONGEST_MERGES:]
+        else:
+            return ranges
+    with archive.open(part) as stream:
+        for node in _children(stream, f"{_NS}mergeCell"):
+            start, _, end = node.get("ref").partition(":")
+            ranges.append((*_place(start), *_place(end or start), node.get("ref")))
     return ranges
 
 
-def _sheet_cells(
-    archive: zipfile.ZipFile, part: str, strings: list[str], dates: set[int], epoch: datetime.datetime
-) -> Iterator[tuple]:
+def _children(stream, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of one kind as they are completed; what was given out or belongs to no such element is let go."""
+    open_nodes: list[ElementTree.Element] = []
+    for event, node in ElementTree.iterparse(stream, events=("start", "end")):
+        if event == "start":
+            open_nodes.append(node)
+            continue
+        open_nodes.pop()
+        if node.tag == tag:
+            yield node
+        if open_nodes and (node.tag == tag or node.tag == f"{_NS}row"):
+            open_nodes[-1].clear()
+
+
+def _sheet_cells(book: Book, part: str, dates: set[int]) -> Iterator[tuple]:
     """Rows and cells may leave out their reference; they then follow the one before. Cells of a shared formula all show its text."""
     shared: dict[str, str] = {}
     row_idx = -1
-    with archive.open(part) as stream:
-        for _, node in ElementTree.iterparse(stream):
-            if node.tag != f"{_NS}row":
-                continue
+    with book.archive.open(part) as stream:
+        for node in _children(stream, f"{_NS}row"):
             row_idx, col_idx = int(node.get("r")) - 1 if node.get("r") else row_idx + 1, -1
             for cell in node.iter(f"{_NS}c"):
                 row_idx, col_idx = _place(cell.get("r")) if cell.get("r") else (row_idx, col_idx + 1)
@@ -257,24 +306,37 @@ def _sheet_cells(
                 if made is not None and made.get("t") == "shared":
                     formula = shared.setdefault(made.get("si"), formula) if formula else shared.get(made.get("si"))
                 style = cell.get("s")
-                value = _text(cell, strings, style is not None and int(style) in dates, epoch)
+                value = _text(cell, book, style is not None and int(style) in dates)
                 yield row_idx, col_idx, value, f"={formula}" if formula else None, style
-            node.clear()
 
 
-def _text(cell: ElementTree.Element, strings: list[str], is_date: bool, epoch: datetime.datetime) -> str | None:
+#: A character that XML cannot hold is written as its code between underscores.
+_ESCAPE = re.compile(r"_x([0-9A-Fa-f]{4})_")
+
+
+def _unescaped(text: str) -> str:
+    """Escaped characters as themselves; two that make up one character of a higher plane become that character."""
+    if "_x" not in text:
+        return text
+    plain = _ESCAPE.sub(lambda m: chr(int(m[1], 16)), text)
+    return plain.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _text(cell: ElementTree.Element, book: Book, is_date: bool) -> str | None:
     kind, raw = cell.get("t", "n"), cell.findtext(f"{_NS}v")
     if kind == "inlineStr":
-        return "".join(t.text or "" for t in cell.iter(f"{_NS}t"))
+        return _unescaped("".join(t.text or "" for t in cell.iter(f"{_NS}t")))
     if raw is None or kind == "e":
         return None
     if kind == "s":
-        return strings[int(raw)]
+        return book.shared()[int(raw)]
     if kind == "b":
         return "True" if raw == "1" else "False"
-    if kind == "str" or kind == "d":
+    if kind == "str":
+        return _unescaped(raw)
+    if kind == "d":
         return raw
     number = float(raw)
     if is_date:
-        return str(epoch + datetime.timedelta(seconds=round(number * 86400)))
+        return str(book.epoch + datetime.timedelta(seconds=round(number * 86400)))
     return str(int(number)) if number.is_integer() else repr(number)
