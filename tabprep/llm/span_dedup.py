@@ -12,7 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.text import byte_blocks
+from tabprep.llm.text import byte_blocks, packed
+from tabprep.operators.scale import attach
+from tabprep.session import materialize
 
 #: Sentences that a run has at least, and words that it takes further sentences to reach.
 RUN = 3
@@ -55,25 +57,33 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     out: list[tuple[int, int, list[str]]] = []
     unspaced = _ANY_UNSPACED.search(text) is not None
     for found in _FRAGMENT.finditer(text):
-        part = found.group()
+        part = found[0]
         words = _TOKEN.findall(part.lower()) if unspaced else part.lower().split()
+        if not words:
+            continue
+        first, last = found.span()
         if len(words) > LONG_SENTENCE:
             tokens = list(_TOKEN.finditer(part)) if unspaced else list(_SPACED.finditer(part))
-            words = [token.group().lower() for token in tokens]
+            words = [token[0].lower() for token in tokens]
             begin = 0
             for end in _cuts(words):
-                out.append((found.start() + tokens[begin].start(), found.start() + tokens[end - 1].end(), words[begin:end]))
+                out.append((first + tokens[begin].start(), first + tokens[end - 1].end(), words[begin:end]))
                 begin = end
-        elif words:
-            out.append((found.start() + len(part) - len(part.lstrip()), found.start() + len(part.rstrip()), words))
+        else:
+            if part[0].isspace():
+                first += len(part) - len(part.lstrip())
+            if part[-1].isspace():
+                last -= len(part) - len(part.rstrip())
+            out.append((first, last, words))
     return out
 
 
 def _runs(text: str, size: int, least: int) -> Iterator[tuple[bytes, int, int]]:
     """(128-bit hash, start, end) of the runs: from each sentence on, and up to each sentence, the fewest sentences
-    that are ``size`` at least and have ``least`` words. So each sentence of a passage that long is in a run inside it."""
+    that are ``size`` at least and have ``least`` words. So each sentence of a passage that long is in a run inside it.
+    A text of ``size`` sentences or more but fewer words is one run."""
     found = sentences(text)
-    joined = [" ".join(words) for _, _, words in found]
+    digests = b"".join(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) for _, _, words in found)
     before = [0, *accumulate(len(words) for _, _, words in found)]
     n, j, i, places = len(found), 0, 0, set()
     for start in range(n):
@@ -88,17 +98,22 @@ def _runs(text: str, size: int, least: int) -> Iterator[tuple[bytes, int, int]]:
             i += 1
         if before[end] - before[i] >= least:
             places.add((i, end))
+    if size <= n and before[n] < least:
+        places.add((0, n))
     for start, end in sorted(places):
-        key = "\n".join(joined[start:end]).encode("utf-8", "surrogatepass")
-        yield xxhash.xxh3_128_digest(key), found[start][0], found[end - 1][1]
+        yield xxhash.xxh3_128_digest(digests[16 * start : 16 * end]), found[start][0], found[end - 1][1]
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, size: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """``id, mark, high, low, first, start, end``: one row per run; ``first`` is false if its document had it before."""
+def spans(docs: DataFrame, id_col: str, text_col: str, size: int = RUN, least: int = LEAST_WORDS, row_col: str | None = None) -> DataFrame:
+    """``id, uid, high, low, first, start, end``: one row per run; ``first`` is false if its row had it before.
+
+    ``uid`` numbers the rows of ``docs``, by ``row_col`` if given.
+    """
     text = F.col(f"`{text_col}`").cast("string")
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text")).filter("text is not null")
+    number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), number.cast("bigint").alias("uid"), text.alias("text")).filter("text is not null")
     kinds = {"high": "bigint", "low": "bigint", "first": "boolean", "start": "int", "end": "int"}
-    schema = source.select("id", "mark", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
+    schema = source.select("id", "uid", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,27 +154,32 @@ def _merged(stretches: Column) -> Column:
     return F.aggregate(F.array_sort(stretches), empty, add)
 
 
-def repeated_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """``id, mark, stretches``: for each document that repeats others, the character ranges to remove.
+def repeated_stretches(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = RUN, least: int = LEAST_WORDS, row_col: str | None = None
+) -> DataFrame:
+    """``id, uid, stretches``: for each row that repeats others, the character ranges to remove.
 
-    A run is as many consecutive sentences as it takes to have ``size`` of them and ``least`` words. It is repeated if
-    it stands at more than one place of all documents, compared in lower case with white space read as one blank. Its first
-    place is the earliest one in the document with the smallest identifier; the sentences of every other
-    place are removed. ``mark`` tells apart texts under one identifier. Rows that share an identifier (or have
-    none) count as one document there: what stands once in each of them is first in each. Null texts have no
-    sentence.
+    A run is as many consecutive sentences as it takes to have ``size`` of them and ``least`` words; a whole text of
+    fewer words is a run. It is repeated if it stands at more than one place of all rows, compared in lower case with white
+    space read as one blank. Its first place is the earliest one in the row with the smallest identifier (rows without
+    one come last, of rows that share one the first by ``uid``); the sentences of every other place are removed. ``uid`` is
+    ``row_col``, which must number the rows, or a number made here. Null texts have no sentence.
 
-    Runs are aggregated by their 128-bit hash with map-side partials, so a passage in a third of all documents
-    is one small row per task; the runs then meet the repeated hashes in an equi-join that adaptive
-    execution can split. Only ranges of one document are ever collected together.
+    Runs are counted by their 128-bit hash with map-side partials, so a passage in a third of all documents is one
+    small row per task. The repeated hashes are stored; the runs then meet them in a join that is a broadcast for few of
+    them and otherwise an equi-join of two shuffles, whose hot keys adaptive execution splits. Texts are cut into runs twice,
+    as storing all runs would take more disk than the time is worth. Only ranges of one row are ever collected together.
     """
-    runs = spans(docs, id_col, text_col, size, least)
-    repeated = (
-        runs.groupBy("high", "low").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
-    )
-    later = runs.join(repeated, ["high", "low"]).filter(~(F.col("first") & F.col("id").eqNullSafe(F.col("first_id"))))
-    ranges = later.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("all"))
-    return ranges.select("id", "mark", _merged(F.col("all")).alias("stretches"))
+    runs = spans(docs, id_col, text_col, size, least, row_col)
+    repeated = runs.groupBy("high", "low").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
+    met = materialize(attach(runs, repeated, ["high", "low"], how="inner"), "repeats")
+    head = F.col("first") & F.col("id").eqNullSafe(F.col("first_id"))
+    heads = met.filter(head)
+    # more than one head only where rows share an identifier
+    tied = heads.groupBy("high", "low").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    others = attach(heads, tied, ["high", "low"], how="inner").filter("uid <> head").drop("head")
+    ranges = met.filter(~head).unionByName(others).groupBy("uid").agg(F.first("id").alias("id"), F.collect_set(F.struct("start", "end")).alias("all"))
+    return ranges.select("id", "uid", _merged(F.col("all")).alias("stretches"))
 
 
 def without_stretches(text: Column, stretches: Column) -> Column:
@@ -170,10 +190,11 @@ def without_stretches(text: Column, stretches: Column) -> Column:
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """All documents with their columns, repeated sentences cut out of the text."""
-    found = repeated_stretches(docs, id_col, text_col, **options)
+    """All documents with their columns, repeated sentences cut out of the text. The rows are numbered and stored first."""
     text = F.col(f"`{text_col}`").cast("string")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    joined = whole.join(found, whole["id"].eqNullSafe(found["id"]) & (whole["mark"] == found["mark"]), "left")
+    whole = docs.select(packed(docs.columns), F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("uid"))
+    whole = materialize(whole, "numbered")
+    found = repeated_stretches(whole, "id", "text", row_col="uid", **options).select("uid", "stretches")
+    joined = whole.join(found, "uid", "left")
     cut = F.when(F.col("stretches").isNull(), F.col("text")).otherwise(without_stretches(F.col("text"), F.col("stretches")))
     return joined.select(*[cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -3,29 +3,47 @@ from collections import defaultdict
 from llm.conftest import SF, sample
 
 from tabprep.llm.queries import QUERIES
-from tabprep.llm.span_dedup import LEAST_WORDS, RUN, drop_repeats, repeated_stretches, sentences
-
-
-def brute(docs, least=LEAST_WORDS):
-    """Character ranges to remove per document, for unique identifiers."""
-    seen, later = set(), defaultdict(list)
-    for i, text in sorted((i, t) for i, t in docs if t is not None):
-        found = sentences(text)
-        for k in range(len(found) - RUN + 1):
-            run = tuple(tuple(words) for _, _, words in found[k : k + RUN])
-            if sum(map(len, run)) >= least:
-                if run in seen:
-                    later[i].append((found[k][0], found[k + RUN - 1][1]))
-                seen.add(run)
+from tabprep.llm.span_dedup import drop_repeats, repeated_stretches, sentences
+
+
+def runs_of(found):
+    """Places (first sentence, last) of the runs: for each start and for each end the shortest with 3 sentences and 15 words."""
+    n = len(found)
+    fits = lambda a, b: b - a >= 3 and sum(len(words) for _, _, words in found[a:b]) >= 15
+    out = set()
+    for a in range(n):
+        ends = [b for b in range(a + 1, n + 1) if fits(a, b)]
+        out |= {(a, min(ends))} if ends else set()
+    for b in range(1, n + 1):
+        starts = [a for a in range(b) if fits(a, b)]
+        out |= {(max(starts), b)} if starts else set()
+    if not out and n >= 3:
+        out = {(0, n)}
+    return sorted(out)
+
+
+def brute(docs):
+    """Character ranges to remove per row of ``docs``; the first place is in the row with the smallest identifier."""
+    seen, later = {}, defaultdict(list)
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, k))
+    for k in order:
+        if docs[k][1] is None:
+            continue
+        found = sentences(docs[k][1])
+        for a, b in runs_of(found):
+            run = tuple(tuple(words) for _, _, words in found[a:b])
+            if run in seen:
+                later[k].append((found[a][0], found[b - 1][1]))
+            seen.setdefault(run, k)
     out = {}
-    for i, ranges in later.items():
+    for k, places in later.items():
         merged = []
-        for a, b in sorted(ranges):
+        for a, b in sorted(places):
             if merged and merged[-1][1] >= a:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
-        out[i] = merged
+        out[k] = merged
     return out
 
 
@@ -42,7 +60,7 @@ def test_sentences_cover_the_text(documents):
 
 def test_documents_against_brute_force(spark, documents):
     docs = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    want = brute(docs)
+    want = {docs[k][0]: v for k, v in brute(docs).items()}
     assert want and ranges(repeated_stretches(documents)) == want
     got = {r["doc_id"]: r["removed"] for r in QUERIES["op9_sentence_spans"](spark, SF).collect()}
     assert got == {i: ",".join(f"{a}-{b}" for a, b in v) for i, v in want.items()}
@@ -78,7 +96,21 @@ def test_odd_rows(spark, odd, none):
     assert repeated_stretches(none).count() == 0 and drop_repeats(none).count() == 0
 
 
-def test_rows_of_one_identifier_count_as_one_document(spark):
-    docs = sample(spark, [PASSAGE, PASSAGE, PASSAGE, PASSAGE], [1, 1, 2, None])
-    got = sorted((str(r["doc_id"]), r["text"] == PASSAGE) for r in drop_repeats(docs).collect())
-    assert got == [("1", True), ("1", True), ("2", False), ("None", False)]
+def test_rows_of_one_identifier_are_told_apart(spark):
+    docs = [(1, PASSAGE), (1, PASSAGE), (2, PASSAGE), (None, PASSAGE), (0, "Other."), (None, "One word. Two more. Three here."), (7, "One word. Two more. Three here.")]
+    df = sample(spark, [t for _, t in docs], [i for i, _ in docs]).coalesce(1)
+    got = sorted((str(r["doc_id"]), r["text"] in (PASSAGE, "One word. Two more. Three here.")) for r in drop_repeats(df).collect())
+    assert got == [("0", False), ("1", False), ("1", True), ("2", False), ("7", True), ("None", False), ("None", False)]
+    assert len(ranges(repeated_stretches(df))) == len({str(docs[k][0]) for k in brute(docs)}) == 3
+
+
+def test_short_texts_that_repeat_whole(spark):
+    short = "Call us now. We are open. Come in!"
+    docs = [short, short + " Or write a letter.", short, "call us  NOW.\nwe are open. come in!", "Call us now. We are open."]
+    want = {k: [[a, b] for a, b in v] for k, v in brute(list(enumerate(docs))).items()}
+    assert ranges(repeated_stretches(sample(spark, docs))) == want == {2: [[0, len(short)]], 3: [[0, len(docs[3])]]}
+
+
+def test_a_passage_in_most_rows_is_split(spark):
+    own = spark.range(3000).selectExpr("id AS doc_id", f"concat('Row ', id, ' is here. ', \"{PASSAGE}\", ' End of ', id, '.') AS text")
+    assert repeated_stretches(own.repartition(7)).count() == 2999
