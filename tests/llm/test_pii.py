@@ -1,10 +1,11 @@
+import hashlib
 import re
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from llm.conftest import sample
 from pyspark.sql import functions as F
 
-from tabprep.llm.pii import feistel, luhn_digit, pseudonym, pseudonymise
+from tabprep.llm.pii import ANY, PATTERNS, feistel, luhn_digit, pseudonym, pseudonymise
 
 TEXTS = [
     "Mail bob.42@mail8.example.com, from 42.144.35.254. Call +1 (988) 555-2485 or 743-555-3824.",
@@ -75,3 +76,115 @@ def test_odd_rows(odd, none):
     assert pseudonymise(none, "k").count() == 0
     plan = pseudonymise(odd, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+# --- the same in plain Python ----------------------------------------------------------------------
+
+
+def network(a, b, size_a, size_b, key, kind):
+    """Ten half rounds, the left half first."""
+    for step in range(1, 11):
+        other = b if step % 2 else a
+        h = int(hashlib.sha256(f"{key}|{kind}|{step}|{other}".encode()).hexdigest()[:15], 16)
+        a, b = ((a + h) % size_a, b) if step % 2 else (a, (b + h) % size_b)
+    return a, b
+
+
+def moved(half, stream):
+    out = ""
+    for i, c in enumerate(half):
+        by = int(stream[i % 60 * 2 : i % 60 * 2 + 2], 16)
+        for first, size in (("0", 10), ("A", 26), ("a", 26)):
+            if ord(first) <= ord(c) < ord(first) + size:
+                c = chr((ord(c) - ord(first) + by) % size + ord(first))
+                break
+        out += c
+    return out
+
+
+def plain_mail(value, key):
+    name, at, host = value.partition("@")
+    a, b = name[: len(name) // 2], name[len(name) // 2 :]
+    for step in range(1, 11):
+        stream = hashlib.sha512(f"{key}|email|{step}|{b if step % 2 else a}".encode()).hexdigest()
+        a, b = (moved(a, stream), b) if step % 2 else (a, moved(b, stream))
+    return a + b + at + host
+
+
+def refill(form, digits):
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in form)
+
+
+def plain_card(value, key):
+    digits = re.sub(r"\D", "", value)
+    if not luhn(digits):
+        return value
+    payload, left = digits[:-1], (len(digits) - 1) // 2
+    right = len(payload) - left
+    a, b = network(int(payload[:left]), int(payload[left:]), 10**left, 10**right, key, "card")
+    new = f"{a:0{left}d}{b:0{right}d}"
+    return refill(value, new + next(c for c in "0123456789" if luhn(new + c)))
+
+
+def plain_ip(value, key):
+    n = [int(x) for x in value.split(".")]
+    a, b = network(n[0] * 256 + n[1], n[2] * 256 + n[3], 65536, 65536, key, "ip")
+    return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def plain_phone(value, key):
+    digits = re.sub(r"\D", "", value)
+    front, area, rest = digits[:-10], int(digits[-10:-7]), int(digits[-7:])
+    base, size = (200, 800) if area >= 200 else (0, 200)
+    a, b = network(area - base, rest, size, 10**7, key, "phone")
+    return refill(value, f"{front}{a + base:03d}{b:07d}")
+
+
+def plain_ssn(value, key):
+    area, group, serial = (int(x) for x in value.split("-"))
+    if not (0 < area < 900 and area != 666 and group and serial):
+        return value
+    areas = [x for x in range(1, 900) if x != 666]
+    a, b = network(areas.index(area), (group - 1) * 9999 + serial - 1, len(areas), 99 * 9999, key, "ssn")
+    return f"{areas[a]:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+
+
+def plain_date(value, key):
+    form = "%Y-%m-%d" if value[4] == "-" else "%d.%m.%Y" if value[2] == "." else "%d/%m/%Y"
+    try:
+        day = (datetime.strptime(value, form).date() - date(1900, 1, 1)).days
+    except ValueError:
+        return value
+    if not 0 <= day < 256 * 286:
+        return value
+    a, b = network(day // 286, day % 286, 256, 286, key, "date")
+    return f"{date(1900, 1, 1) + timedelta(a * 286 + b):{form}}"
+
+
+def brute(value, key):
+    for kind, make in (("email", plain_mail), ("ip", plain_ip), ("phone", plain_phone), ("card", plain_card), ("ssn", plain_ssn), ("date", plain_date)):
+        if re.fullmatch(PATTERNS[kind], value):
+            return make(value, key)
+
+
+def test_documents_against_plain_python(spark, documents):
+    docs = [(r["doc_id"], r["text"]) for r in documents.collect()] + [(10_000 + i, t) for i, t in enumerate([*TEXTS, "Amex 3782 822463 10005 and 3714-496353-98431, not 3782 822463 10006"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonymise(df, "key").select("row.doc_id", "text", "n_found", "n_replaced").collect()}
+    hits = 0
+    for i, text in docs:
+        found = [m[0] for m in re.finditer(ANY, text)]
+        assert got[i]["text"] == re.sub(ANY, lambda m: brute(m[0], "key"), text)
+        assert (got[i]["n_found"], got[i]["n_replaced"]) == (len(found), sum(brute(v, "key") != v for v in found))
+        hits += len(found)
+    assert hits > 40 and got[10_007]["n_replaced"] == 2
+
+
+def test_very_long_runs_of_labels_digits_and_signs(spark):
+    n = 100_000
+    texts = ["mail a@b" + ".c" * n, "x@" * n, "a." * n + "b@c.de", "1" * n, "1." * n, "1-" * n, "12/" * n, "@" * n, "a@b" + "." * n, "4737 " * n, "a" * n + "@b.cd", "(" * n, "1@1.1" * n]
+    got = pseudonymise(sample(spark, texts), "k").orderBy("row.doc_id").collect()
+    assert [len(r["text"]) for r in got] == list(map(len, texts))
+    assert got[0]["n_found"] == 1 and got[0]["text"].endswith("@b" + ".c" * n) and not got[0]["text"].startswith("mail a@")
+    assert got[8]["n_found"] == 0 and got[3]["text"] == texts[3] and got[10]["n_replaced"] == 1
