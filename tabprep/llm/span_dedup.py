@@ -9,16 +9,17 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprep.llm.text import byte_blocks, packed
-from tabprep.operators.scale import attach
 from tabprep.session import materialize
 
 #: Sentences that a run has at least, and words that it takes further sentences to reach.
 RUN = 3
 LEAST_WORDS = 15
+#: Runs that a task compares among each other.
+HELD_RUNS = 200_000
 #: A sentence ends at a stop and at a line's end. One of more words than this is cut.
 LONG_SENTENCE = 20
 #: Of so many consecutive words of a long sentence, at least one ends a piece of it.
@@ -104,39 +105,74 @@ def _runs(text: str, size: int, least: int) -> Iterator[tuple[bytes, int, int]]:
         yield xxhash.xxh3_128_digest(digests[16 * start : 16 * end]), found[start][0], found[end - 1][1]
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, size: int = RUN, least: int = LEAST_WORDS, row_col: str | None = None) -> DataFrame:
-    """``id, uid, high, low, first, start, end``: one row per run; ``first`` is false if its row had it before.
+class _Heads:
+    """The first place seen of each run, for a bounded number of runs; every other place is known to be a later one."""
 
-    ``uid`` numbers the rows of ``docs``, by ``row_col`` if given.
+    def __init__(self, most: int):
+        self.most, self.heads, self.out = most, {}, []
+
+    def add(self, key: bytes, place: tuple) -> None:
+        """``place`` is (no identifier, identifier, row, start, end), in the order that decides which comes first."""
+        head = self.heads.get(key)
+        if head is None:
+            self.heads[key] = place
+        elif place < head:
+            self.heads[key] = place
+            self.later(head)
+        else:
+            self.later(place)
+
+    def later(self, place: tuple) -> None:
+        # such a row only has to find its document: a key of its own spreads it
+        self.out.append((place[2], place[3], True, *place[1:]))
+
+    def full(self) -> bool:
+        return len(self.heads) + len(self.out) >= self.most
+
+    def drain(self) -> list[tuple]:
+        """(high, low, later, identifier, row, start, end) of what was seen since the last time."""
+        both = np.frombuffer(b"".join(self.heads), "<i8").reshape(-1, 2).tolist()
+        rows = self.out + [(high, low, False, *place[1:]) for (high, low), place in zip(both, self.heads.values())]
+        self.heads, self.out = {}, []
+        return rows
+
+
+def spans(
+    docs: DataFrame, id_col: str, text_col: str, size: int = RUN, least: int = LEAST_WORDS, row_col: str | None = None, held: int = HELD_RUNS
+) -> DataFrame:
+    """``high, low, later, id, uid, start, end``: one row per run, with its 128-bit hash; ``uid`` numbers the rows of ``docs``.
+
+    A task compares the places of the same run among up to ``held`` rows; all but the first of them are ``later`` ones and
+    no longer need the run's hash (they carry ``uid`` and ``start`` instead). So a run in most documents
+    leaves a task a few times only, as with partial aggregation.
     """
     text = F.col(f"`{text_col}`").cast("string")
     number = F.monotonically_increasing_id() if row_col is None else F.col(f"`{row_col}`")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), number.cast("bigint").alias("uid"), text.alias("text")).filter("text is not null")
-    kinds = {"high": "bigint", "low": "bigint", "first": "boolean", "start": "int", "end": "int"}
-    schema = source.select("id", "uid", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()]).schema
+    kinds = {"start": "int", "end": "int"}
+    schema = source.select(
+        *[F.lit(None).cast(kind).alias(name) for name, kind in (("high", "bigint"), ("low", "bigint"), ("later", "boolean"))],
+        "id", "uid", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()],
+    ).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, kind = _Heads(held), pa.int64()
+
+        def drained() -> pa.RecordBatch:
+            columns = list(zip(*seen.drain())) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), kind, pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
+
         for batch in batches:
+            kind = batch.column(0).type
             for begin, last, _, _ in byte_blocks(batch.column(2)):
-                owner, hashes, first, start, end = [], [], [], [], []
-                for i, value in enumerate(batch.column(2).slice(begin, last - begin).to_pylist(), begin):
-                    seen = set()
+                block = batch.slice(begin, last - begin)
+                for i, uid, value in zip(*[c.to_pylist() for c in block.columns]):
                     for key, a, b in _runs(value, size, least):
-                        owner.append(i)
-                        hashes.append(key)
-                        first.append(key not in seen)
-                        seen.add(key)
-                        start.append(a)
-                        end.append(b)
-                both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                owner = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(owner), batch.column(1).take(owner), pa.array(both[:, 0]), pa.array(both[:, 1]),
-                        pa.array(first, pa.bool_()), pa.array(start, pa.int32()), pa.array(end, pa.int32()),
-                    ],
-                    names=schema.names,
-                )
+                        seen.add(key, (i is None, i, uid, a, b))
+                        if seen.full():
+                            yield drained()
+        yield drained()
 
     return source.mapInArrow(cut, schema)
 
@@ -155,8 +191,9 @@ def _merged(stretches: Column) -> Column:
 
 
 def repeated_stretches(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = RUN, least: int = LEAST_WORDS, row_col: str | None = None
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = RUN, least: int = LEAST_WORDS, row_col: str | None = None,
+    held: int = HELD_RUNS,
+) -> DataFrame:
     """``id, uid, stretches``: for each row that repeats others, the character ranges to remove.
 
     A run is as many consecutive sentences as it takes to have ``size`` of them and ``least`` words; a whole text of
@@ -165,20 +202,14 @@ def repeated_stretches(
     one come last, of rows that share one the first by ``uid``); the sentences of every other place are removed. ``uid`` is
     ``row_col``, which must number the rows, or a number made here. Null texts have no sentence.
 
-    Runs are counted by their 128-bit hash with map-side partials, so a passage in a third of all documents is one
-    small row per task. The repeated hashes are stored; the runs then meet them in a join that is a broadcast for few of
-    them and otherwise an equi-join of two shuffles, whose hot keys adaptive execution splits. Texts are cut into runs twice,
-    as storing all runs would take more disk than the time is worth. Only ranges of one row are ever collected together.
+    Texts are cut into runs once. All but the first place that a task sees of a run are settled there (see ``spans``), so
+    a passage in a third of all documents is a few rows per task. The others meet by their hash in one shuffle, in which
+    every place but the first is a repeat. Only ranges of one row are ever collected together.
     """
-    runs = spans(docs, id_col, text_col, size, least, row_col)
-    repeated = runs.groupBy("high", "low").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("places")).filter("places > 1").drop("places")
-    met = materialize(attach(runs, repeated, ["high", "low"], how="inner"), "repeats")
-    head = F.col("first") & F.col("id").eqNullSafe(F.col("first_id"))
-    heads = met.filter(head)
-    # more than one head only where rows share an identifier
-    tied = heads.groupBy("high", "low").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    others = attach(heads, tied, ["high", "low"], how="inner").filter("uid <> head").drop("head")
-    ranges = met.filter(~head).unionByName(others).groupBy("uid").agg(F.first("id").alias("id"), F.collect_set(F.struct("start", "end")).alias("all"))
+    runs = spans(docs, id_col, text_col, size, least, row_col, held)
+    order = Window.partitionBy("high", "low", "later").orderBy(F.col("id").isNull(), "id", "uid", "start")
+    repeats = runs.withColumn("_place", F.row_number().over(order)).filter("later OR _place > 1")
+    ranges = repeats.groupBy("uid").agg(F.first("id").alias("id"), F.collect_set(F.struct("start", "end")).alias("all"))
     return ranges.select("id", "uid", _merged(F.col("all")).alias("stretches"))
 
 

@@ -3,7 +3,7 @@ from collections import defaultdict
 from llm.conftest import SF, sample
 
 from tabprep.llm.queries import QUERIES
-from tabprep.llm.span_dedup import drop_repeats, repeated_stretches, sentences
+from tabprep.llm.span_dedup import drop_repeats, repeated_stretches, sentences, spans
 
 
 def runs_of(found):
@@ -111,6 +111,18 @@ def test_short_texts_that_repeat_whole(spark):
     assert ranges(repeated_stretches(sample(spark, docs))) == want == {2: [[0, len(short)]], 3: [[0, len(docs[3])]]}
 
 
-def test_a_passage_in_most_rows_is_split(spark):
+def test_few_runs_held_at_a_time(spark, documents):
+    plain = {r["id"]: r["stretches"] for r in repeated_stretches(documents).collect()}
+    assert {r["id"]: r["stretches"] for r in repeated_stretches(documents, held=7).collect()} == plain
+
+
+def test_a_passage_in_most_rows_leaves_a_task_once(spark):
+    own = spark.range(0, 3000, 1, 7).selectExpr("id AS doc_id", f"concat('Row ', id, ' is here. ', \"{PASSAGE}\", ' End of ', id, '.') AS text")
+    met = spans(own, "doc_id", "text").filter("NOT later").groupBy("high", "low").count()
+    assert met.agg({"count": "max"}).first()[0] == 7
+    assert repeated_stretches(own).count() == 2999
+
+
+def test_a_passage_in_most_rows_of_any_order(spark):
     own = spark.range(3000).selectExpr("id AS doc_id", f"concat('Row ', id, ' is here. ', \"{PASSAGE}\", ' End of ', id, '.') AS text")
-    assert repeated_stretches(own.repartition(7)).count() == 2999
+    assert {r["id"] for r in repeated_stretches(own.repartition(7)).collect()} == {*range(1, 3000)}
