@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from acceptance.base import query, table
 from tabprep.operators import assign as asg
+from tabprep.operators.scale import attach
 from tabprep.session import materialize
 
 _TICKET = {
@@ -124,8 +125,11 @@ def ticket_assignment(spark, sf):
       AND t.region IS NOT DISTINCT FROM d.region AND t.required_skills = d.required_skills AND t.priority = d.priority AND t.kind = d.kind""",
 )
 def ticket_assignment_pools(spark, sf):
-    decided = asg.assign(tickets(spark, sf), technicians(spark, sf), pool=True)
-    return decided.select("ticket_id", F.array_join("candidate_pool", ",").alias("candidate_pool"))
+    asked, people = tickets(spark, sf), technicians(spark, sf)
+    decided = asg.assign(asked, people, pool=True)
+    members = asg.pool_members(*asg.candidate_pools(asked, people))
+    shown = members.groupBy("pool_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("candidate_pool"))
+    return attach(decided, shown, ["pool_id"]).select("ticket_id", F.coalesce("candidate_pool", F.lit("")).alias("candidate_pool"))
 
 
 @query("fallback_assignment", _decided("NULL::VARCHAR") + " SELECT * FROM decisions")

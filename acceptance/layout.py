@@ -132,7 +132,11 @@ def _prints(spark, sf):
     return st.fingerprints(columns, marks)
 
 
-@query("sheet_fingerprints", f"WITH {_MARKS} SELECT * FROM prints")
+_HASHES = """, placed AS (SELECT sheet_id, md5((row_number() OVER (PARTITION BY sheet_id ORDER BY late) - 1) || ':' || l) AS m FROM labels),
+  hashes AS (SELECT sheet_id, sha256(sum(('0x' || substr(m, 1, 15))::UBIGINT) || ':' || sum(('0x' || substr(m, 17, 15))::UBIGINT) || ':' || count(*)) AS tables_hash FROM placed GROUP BY 1)"""
+
+
+@query("sheet_fingerprints", f"WITH {_MARKS}{_HASHES} SELECT sheet_id, fingerprint, tables_hash FROM prints JOIN hashes USING (sheet_id)")
 def sheet_fingerprints(spark, sf):
     return _prints(spark, sf)
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from acceptance.base import query, table
 from acceptance.layout import SHAPE_SQL, _endless, _ROWS, shape
-from acceptance.semantics import CATALOGUE, catalogue
+from acceptance.semantics import LABEL, SHEET, TYPED_MAP, typed_mapping
 from tabprep.operators import jobs as jb
 from tabprep.operators import structure as st
 from tabprep.operators import templates as tp
@@ -220,21 +220,27 @@ def structure_checks(spark, sf):
     return vd.structure_checks(gaps).drop("sheet_id")
 
 
+# what each field must be, and whose values may not exceed what
+_EXPECTED = [("cliente", True, "text"), ("direccion", True, "address"), ("fecha_visita", True, "date"), ("tecnico", False, "text")]
+_MOST = 100
+
+
 @query(
     "mapping_checks",
-    f"""WITH {CATALOGUE}, c AS (SELECT sheet_id, max(header) FILTER (header LIKE 'Fecha%') AS fecha, max(header) FILTER (header LIKE 'Cliente%') AS cliente, count(*) FILTER (header = 'Cantidad') AS odd FROM catalogue GROUP BY 1)
-    SELECT sheet_id, 'fecha_visita' AS field_id, CASE WHEN fecha IS NULL THEN 'block' WHEN odd > 0 THEN 'block' ELSE 'ok' END AS action FROM c
-    UNION ALL SELECT sheet_id, 'cliente', CASE WHEN cliente IS NULL THEN 'block' ELSE 'review' END FROM c""",
+    TYPED_MAP + f""", e(field_id, required, expected) AS (VALUES {', '.join(f"('{f}', {r}, '{t}')" for f, r, t in _EXPECTED)}),
+    high AS (SELECT {SHEET.replace('cast(ts as date)', 'cast(cast(ts as date) as varchar)')} AS sheet_id, {LABEL} AS header, count(*) AS n FROM events WHERE value > {_MOST} GROUP BY ALL)
+    SELECT tm.sheet_id, tm.field_id, CASE WHEN required AND tm.header IS NULL THEN 'block' WHEN n > 0 THEN 'block'
+      WHEN tm.header IS NOT NULL AND tm.type IS DISTINCT FROM expected THEN 'review' ELSE 'ok' END AS action
+    FROM tm JOIN e USING (field_id) LEFT JOIN high ON high.sheet_id = tm.sheet_id AND high.header = tm.header""",
 )
 def mapping_checks(spark, sf):
-    heads = catalogue(spark, sf).groupBy("sheet_id").agg(
-        F.expr("max(header) filter (where header like 'Fecha%')").alias("fecha"), F.expr("max(header) filter (where header like 'Cliente%')").alias("cliente"),
-        F.expr("count(*) filter (where header = 'Cantidad')").alias("odd"),
+    """Columns are mapped and classified by the library; a field is out of range where a value under its column is."""
+    mapped = typed_mapping(spark, sf)
+    expected = spark.createDataFrame(_EXPECTED, "field_id string, required boolean, expected_type string")
+    high = table(spark, sf, "events").filter(F.col("value") > _MOST).groupBy(F.expr(SHEET).alias("sheet_id"), F.expr(LABEL).alias("header")).agg(
+        F.count(F.lit(1)).alias("out_of_range")
     )
-    both = lambda f, c, t: heads.select("sheet_id", F.lit(f).alias("field_id"), F.col(c).alias("header"), F.lit(t).alias("type"))
-    mapped = both("fecha_visita", "fecha", "date").unionByName(both("cliente", "cliente", "number"))
-    expected = spark.createDataFrame([("fecha_visita", True, "date"), ("cliente", True, "text")], "field_id string, required boolean, expected_type string")
-    ranges = heads.select("sheet_id", F.lit("fecha_visita").alias("field_id"), F.col("odd").alias("out_of_range"))
+    ranges = mapped.join(high, ["sheet_id", "header"]).select("sheet_id", "field_id", "out_of_range")
     return vd.mapping_checks(mapped, expected, ranges)
 
 

@@ -317,14 +317,14 @@ TYPED_MAP = f"""WITH {mapped_sql()}, {classified_sql('catalogue')},
     ON lower(c.header) = lower(m.header))"""
 
 
-def _typed_mapping(spark, sf):
+def typed_mapping(spark, sf):
     heads = catalogue(spark, sf)
     return mp.stored_mapping(heads, hd.classify_columns(heads))
 
 
 @query("mapped_field_types", TYPED_MAP + " SELECT * FROM tm")
 def mapped_field_types(spark, sf):
-    return _typed_mapping(spark, sf)
+    return typed_mapping(spark, sf)
 
 
 @query(
@@ -334,7 +334,7 @@ def mapped_field_types(spark, sf):
     count(*) FILTER (field_id <> 'tecnico' AND (header IS NULL OR type IS NULL)) = 0 AS ok FROM tm GROUP BY 1""",
 )
 def mapping_gaps(spark, sf):
-    gaps = mp.mapping_gaps(_typed_mapping(spark, sf), mp.field_table(spark))
+    gaps = mp.mapping_gaps(typed_mapping(spark, sf), mp.field_table(spark))
     return gaps.withColumn("missing_required", F.array_join("missing_required", ",")).withColumn(
         "untyped_required", F.array_join("untyped_required", ",")
     )
@@ -353,4 +353,4 @@ def mapping_summary(spark, sf):
     blockers = tables.select(
         "sheet_id", F.array_compact(F.array(F.when(F.col("columns") < 3, "too-few-columns"))).alias("blockers")
     )
-    return mp.preview_summary(tables, _typed_mapping(spark, sf), materialize(blockers, "blockers"))
+    return mp.preview_summary(tables, typed_mapping(spark, sf), materialize(blockers, "blockers"))

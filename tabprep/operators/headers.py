@@ -32,23 +32,26 @@ def let(value: Column, body) -> Column:
 
 
 _ALL_WORDS = [w for words in lx.SIGNALS.values() for w in words]
+_IN_TOKEN = r"[\p{L}\p{N}]"
 
 
-def signals(tokens: Column) -> Column:
-    """Inputs of the scorer: hits per word list, then the length penalty."""
-    length = F.length(F.array_join(tokens, ""))
+def _tokens_with(words: list[str]) -> str:
+    """Matches once in each token that holds any of ``words``, which consist of letters: from its beginning to the first of them."""
+    return rf"(?<!{_IN_TOKEN}){_IN_TOKEN}*?(?:{any_of(words)})"
+
+
+def signals(low: Column) -> Column:
+    """Inputs of the scorer for a lower-case header: tokens hit per word list, then the length penalty."""
+    length = F.length(F.regexp_replace(low, r"[^\p{L}\p{N}]+", ""))
     penalty = F.greatest(length - lx.FREE_LENGTH, F.lit(0)) / lx.LENGTH_UNIT
-    # few tokens hold any word at all; only those are looked at once per list
-    return let(
-        _hits(tokens, _ALL_WORDS),
-        lambda some: F.array(*[F.size(_hits(some, words)).cast("double") for words in lx.SIGNALS.values()], penalty),
-    )
+    counts = [F.regexp_count(low, F.lit(_tokens_with(words))).cast("double") for words in lx.SIGNALS.values()]
+    # few headers hold any word at all; only those are searched once per list
+    return F.when(~low.rlike(any_of(_ALL_WORDS)), F.array(*[F.lit(0.0)] * len(counts), penalty)).otherwise(F.array(*counts, penalty))
 
 
 def lexical_features(headers: DataFrame) -> DataFrame:
     """``tokens`` and one count per signal: tokens containing a word of its list; length penalty."""
-    tokens = tokenize(F.col("header"))
-    counted = headers.withColumn("tokens", tokens).withColumn("_f", let(tokens, signals))
+    counted = headers.withColumn("tokens", tokenize(F.col("header"))).withColumn("_f", let(F.lower("header"), signals))
     names = [f"{name}_signal" for name in lx.SIGNALS] + ["length_penalty"]
     return counted.select(
         *headers.columns, "tokens", *[F.get("_f", F.lit(i)).alias(n) for i, n in enumerate(names)]
@@ -85,8 +88,8 @@ def type_probabilities(header: Column) -> Column:
         return let(total, lambda t: F.transform(e, lambda v: six_digits(v / t)))
 
     return let(
-        tokenize(header),
-        lambda t: let(signals(t), lambda x: let(hidden(x), lambda h: let(logits(h), lambda z: let(exponents(z), shares)))),
+        F.lower(header),
+        lambda low: let(signals(low), lambda x: let(hidden(x), lambda h: let(logits(h), lambda z: let(exponents(z), shares)))),
     )
 
 

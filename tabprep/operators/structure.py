@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.operators.scale import CHUNK_ROWS, attach, chunked, scan_last
+from tabprep.operators.scale import CHUNK_ROWS, attach, chunked, positions, scan_last
 from tabprep.session import materialize
 from tabprep.sources.tables import Sheets
 
 
+#: Characters of a fingerprint that are kept as text, and what stands between its parts.
+LONGEST_PRINT, _SEPARATOR = 8192, "::"
+
+
 def column_letters(col_idx: Column) -> Column:
     """Spreadsheet letters of a 0-based column, up to three of them (18,278 columns); more is an error."""
     n = col_idx.cast("int") + 1
@@ -132,48 +139,73 @@ def signature(items: DataFrame, column: str, out: str) -> DataFrame:
     )
 
 
-def fingerprints(columns: DataFrame, marks: DataFrame) -> DataFrame:
-    """``anchor :: formula :: sorted lower-case headers of each table``.
+def fingerprints(columns: DataFrame, marks: DataFrame, longest: int = LONGEST_PRINT) -> DataFrame:
+    """``anchor :: formula :: sorted lower-case headers of each table``, the first ``longest`` characters, and ``tables_hash``.
 
-    ``columns(sheet_id, table_start, header)``, ``marks(sheet_id, anchor_hash, formula_fingerprint)``.
+    ``columns(sheet_id, table_start, header)``, ``marks(sheet_id, anchor_hash, formula_fingerprint)``. Known prefixes
+    must not be longer than ``longest``. ``tables_hash`` tells all tables of a sheet in their order: hashes salted with
+    the table's place are summed with map-side partials, whatever the number of tables; a sheet without a table has none.
+    Only the few first tables that reach into the text are put together, at most one for every two of its characters.
     """
     labels = columns.groupBy("sheet_id", "table_start").agg(
         F.array_join(F.array_sort(F.collect_list(F.lower("header"))), "|").alias("_labels")
     )
-    tables = labels.groupBy("sheet_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("table_start", "_labels"))), lambda t: t["_labels"]), "::"
-        ).alias("_tables")
+    placed = materialize(positions(labels.filter(F.col("sheet_id").isNotNull()), ["sheet_id"], ["table_start"], out="_place"), "tables")
+    salted = F.md5(F.concat_ws(":", F.col("_place").cast("string"), "_labels"))
+    half = lambda at: F.sum(F.conv(F.substring(salted, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    hashes = placed.groupBy("sheet_id").agg(
+        F.sha2(F.concat_ws(":", half(1), half(17), F.count(F.lit(1)).cast("string")), 256).alias("tables_hash")
     )
-    return marks.join(tables, "sheet_id", "left").select(
-        "sheet_id",
-        F.concat_ws(
-            "::",
-            F.coalesce("anchor_hash", F.lit("unknown-anchor")),
-            F.coalesce("formula_fingerprint", F.lit("unknown-formula")),
-            "_tables",
-        ).alias("fingerprint"),
+    reaching = placed.filter(F.col("_place") <= longest // len(_SEPARATOR)).select("sheet_id", "_place", F.left("_labels", F.lit(longest)).alias("_labels"))
+    texts = reaching.groupBy("sheet_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_labels"))), lambda t: t["_labels"]), _SEPARATOR).alias("_tables")
     )
+    known = marks.join(hashes, "sheet_id", "left").join(texts, "sheet_id", "left")
+    text = F.concat_ws(_SEPARATOR, F.coalesce("anchor_hash", F.lit("unknown-anchor")), F.coalesce("formula_fingerprint", F.lit("unknown-formula")), "_tables")
+    return known.select("sheet_id", F.left(text, F.lit(longest)).alias("fingerprint"), "tables_hash")
 
 
 def match_fingerprints(prints: DataFrame, known: DataFrame) -> DataFrame:
     """First known entry (lowest ``ord``) whose ``prefix`` starts the fingerprint.
 
-    ``known(ord, prefix, template_id, template_version_id)``. Each fingerprint is cut to the few
-    lengths that occur among the prefixes, which turns "starts with" into an equality join.
+    ``known(ord, prefix, template_id, template_version_id)``; a null prefix starts nothing, an empty one everything.
+    Distinct fingerprints and prefixes are sorted together once, by ranges. All texts between a prefix and one that it
+    starts have it as a prefix too, so a task goes through its range with the chain of prefixes that are open, each inside
+    the one before; those that are open where its range begins are looked up for the first text of the range only. One row
+    per fingerprint crosses the shuffle, however many prefixes and lengths there are.
     """
-    known = materialize(known, "known")
-    lengths = [r[0] for r in known.select(F.length("prefix")).distinct().collect()]
-    if not lengths:
-        return prints.select(
-            "sheet_id", "fingerprint", *[F.lit(None).cast("string").alias(c) for c in ("template_id", "template_version_id")]
-        )
-    cuts = prints.select(
-        "sheet_id",
-        F.explode(F.array_distinct(F.array(*[F.left("fingerprint", F.lit(n)) for n in sorted(lengths)]))).alias("prefix"),
-    )
-    hits = attach(cuts, known.groupBy("prefix").agg(F.min(F.struct("ord", "template_id", "template_version_id")).alias("_k")), ["prefix"], how="inner")
-    best = hits.groupBy("sheet_id").agg(F.min("_k").alias("_k"))
-    return prints.join(best, "sheet_id", "left").select(
-        "sheet_id", "fingerprint", "_k.template_id", "_k.template_version_id"
+    entry = F.struct("ord", "template_id", "template_version_id")
+    prefixes = known.filter(F.col("prefix").isNotNull()).groupBy(F.col("prefix").alias("text")).agg(F.min(entry).alias("entry"))
+    prefixes = materialize(prefixes.select("text", F.lit(0).alias("kind"), "entry"), "known")
+    asked = prints.filter(F.col("fingerprint").isNotNull()).select(F.col("fingerprint").alias("text")).distinct()
+    none = F.lit(None).cast(prefixes.schema["entry"].dataType)
+    ordered = prefixes.unionByName(asked.select("text", F.lit(1).alias("kind"), none.alias("entry"))).orderBy("text", "kind")
+    ordered = materialize(ordered.withColumn("_mid", F.monotonically_increasing_id()), "sorted").withColumn("part", F.shiftright("_mid", 33)).drop("_mid")
+
+    firsts = ordered.groupBy("part").agg(F.min("text").alias("_first"))
+    cuts = firsts.select("part", F.explode(F.sequence(F.lit(0), F.length("_first"))).alias("_n"), "_first").select(
+        "part", F.left("_first", F.col("_n")).alias("text")
     )
+    # a range's own prefixes are met again in it, which does no harm
+    open_before = cuts.join(prefixes, "text").select("text", "kind", "entry", "part")
+    ranges = ordered.unionByName(open_before).repartition("part").sortWithinPartitions("part", "text", "kind")
+    found = ranges.select("part", "text", "kind", "entry.*").mapInPandas(_open_prefixes, "fingerprint string, ord long, template_id string, template_version_id string")
+    best = attach(prints.select("sheet_id", "fingerprint"), found.drop("ord"), ["fingerprint"])
+    return best.select("sheet_id", "fingerprint", "template_id", "template_version_id")
+
+
+def _open_prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fingerprints with the best entry among the prefixes that are open where they stand in the order."""
+    at, chain = None, []  # of (prefix, best entry of the chain up to it)
+    for batch in batches:
+        found = []
+        for part, text, kind, *own in batch.itertuples(index=False, name=None):
+            if part != at:
+                at, chain = part, []
+            while chain and not text.startswith(chain[-1][0]):
+                chain.pop()
+            if kind == 0:
+                chain.append((text, min(own, chain[-1][1], key=lambda e: e[0]) if chain else own))
+            elif chain:
+                found.append((text, *chain[-1][1]))
+        yield pd.DataFrame(found, columns=["fingerprint", "ord", "template_id", "template_version_id"])

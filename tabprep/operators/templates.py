@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tabprep.functions import lexicon as lx
@@ -17,6 +18,8 @@ from tabprep.session import materialize
 
 #: Largest template catalog that is scored from one literal.
 CATALOG_BYTES = 8 << 20
+#: Entries in a block of a similarity product and how many times more sheets, bytes of a block's numbers, sheets multiplied at a time.
+BLOCK_ROWS, SHEET_SHARE, BLOCK_BYTES, SHEETS_AT_A_TIME = 4096, 16, 16 << 20, 1024
 
 
 def class_summary(classified: DataFrame) -> DataFrame:
@@ -153,58 +156,69 @@ def missingness_signal(shape: DataFrame) -> DataFrame:
     )
 
 
-def similar_sheets(vectors: DataFrame, catalog: DataFrame, k: int = 3, block_rows: int = 4096) -> DataFrame:
-    """Exact cosine top ``k`` catalog entries for each vector.
+def similar_sheets(vectors: DataFrame, catalog: DataFrame, k: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact cosine top ``k`` catalog entries for each vector: ``sheet_id, template_id, similarity, rank``.
 
-    ``vectors(sheet_id, vector)``, ``catalog(template_id, vector)``. A catalog block of at most
-    ``block_rows`` entries is shipped to the tasks and multiplied as a matrix; only ``k`` rows per
-    vector leave a block, and the blocks' winners are ranked again, so any catalog size is exact.
+    ``vectors(sheet_id, vector)``, ``catalog(template_id, vector)``. Both sides are stored and cut into blocks of at most about
+    ``block_rows`` entries and ``SHEET_SHARE`` times as many sheets, fewer of long vectors. Each pair of blocks meets in one
+    task, which multiplies them as matrices; only ``k`` rows per vector leave it and are ranked again, so catalogs of
+    any size are exact. Neither side passes through the driver or a closure: the shuffle carries a vector once for each block
+    of entries, and the entries once for each block of sheets. Missing numbers and shorter vectors count as zeros; vectors of
+    zeros are like no entry (similarity 0). Equal similarities go by identifier.
     """
-    entries = materialize(
-        catalog.select("template_id", F.col("vector").cast("array<double>").alias("vector")), "catalog"
-    )
-    blocks = max(1, -(-entries.count() // block_rows))
-    numbered = entries.withColumn("_b", F.pmod(F.xxhash64("template_id"), F.lit(blocks)))
-    ids_type = dict(entries.dtypes)["template_id"]
-    sheet_type = dict(vectors.dtypes)["sheet_id"]
-    schema = f"sheet_id {sheet_type}, template_id {ids_type}, similarity double"
-    source = vectors.select("sheet_id", F.col("vector").cast("array<double>").alias("vector"))
-    winners = None
-    for b in range(blocks):
-        held = numbered.filter(F.col("_b") == b).toPandas()
-        if held.empty:
-            continue
-        matrix = np.array(held["vector"].tolist(), dtype=float)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        part = source.mapInPandas(_nearest(matrix, held["template_id"].to_numpy(), k), schema)
-        winners = part if winners is None else winners.unionByName(part)
-    if winners is None:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    from pyspark.sql import Window
-
+    sheets, n_sheets, wide = _stored_vectors(vectors, "sheet_id")
+    entries, n_entries, wider = _stored_vectors(catalog, "template_id")
+    fitting = max(1, min(block_rows, BLOCK_BYTES // (8 * max(wide, wider, 1))))
+    left, right = -(-n_sheets // (fitting * SHEET_SHARE)) or 1, -(-n_entries // fitting) or 1
+    met = _dealt(sheets, "l", left, "r", right).groupBy("l", "r").cogroup(_dealt(entries, "r", right, "l", left).groupBy("l", "r"))
+    schema = f"sheet_id {dict(vectors.dtypes)['sheet_id']}, template_id {dict(catalog.dtypes)['template_id']}, similarity double"
     order = Window.partitionBy("sheet_id").orderBy(F.desc("similarity"), "template_id")
-    return winners.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _nearest(matrix: np.ndarray, ids: np.ndarray, k: int):
-    def run(batches):
-        for batch in batches:
-            if batch.empty:
-                continue
-            v = np.array(batch["vector"].tolist(), dtype=float)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            sims = np.round(v @ matrix.T, 9)
-            # similarity first, then the id, so that ties at the edge are kept the same way everywhere
-            by_id = np.argsort(ids, kind="stable")
-            order = by_id[np.argsort(-sims[:, by_id], axis=1, kind="stable")[:, :k]]
-            rows = np.repeat(np.arange(len(batch)), order.shape[1])
-            yield pd.DataFrame(
-                {
-                    "sheet_id": batch["sheet_id"].to_numpy()[rows],
-                    "template_id": ids[order.ravel()],
-                    "similarity": sims[rows, order.ravel()],
-                }
-            )
+    return met.applyInArrow(_nearest(k), schema).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _stored_vectors(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """``id, vector, at`` in the shared folder, their number and the longest vector's length."""
+    named = df.select(F.col(name).alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.monotonically_increasing_id().alias("at"))
+    watch = Observation()
+    sizes = [F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("wide")]
+    stored = materialize(named.observe(watch, *sizes), "vectors")
+    return stored, watch.get["n"], watch.get["wide"] or 0
+
+
+def _dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+    """Rows dealt evenly to blocks, each once for every block of the other side."""
+    block = F.pmod(F.xxhash64("at"), F.lit(blocks)).cast("int")
+    return df.select("id", "vector", block.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+
+def _unit_rows(vectors: pa.ChunkedArray, wide: int) -> np.ndarray:
+    """Vectors as rows of length one."""
+    out = np.zeros((len(vectors), wide))
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    if len(vectors):
+        flat = pc.fill_null(pc.list_flatten(vectors), 0.0).to_numpy()
+        rows = np.repeat(np.arange(len(vectors)), lengths)
+        out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(sheets: pa.Table, entries: pa.Table) -> pa.Table:
+        taken, places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if sheets.num_rows and entries.num_rows:
+            wide = max(pc.max(pc.list_value_length(side["vector"])).as_py() or 0 for side in (sheets, entries))
+            # in order of their identifiers, so that ties at the edge are kept the same way everywhere
+            entries = entries.sort_by("id")
+            matrix = _unit_rows(entries["vector"], wide).T
+            for first in range(0, sheets.num_rows, SHEETS_AT_A_TIME):
+                similarity = np.round(_unit_rows(sheets["vector"].slice(first, SHEETS_AT_A_TIME), wide) @ matrix, 9)
+                best = np.argsort(-similarity, axis=1, kind="stable")[:, :k]
+                rows = np.repeat(np.arange(len(best)), best.shape[1])
+                taken.append(rows + first)
+                places.append(best.ravel())
+                found.append(similarity[rows, best.ravel()])
+        ids = sheets["id"].take(pa.array(np.concatenate(taken))), entries["id"].take(pa.array(np.concatenate(places)))
+        return pa.table([*ids, pa.array(np.concatenate(found))], ["sheet_id", "template_id", "similarity"])
 
     return run
 

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import threading
 from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from tabprep.operators.assign import RANKER_FAILED, assign, assignment_metrics
-from tabprep.operators.jobs import create_tickets, fold_updates
-from tabprep.operators.scale import attach
+from tabprep.operators.assign import RANKER_FAILED, assign, assignment_metrics, directory, needs_classes
+from tabprep.operators.jobs import fold_updates, row_hash
+from tabprep.operators.scale import attach, positions
 from tabprep.session import scratch_path, scratch_scope
 
 #: Notices that a log keeps at most; older ones go first.
@@ -50,16 +52,17 @@ def assign_stream(
 ) -> StreamingQuery:
     """Assign each micro-batch with the batch operator; ``every`` seconds, or all there is, once.
 
-    The size of a batch is set at the source (e.g. ``maxFilesPerTrigger``). ``log`` is told when a batch
+    The directory is read and indexed once, when the query starts. The size of a batch is set at the source (e.g. ``maxFilesPerTrigger``). ``log`` is told when a batch
     starts, and how many decisions fell back because the ranker failed.
     """
     observed = tickets.observe("assignment", F.count(F.lit(1)).alias("enqueued"))
+    people = directory(technicians, needs_classes(**options))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         folder = f"{decisions_path}/batch_id={batch_id}"
         if log:
             log.add("batch_start", {"batch_id": batch_id})
-        assign(batch, technicians, **options).write.mode("overwrite").parquet(folder)
+        assign(batch, people, **options).write.mode("overwrite").parquet(folder)
         written = batch.sparkSession.read.parquet(folder)
         if log and (failed := written.filter(F.array_contains("notes", RANKER_FAILED)).count()):
             log.add("ranker_failed", {"batch_id": batch_id, "tickets": failed})
@@ -69,6 +72,14 @@ def assign_stream(
     return _start(observed, handle, "append", checkpoint, every)
 
 
+def total_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
+    """Counters of all batches of ``assign_stream`` together, and the size of the last one that had tickets."""
+    batches = spark.read.parquet(metrics_path)
+    counters = [c for c in batches.columns if c != "batch_id"]
+    latest = F.max_by("enqueued", F.when(F.col("enqueued") > 0, F.col("batch_id"))).alias("last_batch_size")
+    return batches.agg(*[F.sum(c).alias(c) for c in counters], latest)
+
+
 class BatchLog(StreamingQueryListener):
     """Start, end and failure notices of micro-batches with their observed counters, the newest ``KEPT_EVENTS``."""
 
@@ -95,29 +106,95 @@ class BatchLog(StreamingQueryListener):
         self.add("failed" if event.exception else "stopped", {"error": event.exception})
 
 
-def ticket_stream(rows: DataFrame, content: Sequence[str], tickets_path: str, checkpoint: str | None = None, every: float | None = None) -> StreamingQuery:
-    """Create tickets once per distinct row of a job, across batches, retries and repeated rows.
+#: Groups that the numbering of one job is spread over.
+JOB_SLOTS = 16
+_FRESH = "job_id string, slot int, row_idx long, row_hash string, earlier long"
 
-    Each batch is compared with the tickets of earlier batches, restricted to the jobs it touches.
-    """
-    schema = "ticket_id string, job_id string, ticket_no long, row_idx long, row_hash string"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = _earlier(spark, tickets_path, batch_id, schema)
-        touched = batch.select("job_id").distinct()
-        existing = attach(earlier, touched, ["job_id"], how="left_semi") if earlier is not None else None
-        fresh, _ = create_tickets(batch, content, existing)
-        fresh.select("ticket_id", "job_id", "ticket_no", "row_idx", "row_hash").write.mode("overwrite").parquet(f"{tickets_path}/batch_id={batch_id}")
 
-    return _start(rows, handle, "append", checkpoint, every)
+def ticket_stream(
+    rows: DataFrame, content: Sequence[str], tickets_path: str, checkpoint: str | None = None, every: float | None = None, slots: int = JOB_SLOTS
+) -> StreamingQuery:
+    """Create tickets once per distinct row of a job, across batches, restarts and repeated rows.
 
+    Nothing that was written is read again. Spark's state store knows every row of every job by its hash, so a row that
+    came before is dropped where its hash belongs and a large job is spread like a small one. It also counts the
+    tickets of each job in ``slots`` groups. Every job of a batch asks all its groups, whose sum is the number that its new
+    tickets continue; they are numbered in row order by a range sort. Of equal rows of one batch any may give the
+    ticket its ``row_idx``; rows without a job make none. The state grows with the distinct rows; it is kept in RocksDB, which needs no memory for it.
+    """
+    spark = rows.sparkSession
+    hashed = rows.filter(F.col("job_id").isNotNull()).select(F.col("job_id").cast("string").alias("job_id"), F.col("row_idx").cast("long").alias("row_idx"), row_hash(content).alias("row_hash"))
+    fresh = hashed.dropDuplicates(["job_id", "row_hash"]).withColumns(
+        {"slot": F.pmod(F.xxhash64("row_hash"), F.lit(slots)).cast("int"), "earlier": F.lit(None).cast("long")}
+    )
+    asked = fresh.select(*[part.split()[0] for part in _FRESH.split(", ")]).mapInPandas(_with_questions(slots), _FRESH)
+    counted = asked.groupBy("job_id", "slot").transformWithStateInPandas(TicketCounter(), _FRESH, "Append", "None")
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame | None:
-    """What batches before ``batch_id`` wrote; a rerun does not see its own first attempt."""
-    if batch_id == 0:
-        return None
-    return spark.read.schema(schema + ", batch_id long").parquet(path).filter(F.col("batch_id") < batch_id).drop("batch_id")
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        used = batch.filter("earlier IS NOT NULL").groupBy("job_id").agg(F.sum("earlier").alias("_used"))
+        numbered = attach(positions(batch.filter("earlier IS NULL").drop("slot", "earlier"), ["job_id"], ["row_idx", "row_hash"], out="_n"), used, ["job_id"])
+        number = F.col("_n") + 1 + F.col("_used")
+        tickets = numbered.select(
+            F.concat("job_id", F.lit("-ticket-"), number.cast("string")).alias("ticket_id"), "job_id", number.cast("long").alias("ticket_no"), "row_idx", "row_hash"
+        )
+        tickets.write.mode("overwrite").parquet(f"{tickets_path}/batch_id={batch_id}")
+
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        return _start(counted, handle, "append", checkpoint, every)
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting that a query takes over when it starts."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _with_questions(slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows, and once per job and task a row without hash for each of the job's groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: set[str] = set()
+        for batch in batches:
+            yield batch
+            jobs = [job for job in batch["job_id"].unique() if job not in asked]
+            asked.update(jobs)
+            if jobs:
+                yield pd.DataFrame({
+                    "job_id": [job for job in jobs for _ in range(slots)], "slot": [*range(slots)] * len(jobs), "row_idx": None, "row_hash": None, "earlier": None,
+                }).astype({"slot": "int32", "row_idx": "Int64", "earlier": "Int64"})
+
+    return run
+
+
+class TicketCounter(StatefulProcessor):
+    """Counts the tickets of one group of a job; passes new rows on and answers once with the number before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("tickets", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earlier = self.count.get()[0] if self.count.exists() else 0
+        new = 0
+        for part in rows:
+            fresh = part[part["row_hash"].notna()]
+            new += len(fresh)
+            if len(fresh):
+                yield fresh.astype({"row_idx": "Int64", "earlier": "Int64"})
+        answer = pd.DataFrame({"job_id": [key[0]], "slot": [int(key[1])], "row_idx": [None], "row_hash": [None], "earlier": [earlier]})
+        yield answer.astype({"slot": "int32", "row_idx": "Int64", "earlier": "Int64"})
+        if new:
+            self.count.update((earlier + new,))
+
+    def close(self) -> None:
+        pass
 
 
 def job_state_stream(updates: DataFrame, fields: Sequence[str], order: Sequence[str], states_path: str, checkpoint: str | None = None, every: float | None = None) -> StreamingQuery:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,14 +37,15 @@ def test_fallback_when_the_ranker_fails(spark, people):
 
 
 def test_batch(spark, people):
-    decided = asg.assign(
-        tickets(
-            spark, ("t1", "project-1", None, ["post-service"], "P2"), ("t2", "project-1", "", ["post-service"], "P1"),
-            ("t3", "project-2", None, ["batch-handling"], "P2"), ("t4", "project-9", None, [], "P3"), ("t5", "project-1", "norte", [], "P3"),
-        ),
-        people, pool=True,
+    asked = tickets(
+        spark, ("t1", "project-1", None, ["post-service"], "P2"), ("t2", "project-1", "", ["post-service"], "P1"),
+        ("t3", "project-2", None, ["batch-handling"], "P2"), ("t4", "project-9", None, [], "P3"), ("t5", "project-1", "norte", [], "P3"),
     )
-    got = {r.ticket_id: (r.technician_id, r.strategy, r.candidate_pool) for r in decided.collect()}
+    decided = asg.assign(asked, people, pool=True)
+    pools = {}
+    for r in asg.pool_members(*asg.candidate_pools(asked, people)).collect():
+        pools.setdefault(r.pool_id, []).append(r.id)
+    got = {r.ticket_id: (r.technician_id, r.strategy, pools.get(r.pool_id, [])) for r in decided.collect()}
     assert got == {
         "t1": ("ana", "ml-ranking", ["ana"]), "t2": ("ana", "ml-ranking", ["ana"]), "t3": ("camila", "ml-ranking", ["camila"]),
         "t4": (None, "hard-stop", []), "t5": (None, "hard-stop", []),
@@ -51,6 +54,23 @@ def test_batch(spark, people):
     assert (m.enqueued, m.processed, m.hard_stops) == (5, 5, 2)
 
 
+def test_pools_of_many_buckets(spark):
+    n = 70_000
+    people = spark.range(n).selectExpr(
+        "lpad(id, 6, '0') AS id", "'d' AS document", "array('m') AS regions", "if(id % 3 = 0, array('a', 'b'), array('a')) AS skills", "'ONLINE' AS availability",
+        "0 AS workload", "1 AS max_workload", "array('p') AS projects", "'L1' AS tier",
+    )
+    asked = tickets(spark, ("x", "p", None, ["b"], "P1"), ("y", "p", "m", ["a"], "P1"), ("z", "p", None, ["c"], "P1"))
+    decided = {r.ticket_id: r for r in asg.assign(asked, people, pool=True).collect()}
+    pools, numbers = asg.candidate_pools(asked, people)
+    assert pools.count() == 6 and decided["z"].pool_id is None
+    members = asg.pool_members(pools, numbers).groupBy("pool_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.countDistinct("id").alias("d")).collect()
+    assert {r.pool_id: (r.n, r.a, r.b, r.d) for r in members} == {
+        decided["x"].pool_id: (23_334, "000000", "069999", 23_334), decided["y"].pool_id: (n, "000000", "069999", n),
+    }
+    assert (decided["x"].pool_size, decided["y"].pool_size) == (23_334, n)
+
+
 def test_ties_go_to_lower_load_then_id(spark):
     same = [(i, "n", "d", ["m"], [], "ONLINE", 1, 4, ["p"], "L1") for i in ("b", "a", "c")]
     people = spark.createDataFrame(same, TECH)
@@ -70,6 +90,78 @@ def test_one_project_holding_most_tickets(spark, people):
     assert per == {"ana": 13_333, "camila": 6_667}
 
 
+def _random_sides(spark, seed, n, hot):
+    """Demands and technicians; ``hot`` of both belong to one project."""
+    pick = random.Random(seed)
+    some = lambda names, most: [x for x in names if pick.random() < most]
+    project = lambda: "big" if pick.random() < hot else f"p{pick.randrange(6)}"
+    techs = [
+        (f"t{i:04d}", "n", "d", pick.choice([some(["N", "S", "W"], 0.5), None, [None, "N"]]), some(["a", "b", "c", "d"], 0.6), pick.choice(["ONLINE", "BUSY", "OFFLINE"]),
+         pick.randrange(4), pick.randrange(1, 5), list({project() for _ in range(2)}), pick.choice(["L1", "L2", "L3"]))
+        for i in range(n)
+    ]
+    asked = [(f"k{i}", project(), pick.choice(["N", "S", "", None, "X"]), pick.choice([some(["a", "b", "c", "e"], 0.4), ["a", "a"], None]), pick.choice(["P1", "P2", None])) for i in range(n)]
+    return asked, techs
+
+
+def _pairs(asked, techs):
+    out = set()
+    for _, project, region, skills, priority in asked:
+        for t in techs:
+            fits = t[5] != "OFFLINE" and t[6] < t[7] and project in t[8] and (not region or region in (t[3] or []))
+            if fits and skills is not None and set(skills) <= set(t[4]):
+                out.add((project, region or "", tuple(sorted(set(skills))), priority or "", t[0]))
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 65_536])
+def test_posting_lists_against_all_pairs(spark, most):
+    asked, techs = _random_sides(spark, 11, 150, 0.4)
+    found = asg.candidates(asg.demands(tickets(spark, *asked)), spark.createDataFrame(techs, TECH), most)
+    got = [(r.project_id, r.region or "", tuple(sorted(set(r.required_skills))), r.priority or "", r.id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == _pairs(asked, techs)
+
+
+def test_a_hot_project_is_dealt_over_slots(spark):
+    asked, techs = _random_sides(spark, 12, 900, 0.9)
+    people = asg.directory(spark.createDataFrame(techs, TECH))
+    wanted = asg.demands(tickets(spark, *asked))
+    longest = people.sizes.agg(F.max("_n")).first()[0]
+    met = asg._fitting(wanted, people, most=20)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert longest > 200 and "_slot" in plan
+    per_task = met.filter("project_id = 'big'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 1 and set(met.select("demand", "id").collect()) == set(asg._fitting(wanted, people).select("demand", "id").collect())
+
+
+def test_ranking_without_a_window_task_and_with_partial_limits(spark):
+    asked, techs = _random_sides(spark, 13, 200, 0.5)
+    pairs = asg.candidates(asg.demands(tickets(spark, *asked)), spark.createDataFrame(techs, TECH))
+    whole = asg.rank_candidates(pairs)
+    assert "Window " not in whole._jdf.queryExecution().executedPlan().toString().replace("WindowGroupLimit", "")
+    top = asg.rank_candidates(pairs, top=2)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    listed = [(r.demand, r.place, r.id, r.score) for r in whole.filter("place <= 2").collect()]
+    assert sorted(listed) == sorted((r.demand, r.place, r.id, r.score) for r in top.collect())
+    groups = {}
+    for r in whole.collect():
+        groups.setdefault(r.demand, []).append((r.place, -r.score, r.workload / max(r.max_workload, 1), r.id))
+    for rows_of in groups.values():
+        rows_of.sort()
+        assert [r[0] for r in rows_of] == [*range(1, len(rows_of) + 1)] and [r[1:] for r in rows_of] == sorted(r[1:] for r in rows_of)
+
+
+def test_best_by_history(spark):
+    asked, techs = _random_sides(spark, 14, 60, 0.5)
+    pairs = asg.candidates(asg.demands(tickets(spark, *asked)), spark.createDataFrame(techs, TECH)).withColumn("kind", F.lit("x"))
+    past = spark.createDataFrame([(t[0], "x") for t in techs[:30] for _ in range(int(t[0][1:]) % 4)], "technician_id string, kind string")
+    every = {}
+    for r in asg.history_rank(pairs, past, "kind").collect():
+        every.setdefault(r.demand, []).append((-r.score, r.workload / max(r.max_workload, 1), r.id))
+    best = asg.history_rank(pairs, past, "kind", top=3).collect()
+    assert sorted((r.demand, r.place, r.id) for r in best) == sorted((d, n, x[2]) for d, found in every.items() for n, x in enumerate(sorted(found)[:3], 1))
+
+
 def test_identity(spark, people):
     found = asg.match_identity(spark.createDataFrame([("1 23",), ("000",), (None,)], "identity_document string"), people)
     assert sorted(((r.technician_id or ""), r.policy) for r in found.collect()) == [("", "REVIEW"), ("", "REVIEW"), ("ana", "AUTO_ASSIGN")]

@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from conftest import rows
 
 from tabprep.operators import headers as hd
@@ -72,18 +74,83 @@ def test_missingness_signal(spark):
     assert found["empty"].signal == "MNAR" and not found["empty"].imputation_permitted and len(found["empty"].blockers) == 4
 
 
-def test_similar_sheets_in_blocks(spark):
-    import numpy as np
+def _cosines(spark, vectors, catalog, kind="long"):
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(vectors)], "sheet_id long, vector array<double>")
+    c = spark.createDataFrame([(i if kind == "long" else f"t{i:03d}", x) for i, x in enumerate(catalog)], f"template_id {kind}, vector array<double>")
+    return v, c
 
+
+@pytest.mark.parametrize("block,kind", [(1, "long"), (5, "string"), (1000, "long")])
+def test_similar_sheets_in_blocks(spark, block, kind):
     rng = np.random.default_rng(1)
-    vectors, catalog = rng.normal(size=(20, 5)), rng.normal(size=(37, 5))
-    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "sheet_id long, vector array<double>")
-    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(catalog)], "template_id long, vector array<double>")
+    vectors, catalog = rng.normal(size=(70, 5)), rng.normal(size=(37, 5))
+    catalog[7] = 3 * catalog[4]  # a tie everywhere
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    best = np.argsort(-(unit(vectors) @ unit(catalog).T), axis=1)[:, :4]
-    for block in (5, 1000):
-        got = tp.similar_sheets(v, c, k=4, block_rows=block)
-        assert [r.template_id for r in got.orderBy("sheet_id", "rank").collect()] == best.ravel().tolist()
+    best = np.argsort(-np.round(unit(vectors) @ unit(catalog).T, 9), axis=1, kind="stable")[:, :4]
+    v, c = _cosines(spark, vectors.tolist(), catalog.tolist(), kind)
+    got = tp.similar_sheets(v, c, k=4, block_rows=block)
+    assert [int(str(r.template_id).lstrip("t")) for r in got.orderBy("sheet_id", "rank").collect()] == best.ravel().tolist()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "Broadcast" not in plan and "Cartesian" not in plan
+
+
+def test_odd_vectors(spark):
+    v, c = _cosines(spark, [[1.0, 0.0], None, [], [0.0, None], [2.0, 0.0, 0.0]], [[5.0], [0.0, 1.0], None])
+    got = {(r.sheet_id, r.rank): (r.template_id, r.similarity) for r in tp.similar_sheets(v, c, k=2).collect()}
+    assert got[(0, 1)] == (0, 1.0) == got[(4, 1)] and got[(0, 2)] == (1, 0.0)
+    assert [got[(i, 1)] for i in (1, 2, 3)] == [(0, 0.0)] * 3
+    assert tp.similar_sheets(v, c.limit(0)).count() == 0 and tp.similar_sheets(v.limit(0), c).count() == 0
+
+
+def _prefix_match(prints, known):
+    out = {}
+    for i, text in prints:
+        hits = [(o, t) for o, p, t in known if p is not None and text is not None and text.startswith(p)]
+        out[i] = min(hits)[1] if hits else None
+    return out
+
+
+def _known(spark, known):
+    return spark.createDataFrame([(o, p, t, "v") for o, p, t in known], "ord int, prefix string, template_id string, template_version_id string")
+
+
+def _check_prefixes(spark, prints, known):
+    df = spark.createDataFrame(prints, "sheet_id int, fingerprint string")
+    got = st.match_fingerprints(df, _known(spark, known))
+    assert {r.sheet_id: r.template_id for r in got.collect()} == _prefix_match(prints, known)
+
+
+def test_prefixes_of_five_thousand_lengths(spark):
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("ab|:"), 5200))
+    ranks = rng.permutation(5000).tolist()
+    known = [(ranks[n - 1], text[:n], f"t{n}") for n in range(1, 5001)]
+    prints = [(i, text[: int(n)] + extra) for i, (n, extra) in enumerate(zip(rng.integers(0, 5200, 60), ["", "a", "zz", "é"] * 15))]
+    _check_prefixes(spark, prints, known)
+
+
+def test_random_prefixes(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("aébé😀"), int(rng.integers(0, 6))))
+    known = [(i, word(), f"t{i}") for i in range(40)] + [(99, None, "none")]
+    prints = [(i, word() + word()) for i in range(400)] + [(400 + i, "aaa") for i in range(300)] + [(1000, None)]
+    _check_prefixes(spark, prints, known[1:] + [(50, "aaa", "first")])
+    _check_prefixes(spark, prints, [(7, "", "all"), (3, "aé", "some")])
+    _check_prefixes(spark, prints, [])
+    _check_prefixes(spark, [], known)
+
+
+def test_fingerprint_of_a_million_tables(spark):
+    n = 1_000_000
+    columns = spark.range(n).selectExpr("'s' AS sheet_id", "id * 3 AS table_start", "concat('H', id % 7) AS header")
+    marks = spark.createDataFrame([("s", "a", "f"), ("t", None, None)], "sheet_id string, anchor_hash string, formula_fingerprint string")
+    found = {r.sheet_id: r for r in st.fingerprints(columns, marks, longest=100).collect()}
+    assert found["s"].fingerprint == ("a::f" + "".join(f"::h{i % 7}" for i in range(60)))[:100]
+    assert found["t"].fingerprint == "unknown-anchor::unknown-formula" and found["t"].tables_hash is None
+    moved = columns.withColumn("table_start", n * 3 - columns["table_start"])
+    shifted = columns.withColumn("table_start", columns["table_start"] + 5)
+    hashes = [st.fingerprints(df, marks, longest=100).filter("sheet_id = 's'").first().tables_hash for df in (moved, shifted)]
+    assert hashes[0] != found["s"].tables_hash == hashes[1]
 
 
 def test_merged_ranges_are_filled(spark):

@@ -38,6 +38,8 @@ def test_assignment_equals_batch_and_reports(spark):
     got = spark.read.parquet(out).select("ticket_id", "technician_id", "strategy")
     assert rows(got, "ticket_id") == rows(assign(df, people, scorer=failing).select("ticket_id", "technician_id", "strategy"), "ticket_id")
     assert spark.read.parquet(metrics).agg(F.sum("enqueued"), F.sum("hard_stops"), F.sum("ml_failures")).first() == (30, 10, 20)
+    sizes = [r.n for r in spark.read.parquet(out).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).orderBy("batch_id").collect()]
+    assert sm.total_metrics(spark, metrics).select("enqueued", "processed", "ml_failures", "last_batch_size").first() == (30, 30, 20, sizes[-1])
     assert [e["batch_id"] for kind, e in log.events if kind == "batch_start"] == [0, 1, 2]
     assert sum(e["tickets"] for kind, e in log.events if kind == "ranker_failed") == 20
     assert sum(e["enqueued"] or 0 for kind, e in log.events if kind == "batch_end") == 30
@@ -57,6 +59,43 @@ def test_tickets_survive_a_rerun(spark):
     assert rows(spark.read.parquet(out).select("ticket_id", "row_hash"), "row_hash") == first
 
 
+def spool(spark, folder, data):
+    """One more file of arrivals."""
+    spark.createDataFrame(data, "job_id string, row_idx long, v string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_tickets_after_a_restart(spark):
+    source, out, checkpoint = (scratch_path(spark, x) for x in ("in", "out", "cp"))
+    stream = lambda: spark.readStream.schema("job_id string, row_idx long, v string").option("maxFilesPerTrigger", 1).parquet(source)
+    made = lambda: rows(spark.read.parquet(out).select("job_id", "ticket_no", "row_hash", "ticket_id"), "job_id", "ticket_no")
+    spool(spark, source, [("a", i, f"v{i}") for i in range(30)] + [("b", 1, "x"), ("b", 2, "x"), (None, 1, "n")])
+    finish(sm.ticket_stream(stream(), ["v"], out, checkpoint))
+    before = made()
+    assert [(r[0], r[1]) for r in before] == [*[("a", n) for n in range(1, 31)], ("b", 1)]
+    # known rows, new ones, and a job that comes up again after a batch without it
+    spool(spark, source, [("a", i, f"v{i}") for i in range(20, 45)] + [("c", 1, None)])
+    finish(sm.ticket_stream(stream(), ["v"], out, checkpoint))
+    spool(spark, source, [("b", 9, "y"), ("b", 10, "x"), ("a", 99, "v99"), ("c", 2, None), ("c", 3, "")])
+    finish(sm.ticket_stream(stream(), ["v"], out, checkpoint))
+    after = made()
+    numbers = {job: [r[1] for r in after if r[0] == job] for job in "abc"}
+    assert numbers == {"a": [*range(1, 47)], "b": [1, 2], "c": [1, 2]}
+    assert set(before) <= set(after) and len({r[3] for r in after}) == len(after) == len({(r[0], r[2]) for r in after})
+
+
+def test_numbers_follow_the_rows_and_no_output_is_read(spark):
+    df = spark.createDataFrame([("j", 1000 - i, f"v{i % 150}") for i in range(600)], "job_id string, row_idx long, v string")
+    out = scratch_path(spark, "out")
+    query = finish(sm.ticket_stream(arrivals(spark, df, 3), ["v"], out))
+    got = spark.read.parquet(out)
+    assert [r.ticket_no for r in got.orderBy("ticket_no").collect()] == [*range(1, 151)]
+    for batch in {r.batch_id for r in got.select("batch_id").distinct().collect()}:
+        part = got.filter(F.col("batch_id") == batch).orderBy("ticket_no").collect()
+        assert [r.row_idx for r in part] == sorted(r.row_idx for r in part)
+    plan = query._jsq.explainInternal(True)
+    assert "StreamingDeduplicate" in plan and "TransformWithState" in plan and out not in plan
+
+
 def test_job_state(spark):
     log = spark.createDataFrame([("a", i, "S" + str(i), None if i % 2 else str(i)) for i in range(9)], "job_id string, ts int, status string, stats string")
     out = scratch_path(spark, "out")
