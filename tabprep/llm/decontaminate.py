@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tabprep.llm.text import byte_blocks, packed
+from tabprep.session import materialize
 
 #: Edits allowed, as a share of an item's normalised characters.
 ERROR_RATE = 0.08
@@ -100,7 +102,7 @@ def _windows(hits: list[tuple[int, int]], length: int, errors: int) -> Iterator[
         yield low, high
 
 
-def _matcher(items: list[tuple[int, str]], rate: float):
+def _matcher(items: list[tuple], rate: float):
     import ahocorasick
 
     found_at: dict[str, list[tuple[int, int]]] = {}
@@ -138,7 +140,7 @@ def _matcher(items: list[tuple[int, str]], rate: float):
     return matches
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
     """Items with a letter or digit, equal ones once (smallest identifier), in blocks of at most ``limit`` characters."""
     block, size = [], 0
     ids = F.col(f"`{id_col}`")
@@ -171,16 +173,19 @@ def find_leaks(
 
     An item under ``LEAST_CHARS`` normalised characters has no budget and must stand as whole words. Null texts and
     identifiers of items, and items without a letter or digit, match nothing; equal items count once, under the smallest identifier. Documents do not move; items reach the tasks in
-    blocks of bounded size, one pass over the documents for each. No documents or no items: no rows.
+    blocks of bounded size, one pass over the documents for each. ``item_id`` keeps its type. No documents or no items: no rows.
     """
     kept = docs.columns if carry is None else carry
     source = docs.select(packed(kept), F.col(f"`{doc_text}`").cast("string").alias("text"))
+    item_type = benchmark.schema[item_id].dataType
     schema = StructType([
-        source.schema["row"], StructField("item_id", LongType()), StructField("distance", LongType()),
+        source.schema["row"], StructField("item_id", item_type), StructField("distance", LongType()),
         StructField("budget", LongType()), StructField("end", LongType()),
     ])
 
-    def search(block: list[tuple[int, str]]):
+    kinds = [to_arrow_type(item_type), pa.int64(), pa.int64(), pa.int64()]
+
+    def search(block: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matches = _matcher(block, rate)
             for batch in batches:
@@ -191,18 +196,24 @@ def find_leaks(
                             owner.append(i)
                             found.append((block[number][0], *what))
                     if found:
-                        columns = [pa.array(c, pa.int64()) for c in zip(*found)]
+                        columns = [pa.array(c, kind) for c, kind in zip(zip(*found), kinds)]
                         yield pa.RecordBatch.from_arrays(
                             [batch.column(0).take(pa.array(owner, pa.int64())), *columns], names=schema.names
                         )
 
         return run
 
-    out = None
-    for block in _item_blocks(benchmark, item_id, item_text, block_chars):
-        part = source.mapInArrow(search(block), schema)
-        out = part if out is None else out.unionByName(part)
-    return source.sparkSession.createDataFrame([], schema) if out is None else out
+    found = None
+    blocks = _item_blocks(benchmark, item_id, item_text, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        part, block = source.mapInArrow(search(block), schema), next(blocks, None)
+        if found is None and block is None:
+            return part
+        # what each of several blocks finds is stored, so that the driver holds two blocks at most
+        part = materialize(part, "leaks")
+        found = part if found is None else found.unionByName(part)
+    return source.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -214,7 +225,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return kept
 
 
-def _without(docs: DataFrame, text: Column, block: list[tuple[int, str]], rate: float) -> DataFrame:
+def _without(docs: DataFrame, text: Column, block: list[tuple], rate: float) -> DataFrame:
     source = docs.select(packed(docs.columns), text.cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ CUT_WINDOW = 8
 
 #: Full stops, question and exclamation marks of Latin, Greek, CJK, Arabic, Indic, Armenian, Ethiopic, Burmese, Khmer, Tibetan and Mongolian.
 _STOPS = ".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff0e\uff61\uff01\uff1f\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u1368\u104b\u17d4\u17d5\u0f0d\u0f0e\u1803\u1809"
-_FRAGMENT = re.compile(rf"[^{_STOPS}\n]*[{_STOPS}]*\n?")
+_FRAGMENT = re.compile(rf"(?:[^\s{_STOPS}][^{_STOPS}\n]*[{_STOPS}]*|[{_STOPS}]+)")
 #: Letters of scripts that put no blanks between words (Thai, Lao, Tibetan, Burmese, Khmer, kana, Han); each counts as a word.
 _UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _ANY_UNSPACED = re.compile(f"[{_UNSPACED}]")
@@ -60,8 +60,6 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     for found in _FRAGMENT.finditer(text):
         part = found[0]
         words = _TOKEN.findall(part.lower()) if unspaced else part.lower().split()
-        if not words:
-            continue
         first, last = found.span()
         if len(words) > LONG_SENTENCE:
             tokens = list(_TOKEN.finditer(part)) if unspaced else list(_SPACED.finditer(part))
@@ -71,11 +69,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
                 out.append((first + tokens[begin].start(), first + tokens[end - 1].end(), words[begin:end]))
                 begin = end
         else:
-            if part[0].isspace():
-                first += len(part) - len(part.lstrip())
-            if part[-1].isspace():
-                last -= len(part) - len(part.rstrip())
-            out.append((first, last, words))
+            out.append((first, last - len(part) + len(part.rstrip()) if part[-1].isspace() else last, words))
     return out
 
 
@@ -105,36 +99,37 @@ def _runs(text: str, size: int, least: int) -> Iterator[tuple[bytes, int, int]]:
         yield xxhash.xxh3_128_digest(digests[16 * start : 16 * end]), found[start][0], found[end - 1][1]
 
 
-class _Heads:
-    """The first place seen of each run, for a bounded number of runs; every other place is known to be a later one."""
-
-    def __init__(self, most: int):
-        self.most, self.heads, self.out = most, {}, []
-
-    def add(self, key: bytes, place: tuple) -> None:
-        """``place`` is (no identifier, identifier, row, start, end), in the order that decides which comes first."""
-        head = self.heads.get(key)
-        if head is None:
-            self.heads[key] = place
-        elif place < head:
-            self.heads[key] = place
-            self.later(head)
-        else:
-            self.later(place)
-
-    def later(self, place: tuple) -> None:
-        # such a row only has to find its document: a key of its own spreads it
-        self.out.append((place[2], place[3], True, *place[1:]))
-
-    def full(self) -> bool:
-        return len(self.heads) + len(self.out) >= self.most
-
-    def drain(self) -> list[tuple]:
-        """(high, low, later, identifier, row, start, end) of what was seen since the last time."""
-        both = np.frombuffer(b"".join(self.heads), "<i8").reshape(-1, 2).tolist()
-        rows = self.out + [(high, low, False, *place[1:]) for (high, low), place in zip(both, self.heads.values())]
-        self.heads, self.out = {}, []
-        return rows
+class _Seen:
+    """Runs of a number of rows, and which of them are not the first place of theirs among these rows."""
+
+    def __init__(self) -> None:
+        self.rows, self.keys, self.owner, self.start, self.end = [], [], [], [], []
+
+    def add(self, identifier, uid: int, runs: Iterator[tuple[bytes, int, int]]) -> None:
+        before = len(self.keys)
+        for key, a, b in runs:
+            self.keys.append(key)
+            self.start.append(a)
+            self.end.append(b)
+        self.owner += [len(self.rows)] * (len(self.keys) - before)
+        self.rows.append((identifier is None, identifier, uid))
+
+    def columns(self, kind: pa.DataType) -> list[pa.Array]:
+        """high, low, later, identifier, row, start, end; a later place has its row and start for a hash, which spreads such rows."""
+        high, low = np.frombuffer(b"".join(self.keys), "<i8").reshape(-1, 2).T
+        owner, start = np.array(self.owner, np.int64), np.array(self.start, np.int64)
+        uid = np.array([row[2] for row in self.rows], np.int64)[owner]
+        rank = np.empty(len(self.rows), np.int64)
+        rank[sorted(range(len(self.rows)), key=self.rows.__getitem__)] = np.arange(len(self.rows))
+        order = np.lexsort((start, rank[owner], low, high))
+        same = (high[order][1:] == high[order][:-1]) & (low[order][1:] == low[order][:-1])
+        later = np.zeros(len(order), bool)
+        later[order[1:]] = same
+        ids = pa.array([row[1] for row in self.rows], kind).take(pa.array(owner))
+        return [
+            pa.array(np.where(later, uid, high)), pa.array(np.where(later, start, low)), pa.array(later), ids, pa.array(uid),
+            pa.array(start, pa.int32()), pa.array(self.end, pa.int32()),
+        ]
 
 
 def spans(
@@ -142,7 +137,7 @@ def spans(
 ) -> DataFrame:
     """``high, low, later, id, uid, start, end``: one row per run, with its 128-bit hash; ``uid`` numbers the rows of ``docs``.
 
-    A task compares the places of the same run among up to ``held`` rows; all but the first of them are ``later`` ones and
+    A task compares the places of the same run among about ``held`` runs; all but the first of them are ``later`` ones and
     no longer need the run's hash (they carry ``uid`` and ``start`` instead). So a run in most documents
     leaves a task a few times only, as with partial aggregation.
     """
@@ -156,23 +151,17 @@ def spans(
     ).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kind = _Heads(held), pa.int64()
-
-        def drained() -> pa.RecordBatch:
-            columns = list(zip(*seen.drain())) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), kind, pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
-
+        seen = _Seen()
         for batch in batches:
             kind = batch.column(0).type
             for begin, last, _, _ in byte_blocks(batch.column(2)):
-                block = batch.slice(begin, last - begin)
-                for i, uid, value in zip(*[c.to_pylist() for c in block.columns]):
-                    for key, a, b in _runs(value, size, least):
-                        seen.add(key, (i is None, i, uid, a, b))
-                        if seen.full():
-                            yield drained()
-        yield drained()
+                for i, uid, value in zip(*[c.to_pylist() for c in batch.slice(begin, last - begin).columns]):
+                    seen.add(i, uid, _runs(value, size, least))
+                    if len(seen.keys) >= held:
+                        yield pa.RecordBatch.from_arrays(seen.columns(kind), names=schema.names)
+                        seen = _Seen()
+        if seen.keys:
+            yield pa.RecordBatch.from_arrays(seen.columns(kind), names=schema.names)
 
     return source.mapInArrow(cut, schema)
 

@@ -28,6 +28,8 @@ def brute(docs, items, rate=0.08):
                 row = distances(item, text)
                 if row.min() <= budget(len(item), rate):
                     out.add((i, number, int(row.min())))
+            elif item and f" {item} " in f" {text} ":
+                out.add((i, number, 0))
     return out
 
 
@@ -98,3 +100,18 @@ def test_short_items_are_found_exactly(spark):
     found = find_leaks(sample(spark, texts), bench(spark, items)).collect()
     assert sorted((r["row"]["doc_id"], r["item_id"], r["distance"], r["budget"], r["end"]) for r in found) == [(0, 1, 0, 0, 31), (3, 2, 0, 0, 16), (5, 3, 0, 0, 4)]
     assert {r["doc_id"] for r in drop_leaks(sample(spark, texts), bench(spark, items)).collect()} == {1, 2, 4}
+
+
+def test_short_items_and_identifiers_of_any_type(spark):
+    rng = random.Random(8)
+    words = "what is the capital of france a an 42 日本 é".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    items = [(f"q{k}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 5)))) for k in range(25)] + [("empty", "?!"), ("none", None)]
+    unique = {normalised(t or ""): i for i, t in sorted(items, reverse=True)}
+    items = [(i, t) for i, t in items if unique.get(normalised(t or "")) == i]
+    named = spark.createDataFrame(items, "item_id string, text string")
+    for block in (10, 4_000_000):
+        found = find_leaks(sample(spark, texts), named, carry=["doc_id"], block_chars=block)
+        got = {(r["row"]["doc_id"], r["item_id"], r["distance"]) for r in found.collect()}
+        assert got == brute(list(enumerate(texts)), items) and len(got) > 50
+        assert {r["doc_id"] for r in drop_leaks(sample(spark, texts), named, block_chars=block).collect()} == set(range(120)) - {i for i, _, _ in got}

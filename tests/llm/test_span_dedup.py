@@ -8,15 +8,19 @@ from tabprep.llm.span_dedup import drop_repeats, repeated_stretches, sentences,
 
 def runs_of(found):
     """Places (first sentence, last) of the runs: for each start and for each end the shortest with 3 sentences and 15 words."""
-    n = len(found)
-    fits = lambda a, b: b - a >= 3 and sum(len(words) for _, _, words in found[a:b]) >= 15
-    out = set()
+    n, words, out = len(found), [0], set()
+    for _, _, w in found:
+        words.append(words[-1] + len(w))
     for a in range(n):
-        ends = [b for b in range(a + 1, n + 1) if fits(a, b)]
-        out |= {(a, min(ends))} if ends else set()
-    for b in range(1, n + 1):
-        starts = [a for a in range(b) if fits(a, b)]
-        out |= {(max(starts), b)} if starts else set()
+        for b in range(a + 3, n + 1):
+            if words[b] - words[a] >= 15:
+                out.add((a, b))
+                break
+    for b in range(3, n + 1):
+        for a in range(b - 3, -1, -1):
+            if words[b] - words[a] >= 15:
+                out.add((a, b))
+                break
     if not out and n >= 3:
         out = {(0, n)}
     return sorted(out)
