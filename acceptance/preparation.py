@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from acceptance.assignment import ASSIGN_SQL, technicians, tickets
-from acceptance.base import CLEANED_SQL, PARSED_SQL, corpus, query, table
+from acceptance.base import CLEANED_SQL, PARSED_SQL, cleaned_sql, corpus, query, table
+from acceptance.fixed import TEMPLATES
 from acceptance.rules import _J, jobs
+from acceptance.semantics import BEST_SQL, POS_SQL, classified_sql
 from tabprep.operators import clean as cl
 from tabprep.operators import evaluate as ev
 from tabprep.operators import forests as fr
@@ -363,7 +365,23 @@ def streamed_quality(spark, sf):
 
 
 # --- plans ------------------------------------------------------------------------------------------------
-@query("sheet_preview")
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{t}', {b}::DOUBLE)" for i, (t, _, b) in enumerate(TEMPLATES))
+_PREVIEW_SQL = f"""{cleaned_sql()}, catalogue AS (SELECT sheet_id, col_idx, header FROM kept), {classified_sql('catalogue')}, {BEST_SQL}, {POS_SQL},
+  geo AS (SELECT sheet_id, address_column IS NOT NULL AND NOT missing_required AS geo_ok FROM best JOIN pos USING (sheet_id, pos_column) UNION ALL
+    SELECT b.sheet_id, false FROM best b WHERE pos_column IS NULL),
+  shape AS (SELECT sheet_id, count(*) AS columns, count(DISTINCT header) AS anchors FROM catalogue GROUP BY 1),
+  rate AS (SELECT *, round(least(0.95, greatest(0.35, 0.12 + least(anchors, 3) * 0.08 + CASE WHEN columns >= 8 THEN 0.2 WHEN columns >= 4 THEN 0.1 ELSE 0.04 END)), 2)::DOUBLE AS sure FROM shape),
+  sig AS (SELECT sheet_id, CASE WHEN sure < 0.5 OR columns < 3 THEN 'MNAR' WHEN sure > 0.72 THEN 'MAR' ELSE 'MCAR' END AS signal FROM rate),
+  summ AS (SELECT sheet_id, avg(confidence) AS conf, count(*) FILTER (type IN ('date', 'number', 'text')) AS keys, count(DISTINCT type) AS types FROM classified GROUP BY 1),
+  tmpl(ord, tid, base) AS (VALUES {_TEMPLATE_ROWS}),
+  sug AS (SELECT sheet_id, tid, round(least(0.99, base + CASE WHEN keys >= 2 AND conf > 0.62 THEN 0.06 ELSE 0 END + CASE WHEN types >= 4 THEN 0.03 ELSE 0 END
+    - CASE WHEN conf < 0.45 THEN 0.08 ELSE 0 END), 3) AS score, ord FROM summ, tmpl),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, ord) AS k FROM sug),
+  dec AS (SELECT sheet_id, arg_min(tid, k) AS top_template, arg_min(score, k)::DOUBLE AS top_score, bool_and(score < 0.7) AS propose_new FROM placed GROUP BY 1)
+  SELECT sheet_id, pos_column, geo_ok, signal, top_template, top_score, propose_new FROM pos JOIN geo USING (sheet_id) JOIN sig USING (sheet_id) JOIN dec USING (sheet_id)"""
+
+
+@query("sheet_preview", _PREVIEW_SQL)
 def sheet_preview(spark, sf):
     from tabprep.plans.preview import preview
 
