@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -35,15 +36,22 @@ _SPACED = re.compile(r"\S+")
 _TOKEN = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def _cuts(words: list[str]) -> list[int]:
     """Ends of the pieces of a long sentence: after each word whose hash (with the word before) is the last smallest of
     some ``CUT_WINDOW`` consecutive ones. Whether a cut stands depends on no word further away than that."""
-    hashes = [xxhash.xxh32_intdigest(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(["", *words], words)]
+    hashes = [_word_hash(word) for word in words]
+    # of equal hashes the later one is smaller
+    values = [((x * 0x9E3779B1 ^ y * 0x85EBCA6B) & 0xFFFFFFFF) << 32 | 0xFFFFFFFF - i for i, (x, y) in enumerate(zip([0, *hashes], hashes))]
     out, least = [], -1
     for end in range(CUT_WINDOW, len(words) + 1):
         if least < end - CUT_WINDOW:
-            least = min(range(end - CUT_WINDOW, end), key=lambda i: (hashes[i], -i))
-        elif hashes[end - 1] <= hashes[least]:
+            least = values.index(min(values[end - CUT_WINDOW : end]), end - CUT_WINDOW)
+        elif values[end - 1] < values[least]:
             least = end - 1
         if not out or out[-1] != least + 1:
             out.append(least + 1)
