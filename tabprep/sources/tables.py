@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabprep.session import materialize
+
 HEADERS_DDL = "sheet_id string, col_idx int, header string"
 
 
@@ -31,7 +33,8 @@ def as_sheet(df: DataFrame, sheet_id: str | Column, row_idx: str | Column | None
              columns: Sequence[str] | None = None) -> Sheets:
     """View a table as sheet rows: every column cast to string.
 
-    ``row_idx`` is a column giving the source order; without it the scan position is used.
+    ``row_idx`` is a column giving the source order. Without it rows are numbered in the order they are scanned and stored
+    with their numbers, which a later scan might give otherwise.
     """
     columns = list(columns or df.columns)
     name = F.lit(sheet_id) if isinstance(sheet_id, str) else sheet_id
@@ -42,6 +45,8 @@ def as_sheet(df: DataFrame, sheet_id: str | Column, row_idx: str | Column | None
         index.cast("long").alias("row_idx"),
         F.array(*[F.col(c).cast("string") for c in columns]).alias("cells"),
     )
+    if row_idx is None:
+        rows = materialize(rows, "numbered")
     if isinstance(sheet_id, str):
         one = df.sparkSession.range(1)  # stays in the JVM, unlike a list sent from Python
         labels = F.array(*[F.lit(c) for c in columns])

@@ -12,6 +12,7 @@ from test_workbook import FIRST, write_xlsx
 from acceptance.workbook_files import _write
 from tabprep.operators.validate import file_checks
 from tabprep.sources import sheets as sh
+from tabprep.sources import tables as tb
 from tabprep.sources import workbook as wb
 
 TEXTS = ["plain", " two  blanks ", "a<b>&\"c'", "é 日本 😀", "line\nbreak\ttab", "bell\x07 nul\x00 cr\r", "_x0041_ stays", "_x", "￾", None, "x" * 70_000]
@@ -115,3 +116,10 @@ def test_damaged_is_not_empty(spark):
     )
     assert [r.reasons for r in file_checks(files, 10).orderBy("path").collect()] == [["file-damaged"], ["file-empty"], [], ["invalid-extension", "file-damaged"]]
     assert [r.reasons for r in file_checks(files.drop("error"), 10).orderBy("path").collect()][0] == ["file-empty"]
+
+
+def test_numbers_of_rows_without_an_order_stay(spark):
+    shuffled = spark.range(200).repartition(9).selectExpr("cast(rand() * 1000000 as int) AS a", "id AS b")
+    sheet = tb.as_sheet(shuffled, "s")
+    first, again = (rows(sheet.rows.select("row_idx", "cells"), "row_idx") for _ in range(2))
+    assert first == again and len({r[0] for r in first}) == 200
