@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabprep.llm.text import lower_ascii, packed
+from tabprep.session import scratch_path
 
 #: Hashed features, n-gram lengths and the probability from which a URL is blocked.
 FEATURES = 1 << 13
@@ -94,10 +95,15 @@ def _features(df: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked") -> LogisticRegressionModel:
-    """Fit on a small table of URLs (1 blocked, 0 allowed). Rows without a label teach nothing."""
+    """Fit on a small table of URLs (1 blocked, 0 allowed). Rows without a label teach nothing.
+
+    The model is stored and read again: a fresh one has a training summary that refers to the session, which tasks cannot carry.
+    """
     url = F.col(f"`{url_col}`")
     rows = labelled.select(F.col(f"`{label_col}`").cast("double").alias("label"), host_of(url).alias("host"), path_of(url).alias("path"))
-    return LogisticRegression(maxIter=ROUNDS, regParam=RIDGE, standardization=False).fit(_features(rows.dropna()).coalesce(1))
+    path = scratch_path(labelled.sparkSession, "url-model")
+    LogisticRegression(maxIter=ROUNDS, regParam=RIDGE, standardization=False).fit(_features(rows.dropna()).coalesce(1)).save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def judge(urls: DataFrame, model: LogisticRegressionModel, rules: list[Rule], url_col: str = "url") -> DataFrame:

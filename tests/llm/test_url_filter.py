@@ -2,6 +2,7 @@ import pytest
 
 from tabprep.llm.queries import QUERIES, URL_RULES
 from tabprep.llm.url_filter import Rule, judge, labelled_urls, train
+from tabprep.session import materialize_counted
 
 SF = "/root/testdata/sf0.01"
 
@@ -68,3 +69,10 @@ def test_no_python_in_the_plan(spark, model):
     df = spark.createDataFrame([("http://a.b/c",)], "url string")
     plan = judge(df, model, URL_RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_judging_after_rows_were_observed(spark, model):
+    """Once a session has counted rows while writing them, it can no longer travel to tasks; the model must not hold it."""
+    materialize_counted(spark.range(3))
+    df = spark.createDataFrame([("http://a.b/c",)], "url string")
+    assert judge(df, model, URL_RULES).count() == len(judge(df, train(labelled_urls(spark)), URL_RULES).collect()) == 1
