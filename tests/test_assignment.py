@@ -165,3 +165,13 @@ def test_best_by_history(spark):
 def test_identity(spark, people):
     found = asg.match_identity(spark.createDataFrame([("1 23",), ("000",), (None,)], "identity_document string"), people)
     assert sorted(((r.technician_id or ""), r.policy) for r in found.collect()) == [("", "REVIEW"), ("", "REVIEW"), ("ana", "AUTO_ASSIGN")]
+
+
+def test_tickets_of_a_pool_are_laid_out_together(spark):
+    """60 pools dealt over the tickets in turn, a third of which are of one: a task meets few, the large one meets many tasks."""
+    decided = spark.range(9_000).selectExpr("cast(id AS string) AS ticket_id", "if(id % 3 = 0, 'p', concat('p', id % 60)) AS pool_id", "repeat('x', 10) AS note")
+    laid = asg.by_pool(decided, 30)
+    met = laid.groupBy(F.spark_partition_id().alias("task"), "pool_id").count().collect()
+    assert sum(r["count"] for r in met) == 9_000 and len(met) <= 41 + 30
+    assert len({r.task for r in met if r.pool_id == "p"}) >= 8
+    assert sorted(tuple(r) for r in laid.collect()) == sorted(tuple(r) for r in decided.collect())
