@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -91,10 +92,16 @@ def bootstrap_mean(df: DataFrame, key: str, value: str, replicates: int = 200, l
     Every row draws its weight in every replicate from a hash, so rows never move: only one sum
     per replicate and task is shuffled.
     """
-    u = stable_unit(F.col(key), F.col("_r"), seed=seed)
-    weight = sum((u >= s).cast("int") for s in POISSON_STEPS)
-    drawn = df.filter(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_r"))
-    means = drawn.withColumn("_w", weight).groupBy("_r").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m"))
+    # ``stable_unit`` is 13 hex digits over 16 ** 13, which compare like numbers; of the hashed text, what belongs to the
+    # row and what belongs to the replicate are made once each
+    row, ends = F.concat_ws(":", F.col(key).cast("string"), F.lit("")), F.array(*[F.lit(f"{r}:{seed}") for r in range(1, replicates + 1)])
+    digits = F.substring(F.md5(F.concat("_row", "_end")), 1, 13)
+    weight = F.lit(len(POISSON_STEPS))
+    for k, s in reversed(list(enumerate(POISSON_STEPS))):
+        weight = F.when(F.col("_u") < f"{math.ceil(s * 16**13):013x}", F.lit(k)).otherwise(weight)
+    drawn = df.filter(F.col(value).isNotNull()).select(row.alias("_row"), F.col(value)).select("*", F.posexplode(ends).alias("_r", "_end"))
+    weighed = drawn.withColumn("_u", digits).withColumn("_w", weight)
+    means = weighed.groupBy("_r").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m"))
     tail = (1 - level) / 2
     # ``replicates`` rows are left
     return means.agg(

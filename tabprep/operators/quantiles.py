@@ -22,7 +22,6 @@ ACCURACY = 10_000
 MOST_RANKED = 65_536
 CELLS = 512
 _MARGIN = 5 / ACCURACY
-_STRIDE = 23
 
 
 def order_statistics(
@@ -121,9 +120,8 @@ def _one_cell(inside: DataFrame, state: DataFrame, keys: list[str], most: int) -
     large = state.filter(F.col("_size") > most).select(*spot)
     grid = [i / CELLS for i in range(1, CELLS)]
     cuts = attach(inside, large, spot, how="inner").groupBy(*spot).agg(F.percentile_approx("v", grid, ACCURACY).alias("_g"))
-    cuts = materialize(_with_coarse(cuts.withColumn("_g", F.array_sort(F.array_distinct("_g")))), "cuts")
-    slotted = attach(inside, cuts, spot, stored=True).withColumn("_slot", F.coalesce(_cuts_below("_g", "_coarse", F.col("v")), F.lit(0)))
-    slotted = slotted.drop("_g", "_coarse")
+    cuts = materialize(cuts.withColumn("_g", F.array_sort(F.array_distinct("_g"))), "cuts")
+    slotted = _with_slot(attach(inside, cuts, spot, stored=True), "_g", "v").drop("_g")
     mass = slotted.groupBy(*spot, "_slot").agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_values"))
     mass = attach(mass, state.drop("_size"), spot, how="inner", stored=True)
     upto = F.sum("_c").over(Window.partitionBy(*spot).orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -144,10 +142,8 @@ def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float])
     """Brackets for weighted values: the rank mass of a grid of sketched cut points is summed exactly."""
     grid = [i / CELLS for i in range(CELLS + 1)]
     cuts = present.groupBy(*keys).agg(F.percentile_approx("_x", grid, ACCURACY).alias("_g"))
-    cuts = materialize(_with_coarse(cuts.select(*keys, F.array_sort(F.array_distinct("_g")).alias("_g"))), "grid")
-    slotted = attach(present, cuts, keys, how="inner", stored=True).select(
-        *keys, "_w", _cuts_below("_g", "_coarse", F.col("_x")).alias("_slot")
-    )
+    cuts = materialize(cuts.select(*keys, F.array_sort(F.array_distinct("_g")).alias("_g")), "grid")
+    slotted = _with_slot(attach(present, cuts, keys, how="inner", stored=True), "_g", "_x").select(*keys, "_w", "_slot")
     mass = slotted.groupBy(*keys, "_slot").agg(F.sum("_w").alias("_c"))
     whole = Window.partitionBy(*keys)
     upto = mass.withColumn("_upto", F.sum("_c").over(whole.orderBy("_slot"))).withColumn(
@@ -161,7 +157,7 @@ def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float])
         *[slot_of(F.ceil(s)).alias(f"_b{i}") for i, s in enumerate(spots)],
     )
     edge = lambda i: F.when(i < 0, float("-inf")).otherwise(F.coalesce(F.get("_g", i), F.lit(float("inf"))))
-    return wanted.join(cuts.drop("_coarse"), keys).select(
+    return wanted.join(cuts, keys).select(
         *keys,
         "_n",
         F.array(
@@ -175,14 +171,13 @@ def _weighted_brackets(present: DataFrame, keys: list[str], probs: list[float])
     )
 
 
-def _with_coarse(cuts: DataFrame) -> DataFrame:
-    return cuts.withColumn("_coarse", F.filter("_g", lambda g, i: i % _STRIDE == _STRIDE - 1))
-
-
-def _cuts_below(cuts: str, coarse: str, x: Column) -> Column:
-    """How many sorted cuts lie below ``x``: a look at every 23rd cut, then at one stretch."""
-    skipped = F.size(F.filter(coarse, lambda g: g < x)) * _STRIDE
-    return skipped + F.size(F.filter(F.slice(cuts, skipped + 1, F.lit(_STRIDE)), lambda g: g < x))
+def _with_slot(df: DataFrame, cuts: str, x: str, out: str = "_slot") -> DataFrame:
+    """Add how many of at most 2 * ``CELLS`` - 1 sorted cuts lie below ``x``, found by halving; 0 without cuts."""
+    df, step = df.withColumn(out, F.lit(0)), CELLS
+    while step:
+        higher = F.get(cuts, F.col(out) + F.lit(step - 1)) < F.col(x)
+        df, step = df.withColumn(out, F.col(out) + F.when(higher, step).otherwise(0)), step // 2
+    return df
 
 
 def linear(low: Column, high: Column, fraction: Column) -> Column:

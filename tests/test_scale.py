@@ -175,3 +175,30 @@ def test_numeric_preparation_matches_numpy(spark):
 def test_constant_column_scales_to_zero(spark):
     df = spark.createDataFrame([("s", i, 0, 4.0) for i in range(5)], "sheet_id string, row_idx long, col_idx int, number double")
     assert {r.value for r in prepare_numbers(df, numeric_parameters(df)).collect()} == {0.0}
+
+
+def test_slots_by_halving(spark):
+    from bisect import bisect_left
+
+    from tabprep.operators.quantiles import CELLS, _with_slot
+
+    for cuts in ([], [0.0], [float(i) for i in range(CELLS + 1)], [float("-inf"), -1.5, 2.0, float("inf"), float("nan")]):
+        xs = [-2.0, -1.5, 0.0, 0.5, 2.0, 255.5, 511.0, 512.0, 600.0, float("-inf")]
+        df = spark.createDataFrame([(x, cuts) for x in xs], "x double, cuts array<double>")
+        found = {r.x: r._slot for r in _with_slot(df, "cuts", "x").collect()}
+        assert found == {x: bisect_left([c for c in cuts if c == c], x) for x in xs}
+
+
+def test_bootstrap_weights_are_those_of_the_stable_unit(spark):
+    """One replicate's mean by the definition: the number of Poisson steps that the row's unit reaches."""
+    from hashlib import md5
+
+    from tabprep.operators.evaluate import POISSON_STEPS, bootstrap_mean
+
+    data = [(None if i % 97 == 0 else i, None if i % 31 == 5 else float(i * i % 1009)) for i in range(400)]
+    got = bootstrap_mean(spark.createDataFrame(data, "k long, x double"), "k", "x", replicates=3, seed=5).first()
+    means = []
+    for r in (1, 2, 3):
+        drawn = [(x, sum(int(md5((f"{r}:5" if k is None else f"{k}:{r}:5").encode()).hexdigest()[:13], 16) / 16**13 >= s for s in POISSON_STEPS)) for k, x in data if x is not None]
+        means.append(sum(w * x for x, w in drawn) / sum(w for _, w in drawn))
+    assert abs(got["mean"] - sum(means) / 3) < 1e-9 and min(means) <= got.low <= got.high <= max(means)
