@@ -29,7 +29,13 @@ _ACCENTED, _PLAIN = _accent_table()
 
 def strip(value: Column) -> Column:
     """Remove Unicode white space from both ends."""
-    return F.trim(value, F.lit(WHITESPACE))
+    return F.when(_tight(value), value).otherwise(F.trim(value, F.lit(WHITESPACE)))
+
+
+def _tight(value: Column) -> Column:
+    """Whether a text begins and ends with a visible ASCII character, told without a look at what lies between."""
+    last = F.substring(value.cast("binary"), -1, 1)
+    return F.ascii(value).between(33, 126) & last.between(F.lit(b"!"), F.lit(b"~"))
 
 
 def blank_to_null(value: Column) -> Column:
@@ -37,7 +43,7 @@ def blank_to_null(value: Column) -> Column:
 
 
 def clean_cell(value: Column) -> Column:
-    return blank_to_null(strip(value))
+    return F.when(_tight(value), value).otherwise(blank_to_null(F.trim(value, F.lit(WHITESPACE))))
 
 
 def strip_accents(value: Column) -> Column:

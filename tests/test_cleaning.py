@@ -105,3 +105,33 @@ def test_cells_round_trip(spark):
     s = sheet(spark, ["a", "b"], [["1", None], ["2", "x"]])
     back = tb.from_cells(tb.to_cells(s), s.headers)
     assert rows(back.rows, "row_idx") == rows(s.rows, "row_idx")
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    """Texts with visible ends are taken as they are; any other end still goes through the full list of white space."""
+    from tabprep.functions.text import _tight, clean_cell, strip
+
+    texts = ["a", " a", "a\x1f", "　a b\xa0", "é", "é ", "~!", "\x7fa", "", "  ", "a b", "1\n", "\ta é", "a\x85", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", strip(F.col("t")).alias("s"), clean_cell(F.col("t")).alias("c"), _tight(F.col("t")).alias("tight")).collect()
+    assert [(r.s, r.c) for r in got] == [(t, None) if t is None else (t.strip(), t.strip() or None) for t in texts]
+    assert [r.t for r in got if r.tight] == ["a", "~!", "a b"]
+
+
+def test_guards_before_patterns_change_nothing(spark):
+    from tabprep.functions import parse as ps
+
+    texts = [
+        "1", "-1.5", "+.5", ".5", "/5", ",5", "1e5", "1-2-2024", "31/12/2024", "12/31/2024", "2024-1-2", "2024-01-02T03:04:05.123456789Z", "2024-01-02 23:59", "123/1/2024",
+        "1/2/2024 9:05", "12d", "x1", "TRUE", "Sí", "no", "falsely", "a text that is long", "2024-13-40", "9" * 60, "", "é", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain_day = F.when(t.rlike(ps.ISO_DATE), F.regexp_extract(t, r"^\d{4}-\d{1,2}-\d{1,2}", 0).try_cast("date")).when(
+        t.rlike(ps.LOCAL_DATE), F.coalesce(ps._ordered_date(t, "$3-$2-$1"), ps._ordered_date(t, "$3-$1-$2"))
+    )
+    plain = [F.when(t.rlike(ps.NUMBER), t.try_cast("double")), plain_day, F.lower(t).isin(ps.TRUE_WORDS + ps.FALSE_WORDS)]
+    got = df.select(ps.as_number(t), ps.as_day(t), ps.is_boolean(t)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in df.select(*plain).collect()]
+    epochs = [r[0] for r in df.filter("t like '2024-01-02%' or t like '%9:05'").select(ps.as_epoch(t)).collect()]
+    assert epochs == [1704164645.123456789, 1704239940.0, 1706778300.0]
