@@ -27,9 +27,11 @@ class Run:
 
         ``outcome`` is skipped (an error row), blocked (its job failed) or ticket; equal rows of a job share one.
         """
-        hashed = rows.withColumn("row_hash", F.when(F.col("status") != "ERROR", jb.row_hash(content)))
-        made = attach(hashed, self.tickets.select("job_id", "row_hash", "ticket_id"), ["job_id", "row_hash"])
-        decided = attach(made, self.decisions.select("ticket_id", "technician_id", "strategy"), ["ticket_id"])
+        # tickets and decisions meet first, so the rows move once, with what is shown and half as wide a hash
+        known = F.when(F.col("status") != "ERROR", F.unhex(jb.row_hash(content)))
+        hashed = rows.select("job_id", "row_idx", "status", known.alias("_hash"))
+        made = self.tickets.select("job_id", F.unhex("row_hash").alias("_hash"), "ticket_id")
+        decided = attach(hashed, attach(made, self.decisions.select("ticket_id", "technician_id", "strategy"), ["ticket_id"]), ["job_id", "_hash"])
         outcome = F.when(F.col("status") == "ERROR", "skipped").when(F.col("ticket_id").isNull(), "blocked").otherwise("ticket")
         return decided.select("job_id", "row_idx", outcome.alias("outcome"), "ticket_id", "technician_id", "strategy")
 
