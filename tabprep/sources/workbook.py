@@ -29,6 +29,8 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
+#: Rows that a task puts together from their cells.
+ROWS_PER_TASK = 500_000
 
 CELLS_DDL = (
     "path string, sheet_ord int, sheet string, row_idx long, col_idx int, value string, "
@@ -80,6 +82,10 @@ def workbook_sheets(cells: DataFrame, missing: Sequence[str] = MISSING_TEXTS) ->
         "sheet_id", F.explode(F.sequence("_first", "_last")).alias("row_idx"), F.lit(None).cast("int").alias("col_idx"), F.lit(None).cast("string").alias("value")
     )
     placed = attach(named.unionByName(skeleton), extent.drop("_last"), ["sheet_id"], how="inner", stored=True)
+    # moved before they are grouped: cells compress so well that a task that reads files may meet any number of rows
+    rows = extent.agg(F.sum(F.col("_last") - F.col("_first") + 1)).first()[0] or 0
+    tasks = max(extent.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    placed = placed.repartition(tasks, "sheet_id", "row_idx")
     packed = placed.groupBy("sheet_id", "row_idx", "_first", "_width").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("col_idx").isNotNull(), F.struct("col_idx", "value")))).alias("_m")
     )
@@ -187,8 +193,10 @@ def sheet_records(book: Book, order: int) -> Iterator[tuple]:
         while coming and coming[0] <= row_idx:
             active.append(coming)
             coming = next(ranges, None)
-        active = [m for m in active if row_idx <= m[2]]
-        inside = next((m[4] for m in active if m[1] <= col_idx <= m[3]), None)
+        inside = None
+        if active:
+            active = [m for m in active if row_idx <= m[2]]
+            inside = next((m[4] for m in active if m[1] <= col_idx <= m[3]), None)
         look = book.looks[int(style)] if style is not None and int(style) < len(book.looks) else _PLAIN
         yield order, name, row_idx, col_idx, value, formula, style, inside, *look
     if empty:
@@ -279,17 +287,18 @@ def _merged_ranges(archive: zipfile.ZipFile, part: str) -> list[tuple]:
 
 
 def _children(stream, tag: str) -> Iterator[ElementTree.Element]:
-    """Elements of one kind as they are completed; what was given out or belongs to no such element is let go."""
-    open_nodes: list[ElementTree.Element] = []
-    for event, node in ElementTree.iterparse(stream, events=("start", "end")):
-        if event == "start":
-            open_nodes.append(node)
-            continue
-        open_nodes.pop()
-        if node.tag == tag:
+    """Elements of one kind as they are completed; what was given out or is a row is emptied.
+
+    Only ends are told, as each event costs as much as a cell: an empty element stays for every row, some 80 bytes.
+    """
+    row = f"{_NS}row"
+    for _, node in ElementTree.iterparse(stream, events=("end",)):
+        kind = node.tag
+        if kind == tag:
             yield node
-        if open_nodes and (node.tag == tag or node.tag == f"{_NS}row"):
-            open_nodes[-1].clear()
+            node.clear()
+        elif kind == row:
+            node.clear()
 
 
 def _sheet_cells(book: Book, part: str, dates: set[int]) -> Iterator[tuple]:

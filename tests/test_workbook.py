@@ -78,3 +78,41 @@ def test_workbooks_become_sheets(spark, folder):
     index = wb.workbook_index(cells)
     moved = {r.workbook_id.rsplit("/")[-1]: r for r in tb.navigation(index).collect()}
     assert moved["b.xlsx"].next.endswith("#Vacía") and moved["A.XLSM"].next is None
+
+
+def test_rows_are_let_go_once_read(tmp_path):
+    """Of 50,000 rows only empty elements stay while a sheet is read, and each row is told by its end alone."""
+    import io
+    import tracemalloc
+
+    from tabprep.sources import workbook as wb
+
+    told = []
+    real = wb.ElementTree.iterparse
+    body = "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c><c r="B{i}" t="inlineStr"><is><t>{"x" * 200}</t></is></c></row>' for i in range(1, 50_001))
+    part = f'<worksheet xmlns="{wb._NS[1:-1]}"><sheetData>{body}</sheetData></worksheet>'.encode()
+    wb.ElementTree.iterparse = lambda stream, events: told.append(events) or real(stream, events)
+    try:
+        tracemalloc.start()
+        rows = sum(len(list(row)) for row in wb._children(io.BytesIO(part), f"{wb._NS}row"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        wb.ElementTree.iterparse = real
+    assert rows == 100_000 and told == [("end",)] and peak < 12 << 20
+
+
+def test_rows_are_grouped_after_they_moved(spark, monkeypatch):
+    """The task that reads cells holds no row; those that put rows together meet so many at most."""
+    from pyspark.sql import functions as F
+
+    from tabprep.sources import workbook as wb
+
+    monkeypatch.setattr(wb, "ROWS_PER_TASK", 100)
+    cells = spark.range(8_000).selectExpr(
+        "'p' AS path", "'s' AS sheet", "id div 4 AS row_idx", "cast(id % 4 AS int) AS col_idx", "cast(id AS string) AS value", "cast(null AS string) AS error"
+    )
+    rows = wb.workbook_sheets(cells).rows
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_999 and len(sizes) == 20 and max(sizes) < 200
+    assert rows.filter("row_idx = 7").first().cells == ["32", "33", "34", "35"]
