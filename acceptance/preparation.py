@@ -277,12 +277,16 @@ def decimal_comma_normalization(spark, sf):
 
 
 # --- streams --------------------------------------------------------------------------------------------
-def _as_stream(df, files: int, order: str):
-    """The whole table written as ``files`` parts in order and read back as a stream, one per batch."""
+def _as_stream(df, batches: int, order: str):
+    """The whole table written in order and read back as a stream of ``batches`` batches.
+
+    Every core writes and reads a file of each batch, however large the table; rows of one place are dealt over files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "arrivals")
-    df.repartitionByRange(files, order).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = spark.sparkContext.defaultParallelism
+    df.repartitionByRange(batches * files, F.col(order), F.xxhash64(*df.columns)).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _in_time_order(df, ts: str, parts: int):

@@ -11,7 +11,10 @@ from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -108,7 +111,16 @@ class BatchLog(StreamingQueryListener):
 
 #: Groups that the numbering of one job is spread over.
 JOB_SLOTS = 16
-_FRESH = "job_id string, slot int, row_idx long, row_hash string, earlier long"
+#: New rows of one group that meet its counter as one row. A batch of 10,000 of those then holds some 50 MB.
+PACK_ROWS = 64
+#: The store of known rows. It does not count its rows, which would read each key once more before it is written.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+#: Hex digits of a row's hash; its ``row_idx`` follows them in a pack.
+_DIGITS = 64
+_PACKED = "job_id string, slot int, rows string, n long, earlier long"
 
 
 def ticket_stream(
@@ -118,64 +130,86 @@ def ticket_stream(
 
     Nothing that was written is read again. Spark's state store knows every row of every job by its hash, so a row that
     came before is dropped where its hash belongs and a large job is spread like a small one. It also counts the
-    tickets of each job in ``slots`` groups. Every job of a batch asks all its groups, whose sum is the number that its new
-    tickets continue; they are numbered in row order by a range sort. Of equal rows of one batch any may give the
-    ticket its ``row_idx``; rows without a job make none. The state grows with the distinct rows; it is kept in RocksDB, which needs no memory for it.
+    tickets of each job in ``slots`` groups; new rows pass the counters in packs of up to ``PACK_ROWS``, as only their number
+    counts there. Every job of a batch asks all its groups, whose sum is the number that its new tickets continue; they are
+    numbered in row order by a range sort. Of equal rows of one batch any may give the ticket its ``row_idx``; rows without
+    a job make none. The state grows with the distinct rows; it is kept in RocksDB, which needs no memory for it.
     """
     spark = rows.sparkSession
     hashed = rows.filter(F.col("job_id").isNotNull()).select(F.col("job_id").cast("string").alias("job_id"), F.col("row_idx").cast("long").alias("row_idx"), row_hash(content).alias("row_hash"))
-    fresh = hashed.dropDuplicates(["job_id", "row_hash"]).withColumns(
-        {"slot": F.pmod(F.xxhash64("row_hash"), F.lit(slots)).cast("int"), "earlier": F.lit(None).cast("long")}
+    fresh = hashed.dropDuplicates(["job_id", "row_hash"]).select(
+        "job_id", F.pmod(F.xxhash64("row_hash"), F.lit(slots)).cast("int").alias("slot"), F.concat("row_hash", F.coalesce(F.col("row_idx").cast("string"), F.lit(""))).alias("row")
     )
-    asked = fresh.select(*[part.split()[0] for part in _FRESH.split(", ")]).mapInPandas(_with_questions(slots), _FRESH)
-    counted = asked.groupBy("job_id", "slot").transformWithStateInPandas(TicketCounter(), _FRESH, "Append", "None")
+    packed = fresh.mapInArrow(_packs(slots), _PACKED)
+    counted = packed.groupBy("job_id", "slot").transformWithStateInPandas(TicketCounter(), _PACKED, "Append", "None")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         used = batch.filter("earlier IS NOT NULL").groupBy("job_id").agg(F.sum("earlier").alias("_used"))
-        numbered = attach(positions(batch.filter("earlier IS NULL").drop("slot", "earlier"), ["job_id"], ["row_idx", "row_hash"], out="_n"), used, ["job_id"])
+        new = batch.filter("rows IS NOT NULL").select("job_id", F.explode(F.split("rows", ",")).alias("_row")).select(
+            "job_id", F.nullif(F.substr("_row", F.lit(_DIGITS + 1)), F.lit("")).cast("long").alias("row_idx"), F.substring("_row", 1, _DIGITS).alias("row_hash")
+        )
+        numbered = attach(positions(new, ["job_id"], ["row_idx", "row_hash"], out="_n"), used, ["job_id"])
         number = F.col("_n") + 1 + F.col("_used")
         tickets = numbered.select(
             F.concat("job_id", F.lit("-ticket-"), number.cast("string")).alias("ticket_id"), "job_id", number.cast("long").alias("ticket_no"), "row_idx", "row_hash"
         )
         tickets.write.mode("overwrite").parquet(f"{tickets_path}/batch_id={batch_id}")
 
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+    with _settings(spark, STATE_STORE):
         return _start(counted, handle, "append", checkpoint, every)
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A setting that a query takes over when it starts."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that a query takes over when it starts."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
-def _with_questions(slots: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows, and once per job and task a row without hash for each of the job's groups."""
+def _packs(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of one group joined by commas, ``PACK_ROWS`` at most, and once per job and task an empty row for each of the job's groups."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: set[str] = set()
         for batch in batches:
-            yield batch
-            jobs = [job for job in batch["job_id"].unique() if job not in asked]
+            if not batch.num_rows:
+                continue
+            job_id, slot, row = batch.columns
+            coded = job_id.dictionary_encode()
+            group = coded.indices.to_numpy().astype("int64") * slots + slot.to_numpy()
+            order = np.argsort(group, kind="stable")
+            group = group[order]
+            begins = np.flatnonzero(np.diff(group, prepend=-1))
+            place = np.arange(len(group)) - np.repeat(begins, np.diff(begins, append=len(group)))
+            cuts = np.append(np.flatnonzero(place % PACK_ROWS == 0), len(group))
+            first = order[cuts[:-1]]
+            rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, "int32"), row.take(order)), ",")
+            yield _packed_batch(job_id.take(first), slot.take(first), rows, np.diff(cuts))
+            jobs = [job for job in coded.dictionary.to_pylist() if job not in asked]
             asked.update(jobs)
             if jobs:
-                yield pd.DataFrame({
-                    "job_id": [job for job in jobs for _ in range(slots)], "slot": [*range(slots)] * len(jobs), "row_idx": None, "row_hash": None, "earlier": None,
-                }).astype({"slot": "int32", "row_idx": "Int64", "earlier": "Int64"})
+                empty = len(jobs) * slots
+                questions = pa.array([job for job in jobs for _ in range(slots)], job_id.type)
+                yield _packed_batch(questions, pa.array([*range(slots)] * len(jobs), "int32"), pa.nulls(empty, row.type), np.zeros(empty, "int64"))
 
     return run
 
 
+def _packed_batch(job_id: pa.Array, slot: pa.Array, rows: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([job_id, slot, rows, pa.array(n, "int64"), pa.nulls(len(n), "int64")], names=[part.split()[0] for part in _PACKED.split(", ")])
+
+
 class TicketCounter(StatefulProcessor):
-    """Counts the tickets of one group of a job; passes new rows on and answers once with the number before them."""
+    """Counts the tickets of one group of a job; passes packs of new rows on and answers once with the number before them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("tickets", "n long")
@@ -184,12 +218,12 @@ class TicketCounter(StatefulProcessor):
         earlier = self.count.get()[0] if self.count.exists() else 0
         new = 0
         for part in rows:
-            fresh = part[part["row_hash"].notna()]
-            new += len(fresh)
-            if len(fresh):
-                yield fresh.astype({"row_idx": "Int64", "earlier": "Int64"})
-        answer = pd.DataFrame({"job_id": [key[0]], "slot": [int(key[1])], "row_idx": [None], "row_hash": [None], "earlier": [earlier]})
-        yield answer.astype({"slot": "int32", "row_idx": "Int64", "earlier": "Int64"})
+            packs = part[part["rows"].notna()]
+            if len(packs):
+                new += int(packs["n"].sum())
+                yield packs.astype({"earlier": "Int64"})
+        answer = pd.DataFrame({"job_id": [key[0]], "slot": [int(key[1])], "rows": [None], "n": [0], "earlier": [earlier]})
+        yield answer.astype({"slot": "int32", "earlier": "Int64"})
         if new:
             self.count.update((earlier + new,))
 

@@ -3,6 +3,8 @@
 import os
 from urllib.parse import urlsplit
 
+import pyarrow as pa
+from acceptance.preparation import _as_stream
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -96,6 +98,33 @@ def test_numbers_follow_the_rows_and_no_output_is_read(spark):
     assert "StreamingDeduplicate" in plan and "TransformWithState" in plan and out not in plan
 
 
+def test_rows_meet_the_counter_in_packs():
+    jobs, slots = ["a", "b"] * 500, [i % 3 for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(jobs), pa.array(slots, "int32"), pa.array([f"r{i}" for i in range(1000)])], names=["job_id", "slot", "row"])
+    packs = pa.Table.from_batches(list(sm._packs(3)(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))).to_pylist()
+    held = [(p["job_id"], p["slot"], row) for p in packs if p["rows"] for row in p["rows"].split(",")]
+    assert sorted(held) == sorted([*zip(jobs, slots, (f"r{i}" for i in range(1000)), strict=True), ("a", 0, "r0")])
+    assert len(held) > 20 * sum(p["rows"] is not None for p in packs) and all(p["n"] == len((p["rows"] or "").split(",")) <= sm.PACK_ROWS for p in packs if p["rows"])
+    assert sorted((p["job_id"], p["slot"], p["n"]) for p in packs if p["rows"] is None) == [(j, s, 0) for j in "ab" for s in range(3)]
+
+
+def test_tickets_of_rows_without_place(spark):
+    df = spark.createDataFrame([("j", None, "x"), ("j", -3, "y,z"), ("j", 2**62, "w"), ("k", None, None)], "job_id string, row_idx long, v string")
+    out = scratch_path(spark, "out")
+    finish(sm.ticket_stream(arrivals(spark, df, 1), ["v"], out))
+    got = rows(spark.read.parquet(out).select("job_id", "ticket_no", "row_idx"), "job_id", "ticket_no")
+    assert got == [("j", 1, None), ("j", 2, -3), ("j", 3, 2**62), ("k", 1, None)]
+
+
+def test_every_core_reads_a_file_of_each_batch(spark):
+    stream = _as_stream(spark.range(4000).selectExpr("id", "id % 2 as place"), 3, "place")
+    seen = []
+    finish(stream.writeStream.foreachBatch(lambda b, _: seen.append((b.count(), b.select(F.input_file_name()).distinct().count()))).option(
+        "checkpointLocation", scratch_path(spark, "cp")).trigger(availableNow=True).start())
+    assert len(seen) == 3 and sum(n for n, _ in seen) == 4000
+    assert all(files > spark.sparkContext.defaultParallelism // 2 for _, files in seen)
+
+
 def test_job_state(spark):
     log = spark.createDataFrame([("a", i, "S" + str(i), None if i % 2 else str(i)) for i in range(9)], "job_id string, ts int, status string, stats string")
     out = scratch_path(spark, "out")
