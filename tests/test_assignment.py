@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from acceptance.assignment import tickets as order_tickets
 from pyspark.sql import functions as F
 
 from tabprep.operators import assign as asg
@@ -90,6 +91,37 @@ def test_one_project_holding_most_tickets(spark, people):
     assert per == {"ana": 13_333, "camila": 6_667}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tickets_are_hashed_to_demands(spark, people):
+    """Tickets are neither sorted nor keyed one by one: only their wordings are."""
+    seldom, usual = ("project-1", "", ["post-service", None, "batch-handling"], "P2"), ("project-1", None, ["batch-handling", "post-service", "post-service"], "P2")
+    others = [("project-2", None, [], None), (None, None, None, "P1")]
+    asked = tickets(spark, *[(f"t{i}", *d) for i, d in enumerate([seldom, usual, usual, usual, *others])])
+    found = asg.demands(asked)
+    assert plan(found).rindex("HashAggregate") > plan(found).rindex("Sort") and "lambda" not in plan(found)
+    assert sorted((tuple(r) for r in found.drop("demand").collect()), key=str) == sorted([usual, *others], key=str)
+    decided = {r.ticket_id: (r.technician_id, r.strategy) for r in asg.assign(asked, people).collect()}
+    assert decided["t1"] == decided["t2"] == decided["t3"] == ("ana", "ml-ranking") and len(decided) == 6
+
+
+def test_skills_of_tickets_without_lambdas(spark, tmp_path):
+    made = {
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string", [(1, 1, "O", 3e5, "1-URGENT"), (2, 1, "F", None, None), (3, 2, None, 3e5, "5-LOW"), (4, 2, "P", 1.0, "2-HIGH"), (4, 2, "P", 1.0, "2-HIGH")]),
+        "customer": ("c_custkey long, c_nationkey int, c_mktsegment string", [(1, 1, "BUILDING"), (2, 1, None)]),
+        "nation": ("n_nationkey int, n_regionkey int", [(1, 1)]),
+        "region": ("r_regionkey int, r_name string", [(1, "ASIA")]),
+    }
+    for name, (schema, data) in made.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked = order_tickets(spark, str(tmp_path))
+    assert "lambda" not in plan(asked)
+    skills = sorted((r.ticket_id, tuple(r.required_skills), r.region) for r in asked.collect())
+    assert skills == [("1", ("batch-handling", "install"), "ASIA"), ("2", ("install",), None), ("3", ("batch-handling",), None), ("4", (), "ASIA"), ("4", (), "ASIA")]
+
+
 def _random_sides(spark, seed, n, hot):
     """Demands and technicians; ``hot`` of both belong to one project."""
     pick = random.Random(seed)
