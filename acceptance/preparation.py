@@ -14,7 +14,7 @@ from tabprep.operators import profile as pf
 from tabprep.operators import structure as st
 from tabprep.operators import tables as tl
 from tabprep.operators.scale import equal_share_bucket
-from tabprep.session import materialize, scratch_path
+from tabprep.session import FREE_SHUFFLES, materialize, scratch_path, settings
 from tabprep.sources.tables import as_sheet, union_sheets
 from tabprep.streaming import streams as sm
 
@@ -285,7 +285,8 @@ def _as_stream(df, batches: int, order: str):
     spark = df.sparkSession
     path = scratch_path(spark, "arrivals")
     files = spark.sparkContext.defaultParallelism
-    df.repartitionByRange(batches * files, F.col(order), F.xxhash64(*df.columns)).write.parquet(path)
+    with settings(spark, FREE_SHUFFLES):
+        df.repartitionByRange(batches * files, F.col(order), F.xxhash64(*df.columns)).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 

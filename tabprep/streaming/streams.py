@@ -9,7 +9,6 @@ from __future__ import annotations
 import threading
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from tabprep.operators.assign import RANKER_FAILED, assign, assignment_metrics, directory, needs_classes
 from tabprep.operators.jobs import fold_updates, row_hash
 from tabprep.operators.scale import attach, positions
-from tabprep.session import scratch_path, scratch_scope
+from tabprep.session import FREE_SHUFFLES, scratch_path, scratch_scope, settings
 
 #: Notices that a log keeps at most; older ones go first.
 KEPT_EVENTS = 10_000
@@ -31,16 +30,15 @@ KEPT_EVENTS = 10_000
 
 def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str, checkpoint: str | None, every: float | None, hold: bool = True) -> StreamingQuery:
     def once(batch: DataFrame, batch_id: int) -> None:
-        with scratch_scope(batch.sparkSession):
-            if not hold:
-                handle(batch, batch_id)
-                return
+        with scratch_scope(batch.sparkSession), settings(batch.sparkSession, FREE_SHUFFLES):
             # operators read a batch more than once; the source (and its observed counters) see it once
-            held = batch.persist()
+            held = batch.persist() if hold else batch
             try:
                 handle(held, batch_id)
             finally:
-                held.unpersist()
+                if hold:
+                    held.unpersist()
+                _free_shuffles(batch)
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(once).option(
         "checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "offsets")
@@ -49,6 +47,13 @@ def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: st
     return writer.trigger(**trigger).start()
 
 
+def _free_shuffles(batch: DataFrame) -> None:
+    """Remove the shuffle files behind a finished batch, which no later batch reads; else they stay until the driver collects its garbage."""
+    plan = batch._jdf.queryExecution().analyzed()
+    if plan.nodeName() == "LogicalRDD":  # other plans have no rows of their own
+        plan.rdd().cleanShuffleDependencies(True)
+
+
 def assign_stream(
     tickets: DataFrame, technicians: DataFrame, decisions_path: str, metrics_path: str | None = None,
     checkpoint: str | None = None, every: float | None = None, log: BatchLog | None = None, **options,
@@ -113,13 +118,16 @@ class BatchLog(StreamingQueryListener):
 JOB_SLOTS = 16
 #: New rows of one group that meet its counter as one row. A batch of 10,000 of those then holds some 50 MB.
 PACK_ROWS = 64
-#: The store of known rows. It does not count its rows, which would read each key once more before it is written.
+#: The store of known rows. It does not count its rows, which would read each key once more before it is written, and does not
+#: reserve 4 MB for the manifest of each partition.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
 }
-#: Hex digits of a row's hash; its ``row_idx`` follows them in a pack.
-_DIGITS = 64
+#: Base64 digits of a row's hash; its ``row_idx`` follows them in a pack.
+_DIGITS = 44
 _PACKED = "job_id string, slot int, rows string, n long, earlier long"
 
 
@@ -136,9 +144,9 @@ def ticket_stream(
     a job make none. The state grows with the distinct rows; it is kept in RocksDB, which needs no memory for it.
     """
     spark = rows.sparkSession
-    hashed = rows.filter(F.col("job_id").isNotNull()).select(F.col("job_id").cast("string").alias("job_id"), F.col("row_idx").cast("long").alias("row_idx"), row_hash(content).alias("row_hash"))
+    hashed = rows.filter(F.col("job_id").isNotNull()).select(F.col("job_id").cast("string").alias("job_id"), F.col("row_idx").cast("long").alias("row_idx"), F.unhex(row_hash(content)).alias("row_hash"))
     fresh = hashed.dropDuplicates(["job_id", "row_hash"]).select(
-        "job_id", F.pmod(F.xxhash64("row_hash"), F.lit(slots)).cast("int").alias("slot"), F.concat("row_hash", F.coalesce(F.col("row_idx").cast("string"), F.lit(""))).alias("row")
+        "job_id", F.pmod(F.xxhash64("row_hash"), F.lit(slots)).cast("int").alias("slot"), F.concat(F.base64("row_hash"), F.coalesce(F.col("row_idx").cast("string"), F.lit(""))).alias("row")
     )
     packed = fresh.mapInArrow(_packs(slots), _PACKED)
     counted = packed.groupBy("job_id", "slot").transformWithStateInPandas(TicketCounter(), _PACKED, "Append", "None")
@@ -146,35 +154,20 @@ def ticket_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         used = batch.filter("earlier IS NOT NULL").groupBy("job_id").agg(F.sum("earlier").alias("_used"))
         new = batch.filter("rows IS NOT NULL").select("job_id", F.explode(F.split("rows", ",")).alias("_row")).select(
-            "job_id", F.nullif(F.substr("_row", F.lit(_DIGITS + 1)), F.lit("")).cast("long").alias("row_idx"), F.substring("_row", 1, _DIGITS).alias("row_hash")
+            "job_id", F.nullif(F.substr("_row", F.lit(_DIGITS + 1)), F.lit("")).cast("long").alias("row_idx"), F.unbase64(F.substring("_row", 1, _DIGITS)).alias("row_hash")
         )
         numbered = attach(positions(new, ["job_id"], ["row_idx", "row_hash"], out="_n"), used, ["job_id"])
         number = F.col("_n") + 1 + F.col("_used")
         tickets = numbered.select(
-            F.concat("job_id", F.lit("-ticket-"), number.cast("string")).alias("ticket_id"), "job_id", number.cast("long").alias("ticket_no"), "row_idx", "row_hash"
+            F.concat("job_id", F.lit("-ticket-"), number.cast("string")).alias("ticket_id"), "job_id", number.cast("long").alias("ticket_no"), "row_idx", F.lower(F.hex("row_hash")).alias("row_hash")
         )
-        tickets.write.mode("overwrite").parquet(f"{tickets_path}/batch_id={batch_id}")
+        # hex digits hold half of what they take, which Parquet's usual codec cannot see
+        tickets.write.mode("overwrite").option("compression", "zstd").parquet(f"{tickets_path}/batch_id={batch_id}")
 
-    with _settings(spark, STATE_STORE):
+    with settings(spark, STATE_STORE):
         return _start(counted, handle, "append", checkpoint, every)
 
 
-@contextmanager
-def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    """Settings that a query takes over when it starts."""
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-
-
 def _packs(slots: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of one group joined by commas, ``PACK_ROWS`` at most, and once per job and task an empty row for each of the job's groups."""
 

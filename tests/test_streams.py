@@ -1,6 +1,8 @@
 """Streams give what the batch operators give, also when a batch is run again."""
 
 import os
+import time
+from pathlib import Path
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -98,6 +100,34 @@ def test_numbers_follow_the_rows_and_no_output_is_read(spark):
     assert "StreamingDeduplicate" in plan and "TransformWithState" in plan and out not in plan
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {os.path.basename(f) for f in files.mkString("\n").split("\n") if "/shuffle_" in f}
+
+
+def test_a_finished_batch_leaves_no_shuffle_files(spark):
+    df = spark.createDataFrame([("j", i, f"v{i}") for i in range(3000)], "job_id string, row_idx long, v string")
+    stream, out = arrivals(spark, df, 3), scratch_path(spark, "out")
+    before = _shuffle_files(spark)
+    finish(sm.ticket_stream(stream, ["v"], out))
+    until = time.monotonic() + 20
+    while (left := _shuffle_files(spark) - before) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not left and spark.read.parquet(out).count() == 3000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_hashes_are_kept_as_bytes(spark):
+    df = spark.range(20_000).selectExpr("'j' AS job_id", "id AS row_idx", "cast(id AS string) AS v")
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "cp")
+    finish(sm.ticket_stream(arrivals(spark, df, 1), ["v"], out, checkpoint))
+    size = lambda at, end: sum(f.stat().st_size for f in Path(at).rglob(f"*{end}"))
+    # 32 bytes are the hash; as hex digits it takes 64
+    assert 32 < size(checkpoint, ".sst") / 20_000 < 60 and 32 < size(out, ".parquet") / 20_000 < 55
+    made = spark.read.parquet(out)
+    assert made.select("row_hash").distinct().count() == 20_000 == made.join(df.select("row_idx", F.sha2(F.concat(F.lit("v"), "v"), 256).alias("row_hash")), ["row_idx", "row_hash"]).count()
+
+
 def test_rows_meet_the_counter_in_packs():
     jobs, slots = ["a", "b"] * 500, [i % 3 for i in range(1000)]
     batch = pa.RecordBatch.from_arrays([pa.array(jobs), pa.array(slots, "int32"), pa.array([f"r{i}" for i in range(1000)])], names=["job_id", "slot", "row"])
