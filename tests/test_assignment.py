@@ -1,10 +1,15 @@
 import random
+from hashlib import md5
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
+from acceptance.assignment import ticket_assignment_pools
 from acceptance.assignment import tickets as order_tickets
 from pyspark.sql import functions as F
 
 from tabprep.operators import assign as asg
+from tabprep.session import scratch_path, settings
 
 TECH = "id string, name string, document string, regions array<string>, skills array<string>, availability string, workload int, max_workload int, projects array<string>, tier string"
 PEOPLE = [
@@ -207,3 +212,38 @@ def test_tickets_of_a_pool_are_laid_out_together(spark):
     assert sum(r["count"] for r in met) == 9_000 and len(met) <= 41 + 30
     assert len({r.task for r in met if r.pool_id == "p"}) >= 8
     assert sorted(tuple(r) for r in laid.collect()) == sorted(tuple(r) for r in decided.collect())
+
+
+def test_a_pool_of_more_text_than_a_dictionary_stands_in_a_file_once(spark):
+    """95,000 technicians fit all of 300 tickets; each names them in 1.3 MB, which Parquet's dictionary does not take by itself."""
+    sf = scratch_path(spark, "tables")
+    spark.range(1).selectExpr("cast(0 AS int) AS r_regionkey", "'ASIA' AS r_name").write.parquet(f"{sf}/region.parquet")
+    spark.range(1).selectExpr("cast(0 AS int) AS n_nationkey", "cast(0 AS int) AS n_regionkey").write.parquet(f"{sf}/nation.parquet")
+    spark.range(1).selectExpr("1 AS c_custkey", "cast(0 AS int) AS c_nationkey", "'FURNITURE' AS c_mktsegment").write.parquet(f"{sf}/customer.parquet")
+    spark.range(300).selectExpr("id AS o_orderkey", "1 AS o_custkey", "'O' AS o_orderstatus", "1.0D AS o_totalprice", "'1-URGENT' AS o_orderpriority").write.parquet(f"{sf}/orders.parquet")
+    spark.range(95_000).selectExpr("70000000 + id * 14 AS s_suppkey", "cast(0 AS int) AS s_nationkey", "5000.0D AS s_acctbal").write.parquet(f"{sf}/supplier.parquet")
+    pool = ",".join(sorted(f"tech-{70_000_000 + i * 14}" for i in range(95_000)))
+    out = scratch_path(spark, "pools")
+    with settings(spark, {asg.DICTIONARY_SIZE: str(asg.DICTIONARY_BYTES)}):
+        ticket_assignment_pools(spark, sf).write.parquet(out)
+        assert len(pool) > asg.DICTIONARY_BYTES and int(spark.conf.get(asg.DICTIONARY_SIZE)) > len(pool)
+    files = [pq.ParquetFile(f).metadata for f in Path(out).glob("*.parquet")]
+    held = sum(f.row_group(g).column(1).total_uncompressed_size for f in files for g in range(f.num_row_groups))
+    assert len(files) <= 16 and held < 1.1 * len(pool) * len(files) < 300 * len(pool) / 5
+    got = spark.read.parquet(out)
+    assert got.select("ticket_id").distinct().count() == 300 == got.filter(F.md5("candidate_pool") == md5(pool.encode()).hexdigest()).count()
+
+
+def test_the_room_for_texts_is_only_raised(spark):
+    texts = lambda n, size: spark.range(n).selectExpr(f"if(id = 0, NULL, repeat('x', {size})) AS v")
+    with settings(spark, {asg.DICTIONARY_SIZE: "3000000"}):
+        for n, size, room in [(0, 1, 3_000_000), (3, 1_000_000, 3_000_000), (5, 1_000_000, 4_000_016), (3, 1_000_000, 4_000_016), (101, 1_000_000, asg.MOST_DICTIONARY_BYTES)]:
+            asg.room_for_texts(texts(n, size), "v")
+            assert int(spark.conf.get(asg.DICTIONARY_SIZE)) == room
+    with settings(spark, {asg.DICTIONARY_SIZE: str(100 << 20)}):
+        asg.room_for_texts(texts(101, 1_000_000), "v")
+        assert int(spark.conf.get(asg.DICTIONARY_SIZE)) == 100 << 20
+    with settings(spark, {asg.DICTIONARY_SIZE: "1"}):
+        spark.conf.unset(asg.DICTIONARY_SIZE)
+        asg.room_for_texts(texts(3, 10), "v")
+        assert spark.conf.get(asg.DICTIONARY_SIZE, None) is None
